@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +77,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def word_hashes(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and the number of words of each text.
+def word_pieces(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None, piece: int = 4 << 20):
+    """The words of all texts, some texts at a time: (first text, folded bytes with a line feed after each text, start of each word, its hash, words per text).
 
-    Words are maximal runs of bytes b with is_word[b]; fold maps bytes first (lower case, say).
+    Words are maximal runs of bytes b with is_word[b], not the line feed; fold maps bytes first (to lower case, say).
     """
-    hashes, counts, lo = [], [], 0
+    lo = 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= piece):
@@ -95,16 +96,25 @@ def word_hashes(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.nd
         step = np.diff(inside.view(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         doc_starts = np.cumsum([0] + [len(x) + 1 for x in part[:-1]])
-        counts.append(np.bincount(np.searchsorted(doc_starts, starts, side="right") - 1, minlength=len(part)))
+        counts = np.bincount(np.searchsorted(doc_starts, starts, side="right") - 1, minlength=len(part))
+        hashes = np.empty(0, np.uint64)
         if len(starts):
             lens = ends - starts
             offs = np.cumsum(lens) - lens
             pos = np.arange(lens.sum()) - np.repeat(offs, lens)
             power = np.cumprod(np.full(int(lens.max()), _BASE, dtype=np.uint64))
             raw = np.add.reduceat(_BYTE[data[inside]] * power[pos], offs)
-            hashes.append(mix(raw + lens.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)))
+            hashes = mix(raw + lens.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+        yield lo, data, starts, hashes, counts
         lo = hi
-    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate(counts) if counts else np.empty(0, np.int64)
+
+
+def word_hashes(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and the number of words of each text."""
+    pieces = [(h, n) for _, _, _, h, n in word_pieces(texts, is_word, fold)]
+    if not pieces:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([h for h, _ in pieces]), np.concatenate([n for _, n in pieces])
 
 
 def rolling(words: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -164,6 +174,7 @@ def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def encoded(column) -> list[bytes]:
     """A text column of an Arrow table as UTF-8, null as empty."""
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [t or b"" for t in column.cast(kind).to_pylist()]
 
 

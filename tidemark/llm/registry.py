@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
+from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": OP7_SQL,
+}
