@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
+from tidemark.llm.fingerprint import op5_fingerprints
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op7_decontaminate": op7_decontaminate,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
