@@ -78,7 +78,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_pieces(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None, piece: int = 4 << 20):
-    """The words of all texts, some texts at a time: (first text, folded bytes with a line feed after each text, start of each word, its hash, words per text).
+    """The words of all texts, some texts at a time: (first text, folded bytes with a line feed after each text, start, length and hash of each word, words per text).
 
     Words are maximal runs of bytes b with is_word[b], not the line feed; fold maps bytes first (to lower case, say).
     """
@@ -97,21 +97,20 @@ def word_pieces(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.nd
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         doc_starts = np.cumsum([0] + [len(x) + 1 for x in part[:-1]])
         counts = np.bincount(np.searchsorted(doc_starts, starts, side="right") - 1, minlength=len(part))
-        hashes = np.empty(0, np.uint64)
+        hashes, lens = np.empty(0, np.uint64), ends - starts
         if len(starts):
-            lens = ends - starts
             offs = np.cumsum(lens) - lens
             pos = np.arange(lens.sum()) - np.repeat(offs, lens)
             power = np.cumprod(np.full(int(lens.max()), _BASE, dtype=np.uint64))
             raw = np.add.reduceat(_BYTE[data[inside]] * power[pos], offs)
             hashes = mix(raw + lens.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
-        yield lo, data, starts, hashes, counts
+        yield lo, data, starts, lens, hashes, counts
         lo = hi
 
 
 def word_hashes(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, in order, and the number of words of each text."""
-    pieces = [(h, n) for _, _, _, h, n in word_pieces(texts, is_word, fold)]
+    pieces = [(h, n) for *_, h, n in word_pieces(texts, is_word, fold)]
     if not pieces:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate([h for h, _ in pieces]), np.concatenate([n for _, n in pieces])
