@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.fingerprint import op5_fingerprints
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
+from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.substring_dedup import op2_substring_dedup
 from tidemark.llm.toxicity import op3_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_fingerprints": op5_fingerprints,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
