@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import OP4_SQL, op4_chat_formatting
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.fingerprint import op5_fingerprints
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.secrets import op1_secret_scan
 from tidemark.llm.substring_dedup import op2_substring_dedup
 from tidemark.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
@@ -19,5 +23,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat_formatting": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
 }
