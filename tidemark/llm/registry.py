@@ -5,11 +5,13 @@ from __future__ import annotations
 from tidemark.llm.chat import OP4_SQL, op4_chat_formatting
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.fingerprint import op5_fingerprints
+from tidemark.llm.html_text import op10_html_text
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.secrets import op1_secret_scan
 from tidemark.llm.substring_dedup import op2_substring_dedup
 from tidemark.llm.toxicity import op3_toxicity
+from tidemark.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -19,10 +21,13 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
