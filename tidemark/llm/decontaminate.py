@@ -82,11 +82,11 @@ def _find(prefix: dict[bytes, list], items: list[list[int]]):
     return find
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, slice_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, slice_bytes: int = 16 << 20) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_hit, items, spans and contaminated.
 
     A word is hit if it lies in an occurrence of a benchmark window; a document is contaminated if at
-    least ``share`` of its words, and one or more, are hit. spans are the occurrences, as word numbers.
+    least one word ``one_in`` so many of its words is hit. spans are the occurrences, as word numbers.
     Columns of docs that bear one of these five names are replaced.
     """
     out = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
@@ -116,7 +116,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         lambda acc: acc["n"].cast("long"),
     )
     n_hit = F.col("n_hit")
-    return out.select(*names, "n_words", "items", "spans", covered.alias("n_hit")).withColumn("contaminated", (n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words")))
+    return out.select(*names, "n_words", "items", "spans", covered.alias("n_hit")).withColumn("contaminated", (n_hit > 0) & (one_in * n_hit >= F.col("n_words")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 
