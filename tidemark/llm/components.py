@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, remove
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Does every edge (u, v) lead from a leaf with no other edge to a root?"""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("u").alias("node"), one.alias("up"), none.alias("down")).unionByName(edges.select(F.col("v").alias("node"), none.alias("up"), one.alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").count() == 0
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    pairs = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    small = pairs.select("u", F.col("m").alias("v")).unionByName(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return small.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,21 +31,9 @@ def components(links: DataFrame) -> DataFrame:
     an aggregate with partial sums and a join whose hot side adaptive execution splits. Rows with a null
     end and links of a node to itself are left out.
     """
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
-    state = _state(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
-        small = pairs.select("u", F.col("m").alias("v")).unionByName(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        after = materialize(small.distinct(), "edges")
+    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _is_forest_of_stars(edges):
+        after = materialize(_round(edges), "edges")
         remove(edges.sparkSession, edges)
-        remove(edges.sparkSession, large)
-        edges, before, state = after, state, _state(after)
-        if state == before:
-            break
+        edges = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,10 +10,10 @@
    Texts of large total weight deal their shingles to the slots instead, one slot each (an empty slot
    takes the next one's sample); texts near the limit do both, so that any pair has one way in common.
 3. Candidates share a band. In each band bucket every text is verified against the one with the least
-   weight of its own (the likeliest original), and components are formed from the links found.
-4. Candidate groups that are still in several components are compared exactly: every text outside a
-   group's largest component against all texts of the group that share a band with it, in blocks.
-   So each pair that shares a band and is not yet connected is verified; no pair is listed twice.
+   weight of its own (the likeliest original); texts linked to the same original are one cluster.
+4. Clusters that meet in a bucket without a link form open groups, which are compared exactly: every text
+   outside a group's largest cluster against all texts of the group that share a band with it, in blocks.
+   So each pair that shares a band and is not yet connected is verified. Classes are components of all links.
 
 Texts with equal words (ASCII letters in either case) are one node. Documents with fewer than five words
 have one shingle of all words. Documents without words, or without an id, are classes of their own.
@@ -37,7 +37,6 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _ANSWER = "chunk int, bucket int, payload binary"
 _SIGNED = "doc_id long, node string, total double, own double, vec binary, bands array<long>"
-_NODE = "node string, comp string, total double, vec binary, bands array<long>"
 _LINKS = "u string, v string"
 #: Above this total weight shingles are dealt to slots; up to a quarter more, both ways are taken.
 _DEALT = 1024.0
@@ -200,15 +199,16 @@ def _verify(similarity: float):
     def verify(batches):
         kept_key, kept = None, None
         for batch in batches:
-            u, v = [], []
+            u, v, own = [], [], []
             c = batch.to_pydict()
-            for node, total, vec, center, c_total, c_vec in zip(c["node"], c["total"], c["vec"], c["center"], c["c_total"], c["c_vec"]):
+            for node, total, vec, center, c_own, c_total, c_vec in zip(*(c[x] for x in ("node", "total", "vec", "center", "c_own", "c_total", "c_vec"))):
                 if center != kept_key:
                     kept_key, kept = center, _vector(c_total, c_vec)
                 if min(total, c_total) >= similarity * max(total, c_total) and _likeness(_vector(total, vec), kept) >= similarity:
                     u.append(node)
                     v.append(center)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
+                    own.append(c_own)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string()), "own": pa.array(own, pa.float64())})
 
     return verify
 
@@ -271,25 +271,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     centers = members.groupBy("band").agg(F.min(F.struct("own", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", F.col("c.node").alias("center"))
     pairs = materialize(members.join(centers, "band").where("node <> center").select("node", "center").distinct(), "pairs")
     sides = nodes.select("node", "total", "vec")
-    both = pairs.join(sides, "node").join(sides.select(F.col("node").alias("center"), F.col("total").alias("c_total"), F.col("vec").alias("c_vec")), "center")
-    links = materialize(both.mapInArrow(_verify(similarity), _LINKS), "links")
-
-    comps = components(links)
-    groups = components(pairs.select(F.col("node").alias("u"), F.col("center").alias("v")))
-    placed = nodes.join(groups.withColumnRenamed("root", "grp"), "node").join(comps.withColumnRenamed("root", "comp"), "node", "left")
-    placed = placed.select("grp", "node", F.coalesce("comp", "node").alias("comp"), "total", "vec", "bands")
-    per_comp = placed.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum(F.length("vec")).alias("size"))
-    per_group = per_comp.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("n_comps"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n_comps > 1 and n > 2")
+    both = pairs.join(sides, "node").join(nodes.select(F.col("node").alias("center"), F.col("own").alias("c_own"), F.col("total").alias("c_total"), F.col("vec").alias("c_vec")), "center")
+    links = materialize(both.mapInArrow(_verify(similarity), "u string, v string, own double"), "links")
+
+    # Of the centers a text is linked to, the likeliest original, and its own in turn: texts with one label are connected.
+    best = links.groupBy("u").agg(F.min(F.struct("own", "v")).alias("b")).select(F.col("u").alias("node"), F.col("b.v").alias("comp"))
+    further = best.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    comps = materialize(best.join(further, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "comps")
+    open_ = pairs.join(comps, "node", "left").select(F.coalesce("comp", "node").alias("u"), "center")
+    open_ = open_.join(comps.withColumnRenamed("node", "center"), "center", "left").select("u", F.coalesce("comp", "center").alias("v"))
+    groups = components(open_).select(F.col("node").alias("comp"), F.col("root").alias("grp"))
+    placed = nodes.select("node", F.length("vec").alias("size")).join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "size")
+    placed = materialize(placed.join(groups, "comp"), "placed")
+    per_comp = placed.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    per_group = per_comp.groupBy("grp").agg(F.max(F.struct("n", "size", "comp")).alias("top"), F.sum("size").alias("size"))
     block = block_mb << 20
-    per_group = per_group.select("grp", F.col("top.comp").alias("top"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil(F.col("size") * (1 - F.col("top.n") / F.col("n")) / block).cast("int").alias("ask_blocks"))
-    open_ = placed.join(per_group, "grp")
+    per_group = per_group.select("grp", F.col("top.comp").alias("top"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.size") + 1) / block).cast("int").alias("ask_blocks"))
+    spread = placed.join(per_group, "grp").join(nodes.select("node", "total", "vec", "bands"), "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["grp", "node", "comp", "total", "vec", "bands"]
-    asks = open_.where("comp <> top").select(*columns, F.lit(True).alias("asks"), at("ask_blocks").alias("p"), all_of("blocks").alias("q"))
-    answers = open_.select(*columns, F.lit(False).alias("asks"), all_of("ask_blocks").alias("p"), at("blocks").alias("q"))
+    asks = spread.where("comp <> top").select(*columns, F.lit(True).alias("asks"), at("ask_blocks").alias("p"), all_of("blocks").alias("q"))
+    answers = spread.select(*columns, F.lit(False).alias("asks"), all_of("ask_blocks").alias("p"), at("blocks").alias("q"))
     late = asks.unionByName(answers).groupBy("grp", "p", "q").applyInArrow(_compare(similarity), _LINKS)
-    comps = components(links.unionByName(late))
+    comps = components(links.select("u", "v").unionByName(late))
 
     firsts = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(comps, "node", "left")
     firsts = firsts.where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.plans import scan_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = None
+for module in (scan_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
+FLAGSHIP = scan_queries.q_flagship_scan
