@@ -7,8 +7,11 @@ from __future__ import annotations
 
 
 def rounded(x: str, places: int) -> str:
-    """x to so many places, halves up; the same on every engine, unlike round() on doubles."""
-    return f"(floor(({x}) * 1e{places} + 0.5) / 1e{places})"
+    """x to so many places, halves up; the same on every engine, unlike round() on doubles.
+
+    What lies within a millionth of a half counts as one, so the order of a sum does not matter.
+    """
+    return f"(floor(({x}) * 1e{places} + 0.500001) / 1e{places})"
 
 
 def clamp(x: str, low: float = 0.0, high: float = 100.0) -> str:

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import scan_queries
+from tidemark.plans import keyed_queries, scan_queries, series_queries  # noqa: F401  they register their queries
+from tidemark.plans.define import ORACLES, QUERIES  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-for module in (scan_queries,):
-    QUERIES |= module.QUERIES
-    ORACLES |= module.ORACLES
 FLAGSHIP = scan_queries.q_flagship_scan

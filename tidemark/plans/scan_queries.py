@@ -7,22 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as fx
 from tidemark.operators import scan
+from tidemark.plans.define import query, split
 from tidemark.plans.scan_sql import upto
-from tidemark.sources.tables import dimension, listings, load, price_history
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
+from tidemark.sources.tables import dimension, listings, price_history
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.clean_listings(listings(spark, sf_dir))
@@ -87,18 +74,7 @@ _STATS = f"product_id, mp, n, {_r('min_usd', 4)} AS min_usd, {_r('avg_usd', 4)}
 
 @query("q_mp_stats", upto("stats", f"SELECT {_STATS}, buy_url, condition FROM stats"))
 def q_mp_stats(spark, sf_dir):
-    return scan.marketplace_stats(clean(spark, sf_dir)).selectExpr(*_split(_STATS), "buy.url AS buy_url", "buy.condition AS condition")
-
-
-def _split(columns: str) -> list[str]:
-    """A select list cut at its top-level commas."""
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(columns):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(columns[at:i].strip())
-            at = i + 1
-    return [*out, columns[at:].strip()]
+    return scan.marketplace_stats(clean(spark, sf_dir)).selectExpr(*split(_STATS), "buy.url AS buy_url", "buy.condition AS condition")
 
 
 @query("q_first_seen_age", upto("ages", f"SELECT url, first_at, {_r('age_days', 4)} AS age_days FROM ages"))
@@ -128,7 +104,7 @@ _COMP = f"product_id, buy_mp, sell_mp, n, {_r('lowest_usd', 4)} AS lowest_usd, {
 @query("q_competition", upto("comp", f"SELECT {_COMP} FROM comp"))
 def q_competition(spark, sf_dir):
     rows = clean(spark, sf_dir)
-    return scan.competition(scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes")), rows).selectExpr(*_split(_COMP))
+    return scan.competition(scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes")), rows).selectExpr(*split(_COMP))
 
 
 _FEES = ", ".join(f"{_r(c, 2)} AS {c}" for c in scan.FEE_COLUMNS)
@@ -140,7 +116,7 @@ def q_profit(spark, sf_dir):
     rows = clean(spark, sf_dir)
     found = scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes"))
     found = found.join(scan.competition(found, rows), ["product_id", "buy_mp", "sell_mp"])
-    return scan.with_fees(found, spark).selectExpr(*_split(_PROFIT))
+    return scan.with_fees(found, spark).selectExpr(*split(_PROFIT))
 
 
 _ADJ = "((least(sell_usd, lowest_usd) - buy_usd * 1.05 - fees) * 0.70)"
@@ -149,7 +125,7 @@ _CONSERVATIVE = f"product_id, buy_mp, sell_mp, {_r('buy_usd * 1.05', 2)} AS adju
 
 @query("q_conservative_profit", upto("scored", f"SELECT {_CONSERVATIVE} FROM scored"))
 def q_conservative_profit(spark, sf_dir):
-    return pairs(spark, sf_dir).selectExpr(*_split(_CONSERVATIVE))
+    return pairs(spark, sf_dir).selectExpr(*split(_CONSERVATIVE))
 
 
 @query("q_soft_penalty", upto("scored", "SELECT product_id, buy_mp, sell_mp, soft_penalty, confidence_penalty FROM scored"))
@@ -162,7 +138,7 @@ _FACTORS = ", ".join(f"{_r(f, 4)} AS {f}" for f in fx.FACTORS)
 
 @query("q_score_factors", upto("scored", f"SELECT product_id, buy_mp, sell_mp, {_FACTORS} FROM scored"))
 def q_score_factors(spark, sf_dir):
-    return pairs(spark, sf_dir).selectExpr("product_id", "buy_mp", "sell_mp", *_split(_FACTORS))
+    return pairs(spark, sf_dir).selectExpr("product_id", "buy_mp", "sell_mp", *split(_FACTORS))
 
 
 @query("q_scores", upto("scored", "SELECT product_id, buy_mp, sell_mp, opportunity_score, risk_score, confidence_score FROM scored"))
@@ -193,7 +169,7 @@ OPP_VIEW = f"product_id, buy_mp, sell_mp, label AS route, buy_url, sell_url, {_r
 @query("q_flagship_scan", upto("opps", f"SELECT {OPP_VIEW} FROM opps"))
 def q_flagship_scan(spark, sf_dir):
     """The whole scan: the best opportunity of each product, with its costs and scores."""
-    return opps(spark, sf_dir).selectExpr(*_split(OPP_VIEW))
+    return opps(spark, sf_dir).selectExpr(*split(OPP_VIEW))
 
 
 @query("q_best_per_product", upto("opps", "SELECT product_id, buy_mp, sell_mp, opportunity_score FROM opps"))
@@ -257,17 +233,18 @@ def q_validator(spark, sf_dir):
     return out.select("product_id", "worst_case", "simulated", "execution_confidence", F.array_join(F.array_compact(failed), "; ").alias("failed"))
 
 
-@query("q_history_collect", upto("history", f"SELECT url, string_agg(CAST(CAST({_r('price_usd', 2)} * 100 AS BIGINT) AS VARCHAR), ',' ORDER BY recorded_at DESC, seq DESC) AS prices FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY recorded_at DESC, seq DESC) AS rn FROM history) WHERE rn <= 20 GROUP BY url"))
+@query("q_history_collect", upto("history", f"SELECT url, string_agg(CAST(CAST(floor(price_usd * 100 + 0.500001) AS BIGINT) AS VARCHAR), ',' ORDER BY recorded_at DESC, seq DESC) AS prices FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY recorded_at DESC, seq DESC) AS rn FROM history) WHERE rn <= 20 GROUP BY url"))
 def q_history_collect(spark, sf_dir):
     """The latest 20 prices of each url, newest first; the lists are bounded by the top-k filter."""
     w = Window.partitionBy("url").orderBy(F.col("recorded_at").desc(), F.col("seq").desc())
     top = price_history(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 20")
-    cents = F.expr(f"cast({_r('price_usd', 2)} * 100 AS bigint)")
+    cents = F.floor(F.col("price_usd") * 100 + 0.500001)
     listed = top.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("rn", cents.alias("c")))).alias("x"))
     return listed.select("url", F.array_join(F.transform("x", lambda s: s["c"].cast("string")), ",").alias("prices"))
 
 
-_ANOMALY_SQL = f"""SELECT url, seq, CASE WHEN price_usd <= 0.5 OR price_usd >= 50000 THEN 'bounds' WHEN k >= 3 AND mid > 0 AND (price_usd / mid > 5 OR price_usd / mid < 0.2) THEN 'ratio' ELSE 'ok' END AS verdict
+_ANOMALY = "CASE WHEN price_usd <= 0.5 OR price_usd >= 50000 THEN 'bounds' WHEN k >= 3 AND mid > 0 AND (price_usd / mid > 5 OR price_usd / mid < 0.2) THEN 'ratio' ELSE 'ok' END AS verdict"
+_ANOMALY_SQL = f"""SELECT url, seq, {_ANOMALY}
 FROM (SELECT *, median(price_usd) OVER w AS mid, count(*) OVER w AS k FROM history WINDOW w AS (PARTITION BY product_id ORDER BY recorded_at, seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
 
 
@@ -275,8 +252,7 @@ FROM (SELECT *, median(price_usd) OVER w AS mid, count(*) OVER w AS k FROM histo
 def q_price_anomaly(spark, sf_dir):
     """Each price against bounds and the median of the product's 20 before it."""
     w = Window.partitionBy("product_id").orderBy("recorded_at", "seq").rowsBetween(-20, -1)
-    rows = price_history(spark, sf_dir).withColumn("mid", F.median("price_usd").over(w)).withColumn("k", F.count("*").over(w))
-    return rows.selectExpr("url", "seq", "CASE WHEN price_usd <= 0.5 OR price_usd >= 50000 THEN 'bounds' WHEN k >= 3 AND mid > 0 AND (price_usd / mid > 5 OR price_usd / mid < 0.2) THEN 'ratio' ELSE 'ok' END AS verdict")
-
-
-__all__ = ["ORACLES", "QUERIES", "clean", "load", "opps", "pairs", "query"]
+    before = F.array_sort(F.collect_list("price_usd").over(w))
+    rows = price_history(spark, sf_dir).withColumn("before", before).withColumn("k", F.size("before"))
+    mid = (F.get("before", ((F.col("k") - 1) / 2).cast("int")) + F.get("before", (F.col("k") / 2).cast("int"))) / 2
+    return rows.withColumn("mid", mid).selectExpr("url", "seq", _ANOMALY)

@@ -63,18 +63,24 @@ DIMENSIONS = {
 }
 
 
-def dimension(spark: SparkSession, name: str) -> DataFrame:
+def _values(name: str) -> tuple[str, str]:
+    """Rows and column names of a dimension as SQL literals."""
     schema, rows = DIMENSIONS[name]
-    return spark.createDataFrame(list(rows), schema)
+    kinds = [c.split() for c in schema.split(", ")]
+    cell = lambda v, k: f"'{v}'" if k == "string" else f"CAST({v!r} AS {k})"
+    return ", ".join("(" + ", ".join(cell(v, k) for v, (_, k) in zip(row, kinds)) + ")" for row in rows), ", ".join(n for n, _ in kinds)
+
+
+def dimension(spark: SparkSession, name: str) -> DataFrame:
+    """A small literal table; its size is known to the planner, which broadcasts it."""
+    values, names = _values(name)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def dimension_sql(name: str) -> str:
     """The same dimension as a CTE of literals."""
-    schema, rows = DIMENSIONS[name]
-    kinds = [c.split() for c in schema.split(", ")]
-    cell = lambda v, k: f"'{v}'" if k == "string" else f"CAST({v!r} AS {k})"
-    values = ", ".join("(" + ", ".join(cell(v, k) for v, (_, k) in zip(row, kinds)) + ")" for row in rows)
-    return f"{name}({', '.join(n for n, _ in kinds)}) AS (VALUES {values})"
+    values, names = _values(name)
+    return f"{name}({names}) AS (VALUES {values})"
 
 
 #: The five regions stand for five marketplaces.
