@@ -59,7 +59,7 @@ def in_several_markets(df: DataFrame, least: int = 2) -> DataFrame:
 
 def first_seen(history: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Days since the first price of each url, one at least."""
-    return history.groupBy("url").agg(F.min("recorded_at").alias("first_at")).selectExpr("url", "first_at", f"greatest(1.0, (unix_timestamp(timestamp_ntz '{as_of}') - unix_timestamp(first_at)) / 86400.0) AS age_days")
+    return history.groupBy("url").agg(F.min("recorded_at").alias("first_at")).selectExpr("url", "first_at", f"greatest(1D, (unix_timestamp(timestamp_ntz '{as_of}') - unix_timestamp(first_at)) / 86400D) AS age_days")
 
 
 def stability(history: DataFrame, latest: int = 20) -> DataFrame:
