@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision_queries, keyed_queries, resolve_queries, scan_queries, series_queries, stream_queries, text_queries  # noqa: F401  they register their queries
+from tidemark.plans import decision_queries, keyed_queries, page_queries, resolve_queries, scan_queries, series_queries, stream_queries, text_queries  # noqa: F401  they register their queries
 from tidemark.plans.define import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = scan_queries.q_flagship_scan
