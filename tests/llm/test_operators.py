@@ -225,6 +225,18 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_lines_match_brute_force(spark):
+    """Long texts whose weight lies in few shingles, each with a light tail of its own."""
+    texts = []
+    for k in range(8):
+        line = " ".join(f"line{k}x{i}" for i in range(10))
+        texts += [" ".join([line] * 300 + [f"tail{k}x{side}x{i}" for i in range(150)]) for side in range(2)]
+    pairs = {(j, i) for i, j, s in weighted(texts) if s >= 0.85}
+    assert pairs == {(2 * k, 2 * k + 1) for k in range(8)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()} == {i: i - i % 2 for i in range(16)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([("b", "a"), ("b", "c"), ("c", "d"), ("x", "y"), ("x", "x"), (None, "q"), ("b", "a")], "u string, v string")
     assert sorted(map(tuple, components(links).distinct().collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")]

@@ -7,8 +7,7 @@
    lies on shingles that others hold too; all others end here. The rest get ``bands * rows`` samples:
    each sample draws r and c from Gamma(2, 1) and b from U(0, 1) per shingle and slot, sets
    t = floor(ln w / r + b), ln a = ln c - r (t - b) - r, and keeps the (shingle, t) of the least a.
-   Texts of large total weight deal their shingles to the slots instead, one slot each (an empty slot
-   takes the next one's sample); texts near the limit do both, so that any pair has one way in common.
+   Every sample is drawn from all shingles, whatever the text's size.
 3. Candidates share a band. In each band bucket every text is verified against the one with the least
    weight of its own (the likeliest original); texts linked to the same original are one cluster.
 4. Clusters that meet in a bucket without a link form open groups, which are compared exactly: every text
@@ -38,8 +37,8 @@ _FOLD[65:91] += 32
 _ANSWER = "chunk int, bucket int, payload binary"
 _SIGNED = "doc_id long, node string, total double, own double, vec binary, bands array<long>"
 _LINKS = "u string, v string"
-#: Above this total weight shingles are dealt to slots; up to a quarter more, both ways are taken.
-_DEALT = 1024.0
+#: So many draws are held at a time.
+_DRAWS = 1 << 18
 
 
 def _shingles(texts: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -113,36 +112,24 @@ def _signature(hashes: np.ndarray, weights: np.ndarray, slots: int) -> np.ndarra
     """One consistent weighted sample per slot, each from all shingles."""
     log_w = np.log(weights)
     seeds = mix(np.arange(1, slots + 1, dtype=np.uint64))
-    out = []
-    step = max(1, (1 << 18) // max(1, len(hashes)))
-    for k in range(0, slots, step):
-        a, t = _sample(hashes, log_w, seeds[k : k + step])
-        best = a.argmin(axis=1)
-        out.append(hashes[best] * U64(0x9E3779B97F4A7C15) + t[np.arange(len(best)), best].astype(np.int64).view(np.uint64))
-    return np.concatenate(out)
-
-
-def _dealt_signature(hashes: np.ndarray, weights: np.ndarray, slots: int) -> np.ndarray:
-    """One consistent weighted sample per slot, each from the shingles dealt to it."""
-    a, t = _sample(hashes, np.log(weights), np.array([0xABCDEF], np.uint64))
-    slot = (mix(hashes ^ U64(0x5DEECE66D)) % U64(slots)).astype(np.int64)
-    order = np.lexsort((a[0], slot))
-    slot, order = slot[order], order[np.concatenate(([True], slot[order][1:] != slot[order][:-1]))]
-    slot = np.unique(slot)
-    value = hashes[order] * U64(0x9E3779B97F4A7C15) + t[0][order].astype(np.int64).view(np.uint64)
-    at = np.searchsorted(slot, np.arange(slots)) % len(slot)
-    return value[at]
+    least, out = np.full(slots, np.inf), np.zeros(slots, np.uint64)
+    step = max(1, _DRAWS // max(1, len(hashes)))
+    for i in range(0, len(hashes), _DRAWS):
+        own = hashes[i : i + _DRAWS]
+        for k in range(0, slots, step):
+            a, t = _sample(own, log_w[i : i + _DRAWS], seeds[k : k + step])
+            best, row = a.argmin(axis=1), np.arange(len(a))
+            value = own[best] * U64(0x9E3779B97F4A7C15) + t[row, best].astype(np.int64).view(np.uint64)
+            less = a[row, best] < least[k : k + step]
+            least[k : k + step][less], out[k : k + step][less] = a[row, best][less], value[less]
+    return out
 
 
 def _bands(hashes: np.ndarray, weights: np.ndarray, bands: int, rows: int) -> list[int]:
-    total, keys = float(weights.sum()), []
-    for way, wanted, sign in ((0, total <= 1.25 * _DEALT, _signature), (1, total >= _DEALT, _dealt_signature)):
-        if wanted:
-            key = mix(np.arange(bands, dtype=np.uint64) * U64(2) + U64(way))
-            for column in mix(sign(hashes, weights, bands * rows)).reshape(bands, rows).T:
-                key = mix(key * U64(0xC2B2AE3D27D4EB4F) + column)
-            keys += key.view(np.int64).tolist()
-    return keys
+    key = mix(np.arange(bands, dtype=np.uint64) * U64(2))
+    for column in mix(_signature(hashes, weights, bands * rows)).reshape(bands, rows).T:
+        key = mix(key * U64(0xC2B2AE3D27D4EB4F) + column)
+    return key.view(np.int64).tolist()
 
 
 def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
