@@ -26,3 +26,11 @@ def test_twin(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
+
+
+@pytest.mark.parametrize("name", ["q_resolve_chain_whole", "q_resolve_strict_whole"])
+def test_resolvers_ask_all_products(spark, name):
+    """Every 100th part asks, products of odd and even numbers answer, none answers itself."""
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.1").collect()
+    assert got and all(r["listing_id"] % 100 == 0 and r["product_id"] != r["listing_id"] for r in got)
+    assert {r["product_id"] % 2 for r in got} == {0, 1}
