@@ -34,3 +34,9 @@ def test_resolvers_ask_all_products(spark, name):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.1").collect()
     assert got and all(r["listing_id"] % 100 == 0 and r["product_id"] != r["listing_id"] for r in got)
     assert {r["product_id"] % 2 for r in got} == {0, 1}
+
+
+def test_blocked_resolver_asks_all_rows(spark):
+    got = registry.QUERIES["q_resolve_blocked_whole"](spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 20 and all(r["vec_id"] % 100 == 0 and r["product_id"] != r["vec_id"] for r in got)
+    assert {r["product_id"] % 2 for r in got} == {0, 1}

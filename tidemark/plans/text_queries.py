@@ -65,6 +65,18 @@ def q_price_parse(spark, sf_dir):
     return rows.select("raw", "currency", tx.parse_price(F.col("raw"), F.col("currency")).alias("price"))
 
 
+def nearest(spark, sf_dir: str, ask: str, answer: str):
+    """The most similar other row among those that answer, within the block (label), for each row that asks."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    unit = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))))
+    products = unit.where(answer).select(F.col("vec_id").alias("product_id"), "label", F.col("v").alias("p"))
+    asked = unit.where(ask).select("vec_id", "label", "v")
+    dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scored = asked.join(products, "label").where("vec_id <> product_id").select("vec_id", "product_id", (F.floor(dot * 1e5 + 0.5) / 1e5).alias("sim"))
+    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("product_id", "sim"), F.struct("sim", -F.col("product_id"))).alias("b"))
+    return best.select("vec_id", "b.product_id", "b.sim", (F.col("b.sim") >= 0.75).alias("accepted"))
+
+
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
@@ -72,18 +84,19 @@ _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 s AS (SELECT q.vec_id, p.vec_id AS product_id, floor(list_cosine_similarity(q.v, p.v) * 1e5 + 0.5) / 1e5 AS sim FROM q JOIN p ON p.label = q.label)
 SELECT vec_id, product_id, sim, sim >= 0.75 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, product_id) = 1""")
 def q_resolve_blocked(spark, sf_dir):
-    """The nearest product of each query row within its block (label as brand); queries are every 100th id of the odd ones, against all products.
+    """The nearest product of each query row within its block (label as brand); queries are every 100th id of the odd ones, against the even ones.
 
     The side of the products is blocked by an equi-join and reduced per query by a partial aggregate.
     """
-    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    unit = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))))
-    products = unit.where("vec_id % 2 = 0").select(F.col("vec_id").alias("product_id"), "label", F.col("v").alias("p"))
-    asked = unit.where("vec_id % 100 = 1").select("vec_id", "label", "v")
-    dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = asked.join(products, "label").select("vec_id", "product_id", (F.floor(dot * 1e5 + 0.5) / 1e5).alias("sim"))
-    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("product_id", "sim"), F.struct("sim", -F.col("product_id"))).alias("b"))
-    return best.select("vec_id", "b.product_id", "b.sim", (F.col("b.sim") >= 0.75).alias("accepted"))
+    return nearest(spark, sf_dir, "vec_id % 100 = 1", "vec_id % 2 = 0")
+
+
+@query("q_resolve_blocked_whole", f"""WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
+s AS (SELECT q.vec_id, p.vec_id AS product_id, floor(list_cosine_similarity(q.v, p.v) * 1e5 + 0.5) / 1e5 AS sim FROM e q JOIN e p ON p.label = q.label AND p.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT vec_id, product_id, sim, sim >= 0.75 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, product_id) = 1""")
+def q_resolve_blocked_whole(spark, sf_dir):
+    """q_resolve_blocked for every 100th id against all other rows."""
+    return nearest(spark, sf_dir, "vec_id % 100 = 0", "true")
 
 
 @query("q_title_match", """WITH t AS (SELECT p_partkey, p_brand, p_type, string_split(lower(p_name), ' ') AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_partkey % 100 = 0)
