@@ -15,7 +15,7 @@ from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.fingerprint import chunks_of, fingerprint, fingerprints, likeness
-from tidemark.llm.html_text import extract_text
+from tidemark.llm.html_text import blocks_of, extract_text, main_text, trained_tree
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import copies_of, mix
 from tidemark.llm.secrets import RULES, find_secrets, redact, trigram_query
@@ -251,6 +251,19 @@ def test_html(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attrs", ["", 'aria-hidden="false"', "style='overflow:hidden'", 'data-hidden="1"', "data-x=hidden", "class=hidden-xs", "title='an ad, hidden'"])
+@pytest.mark.parametrize("tag", ["body", "main", "div"])
+def test_html_hidden_is_an_attribute_of_that_name(tag, attrs):
+    page = f"<html><{tag} {attrs}><article><h1>A title</h1><p>This is the first paragraph of a story that goes on for a while.</p></article></{tag}></html>"
+    assert main_text(page, trained_tree()) == "A title\nThis is the first paragraph of a story that goes on for a while."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN", "hidden=''", 'class="x" hidden', 'aria-hidden="true"', "aria-hidden=TRUE", 'hidden="until-found"'])
+def test_html_hidden_elements_are_frame(attrs):
+    text = "This is the first paragraph of a story that goes on for a while."
+    assert [b[3] for b in blocks_of(f"<div><section {attrs}><p>{text}</p></section><p>{text}</p></div>")] == [1, 0]
+
+
 @pytest.mark.parametrize("name", ["op4_chat_formatting", "op8_warc"])
 def test_twins(spark, name):
     assert difference(registry.QUERIES[name](spark, SF), database(SF), registry.ORACLES[name]) == ""

@@ -30,7 +30,9 @@ _TOKEN = re.compile(
     |<[!?][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
 )
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: A name, and its value if it has one; values are passed over as a whole, so nothing inside them is read as a name.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_WORDED = frozenset("class id role itemprop".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template tfoot th thead tr ul video audio".split())
 _VOID = frozenset("hr".split())
 #: Closed by the next block, so never on the stack.
@@ -44,13 +46,12 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 def _place(name: str, attrs: str, in_article: bool) -> int:
     """1 for an element of the page's frame, 2 for one that holds the article, else 0."""
     words: set[str] = set()
-    if "=" in attrs or "hidden" in attrs:
-        for key, *values in _ATTR.findall(attrs):
-            if key.lower() == "hidden":
-                if attrs[: attrs.lower().find("hidden")].count('"') % 2 == 0:
-                    return 1
-            else:
-                words.update(re.split(r"[^a-z]+", "".join(values).lower()))
+    for key, *values in _ATTR.findall(attrs):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
+            return 1
+        if key in _WORDED:
+            words.update(re.split(r"[^a-z]+", value))
     if name in _FRAME and not (name == "header" and in_article):
         return 1
     if name in ("html", "body", "main"):
