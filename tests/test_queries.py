@@ -40,3 +40,8 @@ def test_blocked_resolver_asks_all_rows(spark):
     got = registry.QUERIES["q_resolve_blocked_whole"](spark, "/root/testdata/sf0.1").collect()
     assert len(got) == 20 and all(r["vec_id"] % 100 == 0 and r["product_id"] != r["vec_id"] for r in got)
     assert {r["product_id"] % 2 for r in got} == {0, 1}
+
+
+def test_alerts_reach_all_customers(spark):
+    got = registry.QUERIES["q_alert_match_whole"](spark, SF).select("user_id").distinct().collect()
+    assert {r["user_id"] % 2 for r in got} == {0, 1}

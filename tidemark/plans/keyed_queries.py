@@ -189,12 +189,22 @@ cfg AS (SELECT c_custkey AS user_id, floor(c_acctbal / 100) / 100.0 AS min_roi,
 SELECT user_id, buy_mp, sell_mp FROM cfg JOIN best ON roi >= min_roi AND (max_profit IS NULL OR profit <= max_profit)"""
 
 
+def alerts(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+    best = opps(spark, sf_dir).groupBy("buy_mp", "sell_mp").agg(F.max("roi").alias("roi"), F.max("net_profit").alias("profit"))
+    cfg = customers.selectExpr("c_custkey AS user_id", "floor(c_acctbal / 100) / 100.0 AS min_roi", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS max_profit")
+    return cfg.join(F.broadcast(best), F.expr("roi >= min_roi AND (max_profit IS NULL OR profit <= max_profit)")).select("user_id", "buy_mp", "sell_mp")
+
+
 @query("q_alert_match", upto("opps", _ALERT_SQL))
 def q_alert_match(spark, sf_dir):
     """Alert settings against the best of each route. At most one row per valid route is broadcast, so the size is fixed."""
-    best = opps(spark, sf_dir).groupBy("buy_mp", "sell_mp").agg(F.max("roi").alias("roi"), F.max("net_profit").alias("profit"))
-    cfg = load(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS user_id", "floor(c_acctbal / 100) / 100.0 AS min_roi", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS max_profit")
-    return cfg.join(F.broadcast(best), F.expr("roi >= min_roi AND (max_profit IS NULL OR profit <= max_profit)")).select("user_id", "buy_mp", "sell_mp")
+    return alerts(spark, sf_dir, load(spark, sf_dir, "customer").where("c_custkey % 2 = 0"))
+
+
+@query("q_alert_match_whole", upto("opps", _ALERT_SQL.replace(" WHERE c_custkey % 2 = 0", "")))
+def q_alert_match_whole(spark, sf_dir):
+    """q_alert_match with every customer as an alert setting."""
+    return alerts(spark, sf_dir, load(spark, sf_dir, "customer"))
 
 
 _OUTCOME = "l_partkey AS product_id, l_extendedprice * 0.1 AS est, l_extendedprice * (1 - l_discount) * (1 + l_tax) - l_extendedprice * 0.92 AS act, l_returnflag <> 'R' AS sold, l_linestatus = 'F' AS executed"
