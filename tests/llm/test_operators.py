@@ -96,7 +96,7 @@ def test_toxicity_on_the_held_out_fold(spark, docs, none):
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     assert {r["score"] for r in odd if not (r["text"] or "").strip()} == {0.0}
     assert score_toxicity(none, model).count() == 0
-    assert fit([])[0].max() == 0
+    assert fit([], np.empty(0, np.int32))[0].max() == 0
 
 
 def test_offending_sentence_is_located(spark):

@@ -5,21 +5,28 @@ A sentence scores sigma(bias + sum of the weights of its words and of their begi
 lower case) and their first 4 to 7 bytes, hashed to 2^20 slots. A feature is used if the labels of the training
 documents that hold it deviate beyond chance, by a likelihood ratio above 2 ln(features); the weights of those
 are fitted by full-batch Adam on the likelihood of the document labels alone. The fit sees at most ``max_train``
-labelled documents (those with the least hash of their id), so it has a fixed size; every document is then
-scored whole, in one pass without a shuffle, and its offending sentences are located.
+labelled documents (those with the least hash of their id), so it has a fixed size; features are counted and
+chosen by Spark aggregates. Every document is then scored whole, in one pass without a shuffle, and its
+offending sentences are located.
 
 Texts without words score by no sentence at all: 0. Null texts are empty; documents without an id are scored
-like others. Unlabelled rows, null labels and held-out rows are never learned from. With no labels all scores are 0.
+like others, very long ones in pieces of whole texts. Repeated rows get equal scores; of rows that share an id
+one is learned from, and of conflicting labels of an id the toxic one. Unlabelled rows, null labels and held-out
+rows are never learned from. With no labels, or one label only, all scores are 0 (to 1e-8). Columns named
+score or sentences are replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, encoded, load, mix, word_pieces
+from tidemark.llm.common import U64, encoded, load, materialize, mix, word_pieces
 
 _SLOTS = 20
 _BEGINNINGS = (4, 5, 6, 7)
@@ -60,64 +67,100 @@ def _sentences(texts: list[bytes]):
         yield lo, _slots(data, starts, lens, hashes), first, per_doc, starts[first] - begin[owner], ends[number[first]] - begin[owner]
 
 
-def _features(batches):
+def _of_documents(batches):
+    """Label, slots of each word and words of each sentence, one document at a time."""
     for batch in batches:
         texts = encoded(batch["text"])
-        rows = [(b"", b"")] * len(texts)
+        labels = batch["toxic"].to_pylist()
         for lo, slots, first, per_doc, _, _ in _sentences(texts):
-            word, s = 0, 0
-            bounds = np.append(first, len(slots))
+            bounds, s = np.append(first, len(slots)), 0
             for i, n in enumerate(per_doc.tolist()):
-                sizes = np.diff(bounds[s : s + n + 1])
-                total = int(sizes.sum())
-                rows[lo + i] = (slots[word : word + total].tobytes(), sizes.astype(np.int32).tobytes())
-                word, s = word + total, s + n
-        yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["toxic", "slots", "sizes"])
-
-
-def _telling(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Slots whose documents are toxic more often than chance explains; pairs: slot * documents + document, distinct."""
-    n = len(label)
-    held = np.bincount(pairs // n, minlength=1 << _SLOTS)
-    toxic = np.bincount(pairs // n, weights=label[pairs % n], minlength=1 << _SLOTS)
-    rate, own = label.mean(), toxic / np.maximum(held, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.nan_to_num(toxic * np.log(own / rate)) + np.nan_to_num((held - toxic) * np.log((1 - own) / (1 - rate))))
-    good = (own > rate) & (ratio > 2 * np.log(max(2, (held > 1).sum())))
-    good[0] = False
-    return good
-
-
-def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Slot weights and bias that make the noisy-or of each document's sentences fit its label."""
+                own = bounds[s : s + n + 1]
+                yield labels[lo + i], slots[own[0] : own[-1]], np.diff(own)
+                s += n
+
+
+def _held(batches):
+    """How many documents, and how many toxic ones, hold each slot; slot -1 counts them all."""
+    held, toxic = np.zeros((2, (1 << _SLOTS) + 1), np.int64)
+    for label, slots, sizes in _of_documents(batches):
+        if len(sizes):
+            mine = np.append(np.unique(slots), -1)
+            held[mine] += 1
+            toxic[mine] += label
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_pydict({"slot": np.where(at == 1 << _SLOTS, -1, at).astype(np.int32), "held": held[at], "toxic": toxic[at]})
+
+
+def _patterns(telling: np.ndarray):
+    """Per document its distinct sentences, as lists of telling slots, each with how often it occurs."""
+
+    def patterns(batches):
+        number = np.full(1 << _SLOTS, -1, np.int32)
+        number[telling] = np.arange(len(telling))
+        rows = []
+        for label, slots, sizes in _of_documents(batches):
+            found = number[slots]
+            word, column = np.nonzero(found >= 0)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[word]
+            seen: Counter = Counter()
+            cuts = np.flatnonzero(np.diff(sentence, prepend=-1, append=-1)) if len(sentence) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                seen[tuple(sorted(found[word[i:j], column[i:j]].tolist()))] += 1
+            if blank := len(sizes) - seen.total():
+                seen[()] = blank
+            if seen:
+                ordered = sorted(seen.items())
+                rows.append((label, [n for _, n in ordered], [len(x) for x, _ in ordered], [k for x, _ in ordered for k in x]))
+        cols = list(zip(*rows)) or [[], [], [], []]
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, ints) for c in cols[1:])], ["toxic", "times", "sizes", "slots"])
+
+    return patterns
+
+
+def telling_slots(sample: DataFrame) -> np.ndarray:
+    """Slots whose documents in sample(text, toxic) are toxic more often than chance explains; at most 2^20 numbers."""
+    counts = sample.mapInArrow(_held, "slot int, held long, toxic long").groupBy("slot").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic"))
+    counts = materialize(counts, "toxicity-slots")
+    n, toxic, features = counts.agg(F.max(F.when(F.col("slot") < 0, F.col("held"))), F.max(F.when(F.col("slot") < 0, F.col("toxic"))), F.count_if(F.expr("held > 1 and slot >= 0"))).first()
+    if not n or toxic in (0, n):
+        return np.empty(0, np.int32)
+    rate, own = F.lit(toxic / n), F.col("toxic") / F.col("held")
+    ratio = 2 * (F.col("toxic") * F.ln(own / rate) + F.coalesce((F.col("held") - F.col("toxic")) * F.ln((1 - own) / (1 - rate)), F.lit(0.0)))
+    good = counts.where("slot > 0").where((own > rate) & (ratio > 2 * math.log(max(2, features))))
+    return good.select("slot").orderBy("slot").toArrow()["slot"].to_numpy().astype(np.int32)
+
+
+def fit(rows: list[tuple[int, list[int], list[int], list[int]]], slots: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Slot weights and bias that make the noisy-or of each document's sentences fit its label.
+
+    A row is a document: its label, then for its distinct sentences how often each occurs, how many telling
+    slots it has, and their numbers within slots, one after the other.
+    """
     weights, bias = np.zeros(1 << _SLOTS, np.float32), -20.0
-    width = 1 + len(_BEGINNINGS)
-    rows = [(float(y), np.frombuffer(w, np.int32).reshape(-1, width), np.frombuffer(n, np.int32)) for y, w, n in rows if n]
-    if len({y for y, _, _ in rows}) < 2:
+    if len({r[0] for r in rows}) < 2:
         return weights, bias
-    label = np.array([y for y, _, _ in rows])
-    telling = _telling(np.concatenate([np.unique(w).astype(np.int64) * len(rows) + i for i, (_, w, _) in enumerate(rows)]), label)
-    sizes = np.concatenate([n for _, _, n in rows])
-    docs = np.repeat(np.arange(len(rows)), [len(n) for _, _, n in rows])
-    words = np.concatenate([w for _, w, _ in rows])
-    at, column = np.nonzero(telling[words])
-    used, word = np.unique(words[at, column], return_inverse=True)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)[at]
-    beta, bias = np.zeros(len(used)), -6.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    rows = sorted(rows)
+    label = np.array([r[0] for r in rows], float)
+    docs = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    times, sizes, word = (np.concatenate([np.asarray(r[i], np.int64) for r in rows]) for i in (1, 2, 3))
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    beta, bias = np.zeros(len(slots)), -6.0
+    m, v, mb, vb = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, weights=beta[word], minlength=len(sizes)), -30, 30)))
-        clean = np.bincount(docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(rows))
+        clean = np.bincount(docs, weights=times * np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(rows))
         toxic = np.maximum(-np.expm1(clean), 1e-9)
-        slope = p * (label * (1 - toxic) / toxic - (1 - label))[docs]
-        g = np.bincount(word, weights=slope[sentence], minlength=len(used)) / len(rows) - decay * beta
+        slope = times * p * (label * (1 - toxic) / toxic - (1 - label))[docs]
+        g = np.bincount(word, weights=slope[sentence], minlength=len(slots)) / len(rows) - decay * beta
         gb = slope.sum() / len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         beta += fix * m / (np.sqrt(v) + 1e-8)
         bias += fix * mb / (np.sqrt(vb) + 1e-8)
-    weights[used] = beta
+    weights[slots] = beta
     return weights, float(bias)
 
 
@@ -146,13 +189,19 @@ def _score(weights: np.ndarray, bias: float, located: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[np.ndarray, float]:
-    """Fit on labelled documents outside the held-out fold, at most max_train of them."""
+    """Fit on labelled documents outside the held-out fold, at most max_train of them; of rows that share an id the least text.
+
+    The driver gets the telling slots, and of each learned document its distinct sentences as lists of those.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
+    picked = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers, so the broadcast has a bound.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = sample.select("text", "toxic").mapInArrow(_features, "toxic int, slots binary, sizes binary").collect()
-    return fit(sorted((r["toxic"], bytes(r["slots"]), bytes(r["sizes"])) for r in rows))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = materialize(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
+    slots = telling_slots(sample)
+    kind = "toxic int, times array<int>, sizes array<int>, slots array<int>"
+    rows = sample.mapInArrow(_patterns(slots), kind).toArrow() if len(slots) else None
+    return fit(list(zip(*(rows[c].to_pylist() for c in rows.column_names))) if rows else [], slots)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], located: float = 0.5) -> DataFrame:
