@@ -29,10 +29,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on a local master where none is set."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,9 +66,19 @@ def chunk_count(df: DataFrame, chunk_mb: int = 32) -> int:
     return max(least, -(-size * 4 // (chunk_mb << 20)))
 
 
+def range_count(chunks: int, chunk_mb: int = 32) -> int:
+    """How many hash ranges a chunk sends its hashes to.
+
+    As many as chunks, so a range is no larger than a chunk, but never so many that a full chunk sends fewer than
+    about 80 hashes to one: beyond that the messages grow in proportion to the input, not to its square. Inputs of
+    so many chunks want a larger chunk_mb, which holds the ranges' size in step.
+    """
+    return max(1, min(chunks, chunk_mb << 11))
+
+
 def chunk_of(key: str, text: str, chunks: int) -> Column:
-    """Rows of one key share a chunk; rows without a key are spread by their text."""
-    return F.pmod(F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text))), F.lit(chunks)).cast("int")
+    """Rows are spread by key and text, so neither a frequent key nor rows without one share a chunk."""
+    return F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(chunks)).cast("int")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

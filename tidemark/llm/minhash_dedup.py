@@ -15,7 +15,10 @@
    So each pair that shares a band and is not yet connected is verified. Classes are components of all links.
 
 Texts with equal words (ASCII letters in either case) are one node. Documents with fewer than five words
-have one shingle of all words. Documents without words, or without an id, are classes of their own.
+have one shingle of all words. Documents without words (null, empty), or without an id, are classes of their own.
+Very long texts are sampled in pieces of draws, from all their shingles. Repeated rows, and rows that share an id
+but not the text, count as documents of their own; ties of the least weight go to the least digest. An empty
+table gives an empty result. Other columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, materialize, mix, pack, rolling, unpack, word_hashes
+from tidemark.llm.common import U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, materialize, mix, pack, range_count, remove, rolling, unpack, word_hashes
 from tidemark.llm.components import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _ANSWER = "chunk int, bucket int, payload binary"
-_SIGNED = "doc_id long, node string, total double, own double, vec binary, bands array<long>"
+_SIGNED = "doc_id long, mark long, node string, total double, own double, vec binary, bands array<long>"
 _LINKS = "u string, v string"
 #: So many draws are held at a time.
 _DRAWS = 1 << 18
@@ -132,12 +135,18 @@ def _bands(hashes: np.ndarray, weights: np.ndarray, bands: int, rows: int) -> li
     return key.view(np.int64).tolist()
 
 
+def _signed_rows(rows: list[tuple]) -> pa.Table:
+    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "node": pa.string(), "total": pa.float64(), "own": pa.float64(), "vec": pa.binary(), "bands": pa.list_(pa.int64())}
+    cols = list(zip(*rows)) or [[]] * len(kinds)
+    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), cols)})
+
+
 def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
     scale = 1 / max(1e-9, math.log2(max(2, n_docs)))
 
     def sign(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "node": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "vec": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64()))})
+            return _signed_rows([])
         known, code = np.empty(0, np.uint64), np.empty(0, np.uint8)
         if shared.num_rows:
             known, code = (np.concatenate(x) for x in zip(*[(np.cumsum(v), c) for v, c in (unpack(p) for p in shared["payload"].to_pylist())]))
@@ -145,9 +154,9 @@ def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
             known, code = known[order], code[order]
         texts = encoded(table["text"])
         out, done = [], {}
-        for doc, text, (hashes, times) in zip(table["doc_id"].to_pylist(), texts, _shingles(texts, k)):
+        for doc, mark, text, (hashes, times) in zip(table["doc_id"].to_pylist(), table["mark"].to_pylist(), texts, _shingles(texts, k)):
             if doc is None or not len(hashes):
-                out.append((doc, None, 0.0, 0.0, None, None))
+                out.append((doc, mark, None, 0.0, 0.0, None, None))
                 continue
             node = hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).hexdigest()
             if node not in done:
@@ -163,9 +172,8 @@ def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
                     done[node] = (total, (total - held) / total, vec, _bands(hashes, weights, bands, rows))
                 else:
                     done[node] = (total, (total - held) / total, None, None)
-            out.append((doc, node, *done[node]))
-        cols = list(zip(*out))
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "node": pa.array(cols[1], pa.string()), "total": pa.array(cols[2], pa.float64()), "own": pa.array(cols[3], pa.float64()), "vec": pa.array(cols[4], pa.binary()), "bands": pa.array(cols[5], pa.list_(pa.int64()))})
+            out.append((doc, mark, node, *done[node]))
+        return _signed_rows(out)
 
     return sign
 
@@ -240,16 +248,23 @@ def _compare(similarity: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, chunk_mb: int = 32, block_mb: int = 4) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and is_first, for each row of docs(doc_id, text).
+def mark_of(text: str) -> Column:
+    """A hash of the text, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, chunk_mb: int = 32, block_mb: int = 4, block_rows: int = 512) -> DataFrame:
+    """doc_id, mark, class_id (the least doc_id of its class), n_links and is_first, for each row of docs(doc_id, text).
 
     Classes are the connected components of "equal words, or weighted Jaccard similarity of at least
     ``similarity`` over shingles of ``words`` words". A pair at 0.8 shares none of the 24 bands with
-    probability 7e-5, one at 0.85 with 8e-7.
+    probability 7e-5, one at 0.85 with 8e-7. mark is a hash of the text, which tells rows of one id apart; is_first
+    is true for the rows of the least (doc_id, mark) of a class. n_links counts the verified links of the
+    row's text to other texts; links inside what is connected already need no verification and are not counted.
     """
     chunks = chunk_count(docs, chunk_mb)
-    by_chunk = docs.select(F.col("doc_id").cast("long"), "text", chunk_of("doc_id", "text", chunks).alias("chunk")).groupBy("chunk")
-    shared = by_chunk.applyInArrow(_send_counts(words, chunks), _ANSWER).groupBy("bucket").applyInArrow(_shared, _ANSWER)
+    by_chunk = docs.select(F.col("doc_id").cast("long"), mark_of("text").alias("mark"), "text", chunk_of("doc_id", "text", chunks).alias("chunk")).groupBy("chunk")
+    shared = by_chunk.applyInArrow(_send_counts(words, range_count(chunks, chunk_mb)), _ANSWER).groupBy("bucket").applyInArrow(_shared, _ANSWER)
     signed = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_sign(words, bands, rows, similarity, docs.count()), _SIGNED)
     signed = materialize(signed, "signed")
 
@@ -271,25 +286,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     placed = nodes.select("node", F.length("vec").alias("size")).join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "size")
     placed = materialize(placed.join(groups, "comp"), "placed")
     per_comp = placed.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    per_group = per_comp.groupBy("grp").agg(F.max(F.struct("n", "size", "comp")).alias("top"), F.sum("size").alias("size"))
-    block = block_mb << 20
-    per_group = per_group.select("grp", F.col("top.comp").alias("top"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.size") + 1) / block).cast("int").alias("ask_blocks"))
+    per_group = per_comp.groupBy("grp").agg(F.max(F.struct("n", "size", "comp")).alias("top"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+    # A block is bounded in bytes and in rows; comparisons of a large group are so spread over tasks.
+    blocks = lambda size, n: F.greatest(F.ceil((size + 1) / (block_mb << 20)), F.ceil((n + 1) / block_rows)).cast("int")
+    asking = blocks(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n"))
+    per_group = per_group.select("grp", F.col("top.comp").alias("top"), blocks(F.col("size"), F.col("n")).alias("blocks"), asking.alias("ask_blocks"))
     spread = placed.join(per_group, "grp").join(nodes.select("node", "total", "vec", "bands"), "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["grp", "node", "comp", "total", "vec", "bands"]
     asks = spread.where("comp <> top").select(*columns, F.lit(True).alias("asks"), at("ask_blocks").alias("p"), all_of("blocks").alias("q"))
     answers = spread.select(*columns, F.lit(False).alias("asks"), all_of("ask_blocks").alias("p"), at("blocks").alias("q"))
-    late = asks.unionByName(answers).groupBy("grp", "p", "q").applyInArrow(_compare(similarity), _LINKS)
-    comps = components(links.select("u", "v").unionByName(late))
-
-    firsts = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(comps, "node", "left")
-    firsts = firsts.where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
-    classes = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "class_id")
-    out = signed.select("doc_id", "node").join(classes, "node", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("is_first"))
+    late = materialize(asks.unionByName(answers).groupBy("grp", "p", "q").applyInArrow(_compare(similarity), _LINKS), "late")
+    every = links.select("u", "v").unionByName(late)
+    found = components(every)
+    ends = every.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    joined = materialize(found.join(ends, "node"), "classes")
+    for done in (nodes, pairs, links, comps, groups, placed, late, found):
+        remove(docs.sparkSession, done)
+
+    firsts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n")).join(joined, "node", "left")
+    firsts = firsts.where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("of_class")), "root").select("node", "of_class", "n_links")
+    out = signed.select("doc_id", "mark", "node").join(classes, "node", "left")
+    is_first = (F.col("doc_id") == F.col("of_class.doc_id")) & (F.col("mark") == F.col("of_class.mark"))
+    return out.select("doc_id", "mark", F.coalesce("of_class.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(is_first, F.lit(True)).alias("is_first"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents"))
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "is_first")

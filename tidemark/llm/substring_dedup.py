@@ -9,8 +9,9 @@ Work is spread twice, once by document chunk and once by hash range, and both ex
 sorted hashes (about four bytes a word). Each chunk sends one entry per distinct hash, so a passage
 that a third of the corpus shares costs one entry per chunk, not one per occurrence or per pair.
 
-Windows are compared by 96 hash bits. Null texts have no words; null ids order first, rows that
-share an id order by text. Empty tables give empty results.
+Windows are compared by 96 hash bits. Null and empty texts have no words; null ids order first, rows that share
+an id come in a fixed order of chunk and text, so of repeated rows one keeps its words. Very long texts
+fill a chunk of their own size. Empty tables give empty results. Other columns of docs are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, mix, pack, rolling, unpack, word_hashes
+from tidemark.llm.common import U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, mix, pack, range_count, rolling, unpack, word_hashes
 
 _ANSWER = "chunk int, bucket int, kind int, payload binary"
 _FIRST = np.iinfo(np.int64).min
@@ -193,10 +194,11 @@ def dedup_substrings(docs: DataFrame, window: int = 20, chunk_mb: int = 32) -> D
         raise ValueError("a window has two words or more")
     size = window // 2
     chunks = chunk_count(docs, chunk_mb)
+    ranges = range_count(chunks, chunk_mb)
     texts = docs.select(F.col("doc_id").cast("long"), "text", chunk_of("doc_id", "text", chunks).alias("chunk"))
     by_chunk = texts.groupBy("chunk")
-    hits = by_chunk.applyInArrow(_send_grams(size, chunks), _ANSWER).groupBy("bucket").applyInArrow(_match_grams, _ANSWER)
-    repeats = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(_send_windows(window, size, chunks), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
+    hits = by_chunk.applyInArrow(_send_grams(size, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_grams, _ANSWER)
+    repeats = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(_send_windows(window, size, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
     return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
