@@ -153,14 +153,36 @@ def test_contamination(spark, docs, none, sample):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     sql = registry.ORACLES["op7_decontaminate"]
     assert difference(registry.QUERIES["op7_decontaminate"](spark, SF), database(SF), sql) == ""
-    sliced = find_contamination(sample, bench, slice_bytes=4096).select("doc_id", "n_hit", F.array_sort("items"))
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, find_contamination(sample, bench).select("doc_id", "n_hit", F.array_sort("items")).collect()))
     item = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, None), (3, "w3"), (None, "tail words")], "item_id long, text string")
     out = {r["doc_id"]: r for r in find_contamination(docs, item).collect()}
     assert out[1]["contaminated"] and out[1]["n_hit"] == 20 and out[1]["items"] == [1, 3] and not out[6]["contaminated"] and out[3]["n_words"] == 0
     assert find_contamination(none, item).count() == 0 and find_contamination(docs, item.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_matches_brute_force(spark):
+    """A benchmark of more text than the documents, few words, so that windows share prefixes and items share windows."""
+    rng = np.random.default_rng(3)
+    text = lambda n, m: " ".join(f"W{x}" if x % 2 else f"w{x}." for x in rng.integers(0, m, n))
+    items = [(i % 150, text(int(n), 40)) for i, n in enumerate(rng.integers(0, 40, 200))] + [(900, "w1"), (901, "w2 w3"), (902, "unseen w1 w2"), (903, "")]
+    docs = [(i, text(int(n), 40)) for i, n in enumerate(rng.integers(0, 400, 40))]
+    docs += [(100 + i, docs[i][1] + " " + items[i][1] + " x " + items[i + 7][1]) for i in range(30)] + [(100, docs[0][1])]
+    words = lambda t: re.findall("[0-9a-z]+", t.lower())
+    want = []
+    for doc, body in docs:
+        own, hit, ids = words(body), set(), set()
+        for item, asked in items:
+            w = words(asked)
+            size = min(13, len(w))
+            for j in range(len(w) - size + 1 if w else 0):
+                for i in range(len(own) - size + 1):
+                    if own[i : i + size] == w[j : j + size]:
+                        hit.update(range(i, i + size))
+                        ids.add(item)
+        want.append((doc, len(own), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(own)))
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()) == sorted(want)
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>"
     pages = [(1, "http://a/é", big), (2, "http://b", big), (3, None, None), (4, "http://c", "small"), (5, "http://d", "small"), (None, "http://e", big), (1, "http://a/é", big), (6, "http://f", "y" * 300000)]
@@ -264,6 +286,35 @@ def test_html_hidden_elements_are_frame(attrs):
     assert [b[3] for b in blocks_of(f"<div><section {attrs}><p>{text}</p></section><p>{text}</p></div>")] == [1, 0]
 
 
+STORY = "<h1>A title of some words</h1><p>" + "The first paragraph says what happened and to whom. " * 5 + "</p><p>Short &eacute;&nbsp;one.</p><p>" + "The last one tells what came of it. " * 6 + "</p>"
+STORY_TEXT = "A title of some words\n" + ("The first paragraph says what happened and to whom. " * 5).strip() + "\nShort é one.\n" + ("The last one tells what came of it. " * 6).strip()
+AROUND = "<nav><ul><li><a href=/>Home</a><li><a href=/x>All the news</a></ul></nav>{}<div class=comments><article><p>" + "I do not agree with any of this, and I say so at length. " * 12 + "</p></article></div><footer>Imprint 2024</footer>"
+
+
+@pytest.mark.parametrize("inner", ["article", "div", "main", "section", "td"])
+@pytest.mark.parametrize("outer", ["div class='content-sidebar-wrap'", "div aria-hidden='false'", "div class='page search'", "form id=f", "div class='elementor-widget'", "section class=banner-layout", "div class='nav-wrapper'", "div id=share-container", "body class='with-sidebar'", "table"])
+def test_html_articles_survive_their_markup(inner, outer):
+    page = AROUND.format(f"<{outer}><{inner}>{STORY}</{inner}><div class=sidebar><p>Popular today, a list of links.</p></div></{outer.split()[0]}>")
+    assert main_text(page, trained_tree()) == STORY_TEXT
+
+
+@pytest.mark.parametrize("frame", ["div class=sidebar", "aside", "div class=advert", "div id=newsletter-signup", "form", "div class=cookie-notice", "div class='comment-content'", "footer", "header", "div role=navigation", "div class='widget search'", "noscript", "template", "div hidden"])
+@pytest.mark.parametrize("inner", ["article", "div class=post"])
+def test_html_frames_go(inner, frame):
+    name = inner.split()[0]
+    framed = f"<{frame}><p>Sign up to read more of what we and others write about this.</p></{frame.split()[0]}>"
+    tree = trained_tree()
+    assert main_text(AROUND.format(f"{framed}<{inner}>{STORY}</{name}>"), tree) == STORY_TEXT
+    assert main_text(AROUND.format(f"<{inner}>{STORY}{framed if not frame.startswith('header') else ''}</{name}>"), tree) == STORY_TEXT
+
+
+def test_html_long_and_repeated_pages(spark):
+    body = "".join(f"<p>Paragraph {i} of a very long page that goes on and on for ever.</p>" for i in range(40000))
+    rows = [(1, "u", f"<article>{body}</article>"), (2, "u", f"<article>{body}</article>"), (2, "u", f"<article>{body}</article>"), (3, "u", "<div class=ad>" * 20000 + "buy")]
+    out = [(r["page_id"], r["text"]) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(out) == 4 and all(len(t.split("\n")) == 40000 for i, t in out if i < 3)
+
+
 @pytest.mark.parametrize("name", ["op4_chat_formatting", "op8_warc"])
 def test_twins(spark, name):
     assert difference(registry.QUERIES[name](spark, SF), database(SF), registry.ORACLES[name]) == ""

@@ -1,13 +1,18 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks. Each block is described by its words and link density, those of
-the blocks before and after, and where it stands (under elements of a page's frame by tag, class, id or role;
-under the article; elsewhere on a page that has an article; a heading). A small decision tree, trained
-once per job on the labelled blocks below, tells text from the rest.
+the blocks before and after, and where it stands (below an element of the page's frame; in the article; elsewhere on
+a page that has an article; a heading). A small decision tree, trained once per job on the blocks of the labelled
+pages below, tells text from the rest.
+
+An element is taken for frame by its tag, class, id or role, but has to stand against the page: one that holds the
+page's article, or most of the unlinked words, is a layout and frames nothing. Only navigation, footers, comments
+and hidden elements are frame whatever they hold.
 
 Character references are decoded; white space in a block becomes one space, <br> too; blocks are trimmed and joined
-by a line feed. Null html is empty; pages without text give an empty text; broken markup is read on as far
-as it goes.
+by a line feed. Null html is empty; pages without text give an empty text; broken markup is read on as far as it
+goes, very long pages are read whole. Every row is read by itself: repeated rows give equal texts, ties of the tree go
+to "no text", an empty table gives an empty result. Other columns of pages are not looked at.
 """
 
 from __future__ import annotations
@@ -37,47 +42,85 @@ _BLOCK = frozenset("address article aside blockquote body button caption center
 _VOID = frozenset("hr".split())
 #: Closed by the next block, so never on the stack.
 _LOOSE = frozenset("p li dt dd td th tr option".split())
-_FRAME = frozenset("nav header footer aside form button select noscript template dialog menu svg object video audio head fieldset".split())
-_FRAME_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer header legal login menu modal nav navbar navigation newsletter notice notices outbrain pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe taboola teaser toolbar widget complementary contentinfo".split())
+_HARD = frozenset("nav footer button select noscript template dialog menu svg object video audio head".split())
+_SOFT = frozenset("header form fieldset".split())
+_HARD_WORDS = frozenset("comment comments cookie cookies disqus footer menu nav navbar navigation replies reply respond contentinfo".split())
+_FRAME_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline complementary consent copyright header legal login modal newsletter notice notices outbrain pagination popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe taboola teaser toolbar widget".split())
 _TEXT_WORDS = frozenset("article articlebody content entry main post story".split())
+#: Beside these, a word of the frame names a layout rather than an element of the frame.
+_LAYOUT_WORDS = frozenset("body container layout page site wrap wrapper".split()) | _TEXT_WORDS
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element says of the blocks below it: nothing, article, or frame that gives way to most evidence, to strong evidence or to none.
+_NONE, _ARTICLE, _WEAK, _STRONG, _FIRM = range(5)
 
 
-def _place(name: str, attrs: str, in_article: bool) -> int:
-    """1 for an element of the page's frame, 2 for one that holds the article, else 0."""
+def _kind(name: str, attrs: str, in_article: bool) -> int:
     words: set[str] = set()
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
-            return 1
+            return _FIRM
         if key in _WORDED:
             words.update(re.split(r"[^a-z]+", value))
-    if name in _FRAME and not (name == "header" and in_article):
-        return 1
+    if name in _HARD:
+        return _FIRM
+    if name == "aside":
+        return _STRONG
+    if name in _SOFT and not (name == "header" and in_article):
+        return _WEAK
     if name in ("html", "body", "main"):
-        return 2 if name == "main" else 0
-    framed = words & _FRAME_WORDS
-    if in_article:
-        framed -= {"header"}
-    if framed and not words & {"no", "has", "with", "without"}:
-        return 1
-    return 2 if name == "article" or words & _TEXT_WORDS else 0
+        return _ARTICLE if name == "main" else _NONE
+    if not words & {"no", "has", "with", "without"}:
+        if words & _HARD_WORDS:
+            return _WEAK if words & {"container", "content", "layout", "page", "site", "wrap", "wrapper"} and not words & {"comment", "comments"} else _FIRM
+        framed = words & _FRAME_WORDS
+        if in_article or words & _TEXT_WORDS:
+            framed -= {"header"}
+        if framed:
+            return _WEAK if words & _LAYOUT_WORDS or framed == {"widget"} else _STRONG
+    return _ARTICLE if name == "article" or words & _TEXT_WORDS else _NONE
+
+
+class _Frame:
+    """An element of the page's frame, with the unlinked words and the articles below it."""
+
+    def __init__(self, kind: int, above: _Frame | None = None):
+        self.kind, self.above, self.words, self.articles = kind, above, 0, 0
+        self.firm, self.frames = kind == _FIRM or (above is not None and above.firm), False
+
+    def stands(self, words: int, articles: int) -> bool:
+        """Does it frame the page, given the unlinked words and the articles outside firm frames? Not if it holds what is left of the page."""
+        share, whole = self.words / max(1, words), 0 < self.articles == articles
+        if self.kind == _WEAK:
+            return not (share > 0.5 or (whole and share > 0.1))
+        return self.kind == _FIRM or not ((whole and share > 0.5) or (not articles and share > 0.6))
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """Flat blocks of a page: (text, words, linked words, place, heading)."""
+    """Flat blocks of a page: (text, words, linked words, place, heading); place is 1 below a frame that stands, else 2 in an article, else 0."""
     out: list[tuple] = []
-    stack: list[tuple[str, int, int]] = []  # name, frames and articles at and above it
+    stack: list[tuple[str, _Frame | None, bool]] = []  # name, innermost frame and whether in an article, above it
     parts: list[str] = []
-    state = [0, 0]  # open frames, open articles
-    loose, heading, links, linked, at = 0, False, 0, [], 0
+    every: list[_Frame] = []  # the outer before the inner
+    frame: _Frame | None = None
+    in_article, loose, heading, links, linked, at = False, _NONE, False, 0, [], 0
+    words_outside, articles = 0, 0  # outside firm frames
 
     def end() -> None:
+        nonlocal words_outside
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                place = 1 if state[0] or loose == 1 else 2 if state[1] or loose == 2 else 0
-                out.append((text, len(text.split()), len("".join(linked).split()), place, heading))
+                words, of_links = len(text.split()), len("".join(linked).split())
+                if loose > _ARTICLE:
+                    every.append(own := _Frame(_FIRM, frame))
+                else:
+                    own = frame
+                if own:
+                    own.words += max(0, words - of_links)
+                if not (own and own.firm):
+                    words_outside += max(0, words - of_links)
+                out.append((text, words, of_links, own, in_article or loose == _ARTICLE, heading))
             parts.clear()
             linked.clear()
 
@@ -96,7 +139,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
             continue
         name = name.lower()
         if name == "a":
-            links = max(0, links + (-1 if m["close"] else 1)) if m["close"] else 1
+            links = 0 if m["close"] else 1
             if m["close"]:
                 linked.append(" ")
         elif name == "br":
@@ -105,29 +148,38 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
             end()
             links = 0
             if m["close"]:
-                loose = 0
+                loose = _NONE
                 if name in _HEADINGS:
                     heading = False
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        state[:] = stack[i][1:]
+                        frame, in_article = stack[i][1:]
                         del stack[i:]
                         break
-            elif name in _LOOSE:
-                loose, heading = _place(name, m["attrs"], bool(state[1])), False
-            elif name in _HEADINGS:
-                loose, heading = _place(name, m["attrs"], bool(state[1])), True
+            elif name in _LOOSE or name in _HEADINGS:
+                loose, heading = _kind(name, m["attrs"], in_article), name in _HEADINGS
             elif name not in _VOID:
-                place = _place(name, m["attrs"], bool(state[1]))
+                kind = _kind(name, m["attrs"], in_article)
                 if not m["attrs"].endswith("/"):
-                    stack.append((name, *state))
-                    state[0] += place == 1
-                    state[1] += place == 2
-                loose, heading = 0, False
+                    stack.append((name, frame, in_article))
+                    if kind > _ARTICLE:
+                        frame = _Frame(kind, frame)
+                        every.append(frame)
+                    elif kind == _ARTICLE and not (frame and frame.firm):
+                        in_article, articles = True, articles + 1
+                        if frame:
+                            frame.articles += 1
+                loose, heading = _NONE, False
     if at < len(page):
         text(page[at:])
     end()
-    return out
+    for f in reversed(every):
+        if f.above:
+            f.above.words += f.words
+            f.above.articles += f.articles
+    for f in every:
+        f.frames = f.stands(words_outside, articles) or (f.above is not None and f.above.frames)
+    return [(t, n, k, 1 if own and own.frames else 2 if inside else 0, h) for t, n, k, own, inside, h in out]
 
 
 def features(blocks: list[tuple[int, int, int, bool]]) -> np.ndarray:
@@ -142,26 +194,37 @@ def features(blocks: list[tuple[int, int, int, bool]]) -> np.ndarray:
     return np.stack([words, density, before(words), before(density), after(words), after(density), place == 1, place == 2, outside, heading], axis=1).astype(float)
 
 
-#: Labelled blocks of fifteen made-up pages, in page order: words, linked words, place, heading, and whether it is text.
+#: The labelled table: written pages, where {n} stands for n words and [n] for n linked ones; blocks that start with + are text.
 LABELLED = (
-    ((1, 1, 1, 0, 0), (1, 1, 1, 0, 0), (2, 2, 1, 0, 0), (9, 0, 1, 0, 0), (8, 0, 2, 1, 1), (64, 0, 2, 0, 1), (2, 0, 2, 0, 1), (120, 3, 2, 0, 1), (1, 0, 2, 0, 1), (12, 0, 1, 0, 0)),
-    ((3, 3, 0, 0, 0), (3, 3, 0, 0, 0), (2, 2, 0, 0, 0), (7, 0, 0, 1, 1), (55, 1, 0, 0, 1), (80, 0, 0, 0, 1), (14, 0, 0, 0, 1), (47, 2, 0, 0, 1), (4, 4, 0, 0, 0), (5, 5, 0, 0, 0), (8, 2, 0, 0, 0)),
-    ((1, 0, 1, 0, 0), (6, 0, 2, 1, 1), (3, 0, 2, 0, 1), (30, 30, 2, 0, 1), (18, 0, 2, 0, 1), (40, 0, 1, 0, 0), (25, 1, 1, 0, 0), (33, 0, 1, 0, 0), (4, 0, 1, 0, 0)),
-    ((4, 4, 0, 0, 0), (2, 0, 0, 0, 0), (9, 0, 2, 1, 1), (5, 0, 2, 0, 1), (1, 0, 2, 0, 1), (70, 4, 2, 0, 1), (3, 0, 0, 0, 0), (22, 0, 0, 0, 0), (6, 6, 0, 0, 0)),
-    ((2, 2, 1, 0, 0), (60, 0, 1, 0, 0), (45, 0, 1, 0, 0), (11, 0, 2, 1, 1), (90, 0, 2, 0, 1), (4, 1, 2, 0, 1), (35, 0, 2, 0, 1), (28, 0, 1, 0, 0), (51, 2, 1, 0, 0)),
-    ((2, 2, 0, 0, 0), (6, 0, 0, 1, 1), (38, 0, 0, 0, 1), (9, 0, 0, 0, 1), (66, 0, 0, 0, 1), (3, 0, 0, 0, 0), (2, 2, 0, 0, 0), (2, 2, 0, 0, 0)),
-    ((5, 0, 2, 1, 1), (100, 8, 2, 0, 1), (2, 2, 2, 0, 1), (3, 1, 2, 0, 1), (75, 0, 2, 0, 1), (10, 10, 1, 0, 0), (9, 9, 1, 0, 0), (16, 0, 1, 0, 0)),
-    ((1, 1, 0, 0, 0), (1, 1, 0, 0, 0), (1, 1, 0, 0, 0), (42, 0, 0, 0, 1), (36, 0, 0, 0, 1), (50, 5, 0, 0, 1), (12, 11, 0, 0, 0), (7, 0, 0, 0, 0), (3, 3, 0, 0, 0)),
-    ((15, 0, 1, 0, 0), (2, 0, 2, 1, 1), (1, 0, 2, 0, 1), (4, 0, 2, 0, 1), (2, 0, 2, 0, 1), (20, 0, 1, 0, 0), (31, 0, 0, 0, 0), (9, 3, 0, 0, 0)),
-    ((3, 0, 0, 0, 0), (3, 3, 0, 0, 0), (4, 4, 0, 0, 0), (4, 0, 0, 0, 0), (2, 2, 0, 0, 0), (5, 5, 0, 0, 0)),
-    ((2, 2, 0, 0, 0), (40, 0, 0, 0, 1), (2, 0, 0, 0, 1), (50, 0, 0, 0, 1), (4, 0, 0, 0, 1), (6, 0, 0, 0, 1), (44, 1, 0, 0, 1), (3, 3, 0, 0, 0), (3, 3, 0, 0, 0)),
-    ((5, 0, 0, 1, 1), (30, 0, 0, 0, 1), (1, 0, 0, 0, 1), (72, 0, 0, 0, 1), (7, 0, 0, 1, 1), (58, 3, 0, 0, 1), (2, 2, 0, 0, 0), (4, 4, 0, 0, 0), (2, 0, 0, 0, 0)),
-    ((14, 0, 0, 0, 1),),
-    ((45, 0, 0, 0, 1),),
-    ((12, 0, 0, 0, 1), (16, 0, 0, 0, 1), (11, 0, 0, 0, 1)),
+    "<nav><li>[1]<li>[1]<li>[2]</nav><div class=ad>{9}</div><article><h1>+{8}</h1><p>+{64}<p>+{2}<p>+{117} [3]<p>+{1}</article><footer><p>{12}</footer>",
+    "<div>[3]</div><div>[3]</div><div>[2]</div><h1>+{7}</h1><p>+{54} [1]<p>+{80}<p>+{14}<p>+{45} [2]<ul><li>[4]<li>[5]</ul><p>{6} [2]",
+    "<header>{1}</header><main><h2>+{6}</h2><p>+{3}<p>+[30]<p>+{18}</main><aside><p>{40}<p>{24} [1]<p>{33}<p>{4}</aside>",
+    "<div>[4]</div><div>{2}</div><div class=post><h1>+{9}</h1><p>+{5}<p>+{1}<p>+{66} [4]</div><div>{3}</div><div>{22}</div><div>[6]</div>",
+    "<nav>[2]</nav><div id=cookie-notice><p>{60}<p>{45}</div><article><h1>+{11}</h1><p>+{90}<p>+{3} [1]<p>+{35}</article><section class=comments><p>{28}<p>{49} [2]</section>",
+    "<p>[2]<h1>+{6}</h1><p>+{38}<p>+{9}<p>+{66}<p>{3}<p>[2]<p>[2]",
+    "<main><h1>+{5}</h1><p>+{92} [8]<p>+[2]<p>+{2} [1]<p>+{75}</main><div class=related><p>[10]<p>[9]</div><footer>{16}</footer>",
+    "<p>[1]<p>[1]<p>[1]<p>+{42}<p>+{36}<p>+{45} [5]<p>{1} [11]<p>{7}<p>[3]",
+    "<form><p>{15}</form><article><h1>+{2}</h1><p>+{1}<p>+{4}<p>+{2}</article><aside>{20}</aside><div>{31}</div><div>{6} [3]</div>",
+    "<div>{3}</div><div>[3]</div><div>[4]</div><div>{4}</div><div>[2]</div><div>[5]</div>",
+    "<div>[2]</div><p>+{40}<p>+{2}<p>+{50}<p>+{4}<p>+{6}<p>+{43} [1]<p>[3]<p>[3]",
+    "<h1>+{5}</h1><p>+{30}<p>+{1}<p>+{72}<h2>+{7}</h2><p>+{55} [3]<p>[2]<p>[4]<p>{2}",
+    "<p>+{14}",
+    "<div>+{45}</div>",
+    "<p>+{12}<p>+{16}<p>+{11}",
+    "<div class='page search'><nav>[3]</nav><h1>+{6}</h1><p>+{52}<p>+{31} [2]<div class=sidebar><p>[3]<p>{18}</div></div><footer>[4]</footer>",
+    "<form id=f><div>[2]</div><article><h1>+{4}</h1><p>+{25}<p>+{1}<p>+{60}</article><fieldset>{5}</fieldset></form>",
+    "<div class=content-sidebar-wrap><article><header><h1>+{7}</h1></header><p>+{33}<p>+{41}<div class=newsletter-signup>{14}</div></article><div class=sidebar><p>{20}<p>[6]</div></div>",
+    "<main><h1>+{3}</h1><ul><li>+{4}<li>+{6}<li>+{2}</ul><p>+{19} [2]<blockquote>+{23}</blockquote><table><tr><td>+{2}<td>+{1}</table></main><div role=contentinfo>{9}</div>",
 )
 
 
+def written_page(template: str) -> str:
+    """The HTML of a labelled page."""
+    words = lambda n: " ".join(["word"] * int(n))
+    page = re.sub(r"\[(\d+)\]", lambda m: f"<a href=#>{words(m[1])}</a>", template)
+    return re.sub(r"\{(\d+)\}", lambda m: words(m[1]), page)
+
+
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1):
     """A classification tree by Gini impurity: a leaf's class, or (feature, limit, at most, above)."""
     if depth == 0 or len(y) < 2 * least or len(np.unique(y)) == 1:
@@ -192,8 +255,9 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
 
 
 def trained_tree(labelled=LABELLED):
-    x = np.concatenate([features([b[:4] for b in page]) for page in labelled])
-    return fit_tree(x, np.array([b[4] for page in labelled for b in page]))
+    pages = [blocks_of(written_page(template)) for template in labelled]
+    x = np.concatenate([features([b[1:] for b in page]) for page in pages])
+    return fit_tree(x, np.array([b[0].startswith("+") for page in pages for b in page], int))
 
 
 def main_text(page: str, tree) -> str:
