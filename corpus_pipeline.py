@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; it is written as
 Parquet and read again as the next one's docs. The last one also returns size, source_size, target and copies of each
 document and the number of the copy. Rows without an id pass the stages that compare documents by id.
+Tables of no rows give no rows; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import load, materialize
 from tidemark.llm.decontaminate import find_contamination
-from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.minhash_dedup import mark_of, near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.secrets import redact
 from tidemark.llm.toxicity import score_toxicity, train
@@ -25,9 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id in each class of near duplicates."""
-    repeated = near_duplicates(docs).where("not is_first").select("doc_id").distinct()
-    return docs.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates: of its least id, and of that the least hash of the text.
+
+    Rows are told apart by id and text. Of equal rows with an id and with words one stays; rows without an id or
+    without words are no duplicates of anything and stay.
+    """
+    key = ["doc_id", "_mark_of_text"]
+    marked = docs.withColumn("_mark_of_text", mark_of("text"))
+    compared = F.col("doc_id").isNotNull() & F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    repeated = near_duplicates(docs).where("not is_first").select("doc_id", F.col("mark").alias("_mark_of_text")).distinct()
+    # The aggregate and the join share one partitioning by the key.
+    kept = marked.where(compared).dropDuplicates(key).join(repeated, key, "left_anti")
+    return kept.unionByName(marked.where(~compared)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
