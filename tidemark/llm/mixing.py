@@ -10,7 +10,11 @@ keeps at most one fractional document, which goes on to the next level. Levels a
 folder. Only DataFrame functions run; draws are hashes of the ids and the seed, so reruns agree.
 
 Null texts and texts without words have size 0, expect the copies of their source like others, but take no
-words. A source without words has target 0. Rows may share an id; a null source is a source of its own.
+words. A source without words has target 0. Rows may share an id; a null source is a source of its own. Equal rows
+are one unit with a multiplicity: as many of them as their expected copies add up to get one more, so targets
+hold for them too. Very long texts are rows like others. Rows are told apart by id and 64 bits of hash. Sources
+are ranked in unpartitioned windows of one row a source, so their number should stay in the millions. Ties between
+sources go by code point. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import load, materialize
 
 _WORD = r"[^\x20\x09-\x0D]+"
+#: What tells rows apart.
+_ROW = "struct<hash:bigint,id:bigint>"
+#: Equal rows are written out so many at a time.
+_RUN = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -72,7 +80,7 @@ def _fold() -> Column:
         moved = F.struct(F.concat(acc["done"], F.array(F.when(whole_a, na).otherwise(nb))).alias("done"), F.when(whole_a, nb).otherwise(na).alias("open"))
         return F.when(a["row"].isNull(), F.struct(acc["done"].alias("done"), unit.alias("open"))).otherwise(moved)
 
-    kind = "struct<row:bigint,size:double,p:double,u:double>"
+    kind = f"struct<row:{_ROW},size:double,p:double,u:double>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
     return F.aggregate(F.array_sort(F.collect_list(F.struct("row", "size", "p", "u"))), start, step)
 
@@ -102,30 +110,51 @@ def round_copies(units: DataFrame, seed: int = 17, fan_in: int = 64) -> DataFram
     return done if done is not None else units.select("row", F.lit(0).alias("extra"))
 
 
-def copies_of(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, fan_in: int = 64) -> DataFrame:
-    """doc_id, source, mark, size, source_size, target and copies (0 to ``most``) for each row of docs(doc_id, text, source).
+def row_of(mark: Column) -> Column:
+    """Tells a row of columns doc_id and source apart, given a hash of its text."""
+    return F.struct(F.xxhash64("doc_id", "source", mark).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
 
-    mark is a hash of the text. Words are counted once; equal rows get equal copies.
+
+def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, fan_in: int = 64) -> DataFrame:
+    """Of each distinct row of docs(doc_id, text, source): row, doc_id, source, size, source_size, target, n (how often it occurs), whole and more.
+
+    Each occurrence gets ``whole`` copies, and ``more`` of them one on top; never more than ``most``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     sizes = materialize(docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), size.alias("size")), "sizes")
     targets = materialize(source_targets(sizes, weights, most), "targets").withColumnRenamed("source", "of")
-    known = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("row", F.xxhash64("doc_id", "source", "mark"))
+    units = sizes.groupBy("doc_id", "source", "mark", "size").agg(F.count("*").alias("n"))
+    known = units.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("row", row_of(F.col("mark"))).drop("mark")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shares = known.select("source", "row", "size", (expected - F.floor(expected)).alias("p")).distinct()
-    copies = F.least(F.lit(most).cast("long"), F.floor(expected) + F.coalesce("extra", F.lit(0)))
-    return known.join(round_copies(shares, seed, fan_in), "row", "left").select("doc_id", "source", "mark", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    known = known.withColumn("whole", F.floor(expected)).withColumn("more", F.col("n") * (expected - F.col("whole")))
+    known = materialize(known.withColumn("p", F.col("more") - F.floor("more")).withColumn("more", F.floor("more")), "units")
+    rounded = known.join(round_copies(known.select("source", "row", "size", "p"), seed, fan_in), "row", "left")
+    more = F.when(F.col("whole") < most, F.col("more") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0))
+    return rounded.select("row", "doc_id", "source", "size", "source_size", "target", "n", F.least("whole", F.lit(most).cast("long")).alias("whole"), more.cast("long").alias("more"))
+
+
+def copies_of(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (0 to ``most``) for each row of docs(doc_id, text, source)."""
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _RUN)))
+    planned = plan_copies(docs, **options).withColumn("run", runs)
+    planned = planned.withColumn("i", F.explode(F.sequence(F.col("run") * _RUN, F.least(F.col("n"), (F.col("run") + 1) * _RUN) - 1)))
+    return planned.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("i") < F.col("more")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target and copies; all rows kept, also those of no copy.
 
-    Columns of docs that bear one of these four names are replaced.
+    Columns of docs that bear one of these four names are replaced. Of rows equal in id, source and text those of the
+    least hash of their other columns get the copies on top.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    mark = F.xxhash64("doc_id", "source", F.xxhash64("text"))
-    planned = copies_of(docs, **options).select(F.xxhash64("doc_id", "source", "mark").alias("_row"), "size", "source_size", "target", "copies")
-    return docs.withColumn("_row", mark).join(planned.dropDuplicates(["_row"]), "_row").drop("_row")
+    planned = plan_copies(docs, **options).select(F.col("row").alias("_row_of_mix"), "size", "source_size", "target", "whole", "more")
+    rest = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "source", "text")], F.lit(0))
+    both = docs.withColumn("_row_of_mix", row_of(F.xxhash64("text"))).withColumn("_order_of_mix", rest)
+    both = both.alias("d").join(planned.alias("p"), "_row_of_mix")
+    at = F.row_number().over(Window.partitionBy("_row_of_mix").orderBy("_order_of_mix"))
+    copies = F.col("p.whole") + (at <= F.col("p.more")).cast("long")
+    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], "p.size", "p.source_size", "p.target", copies.alias("copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
