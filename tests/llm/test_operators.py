@@ -337,7 +337,7 @@ def test_html_long_and_repeated_pages(spark):
     assert len(out) == 4 and all(len(t.split("\n")) == 40000 for i, t in out if i < 3)
 
 
-@pytest.mark.parametrize("name", ["op4_chat_formatting", "op8_warc"])
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op2_substring_dedup", "op4_chat_formatting", "op8_warc"])
 def test_twins(spark, name):
     assert difference(registry.QUERIES[name](spark, SF), database(SF), registry.ORACLES[name]) == ""
 

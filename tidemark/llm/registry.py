@@ -9,8 +9,8 @@ from tidemark.llm.fingerprint import op5_fingerprints
 from tidemark.llm.html_text import op10_html_text
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.mixing import op6_mixing
-from tidemark.llm.secrets import op1_secret_scan
-from tidemark.llm.substring_dedup import op2_substring_dedup
+from tidemark.llm.secrets import OP1_SQL, op1_secret_scan
+from tidemark.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from tidemark.llm.toxicity import op3_toxicity
 from tidemark.llm.warc import OP8_SQL, op8_warc
 
@@ -29,6 +29,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
     "op8_warc": OP8_SQL,

@@ -5,8 +5,10 @@ runs of literals must have all of theirs, alternatives any. The index holds, for
 the rows whose lower-cased text has it; it is written to the shared folder. Postings are intersected per row,
 and the regular expression verifies the rows that remain. Rules without a mandatory trigram scan every text.
 
-Spans are code points, end exclusive, of the leftmost non-overlapping matches of each rule. Null texts are empty.
-Rows are told apart by id and text; equal rows have equal spans. An empty table gives an empty result.
+Spans are code points, end exclusive, of the leftmost non-overlapping matches of each rule; spans that start alike
+come in order of rule. Null texts are empty, very long ones are scanned whole. Rows are told apart by id and a
+hash of the text; equal rows have equal spans. An empty table gives an empty result. Other columns of docs are
+carried along by redact(), whatever their names, and not looked at.
 """
 
 from __future__ import annotations
@@ -126,6 +128,11 @@ def _spans(rule: Rule, number: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(kind))
 
 
+def _row_of(text: Column) -> Column:
+    """Tells a row apart: 64 bits of hash and the id."""
+    return F.struct(F.xxhash64("doc_id", text).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
+
+
 def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """texts(row, text) to postings (trigram, row) of the given trigrams, written to the shared folder."""
     low = texts.select("row", F.lower("text").alias("low"))
@@ -136,7 +143,7 @@ def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs(doc_id, text) to row, doc_id and spans: start, rule (number) and end of every secret, by start and rule."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = texts.withColumn("row", _row_of(F.col("text")))
     asked = [(i, rule, trigram_query(rule.pattern)) for i, rule in enumerate(rules)]
     scanned = [_spans(rule, i) for i, rule, query in asked if query is None]
     empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
@@ -157,15 +164,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """docs with every secret in text replaced by mark; overlapping spans are one. Other columns are kept."""
     found = find_secrets(docs, rules).where(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
     text = F.coalesce("text", F.lit(""))
-    both = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(found.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "_row", "left")
+    both = docs.withColumn("_row_of_secrets", _row_of(text)).join(found.withColumnRenamed("row", "_row_of_secrets").withColumnRenamed("spans", "_spans_of_secrets"), "_row_of_secrets", "left")
 
     def step(acc, s):
         gap = F.when(s["start"] > acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
         first = F.when((acc["at"] == 0) & (s["start"] == 0), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.coalesce(gap, first, F.lit(""))).alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return both.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate("_spans_of_secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return both.withColumn("text", F.when(F.col("_spans_of_secrets").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,3 +186,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(told(F.filter("spans", lambda s: s["rule"] < len(BASE))), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
     )
+
+
+def _rule_sql(number: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    start = "coalesce(list_sum(list_transform(gaps[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {number} AS rule, '{rule.kind}' AS kind, CAST({start} AS BIGINT) AS a, length(whole[i]) AS n
+FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS whole, regexp_extract_all(t, '{pattern}', {rule.group}) AS part FROM d), unnest(range(1, len(whole) + 1)) u(i)
+WHERE length(part[i]) >= {rule.least}"""
+
+
+_SPANS_SQL = "coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rule) {}, '')"
+OP1_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS MATERIALIZED ({" UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(RULES))})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, sha256({_SPANS_SQL.format(f"FILTER (rule < {len(BASE)})")}) AS base_sha256, {_SPANS_SQL.format("")} AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -221,3 +221,11 @@ def brute_force(rows: list[tuple[int, str | None]], window: int = 20) -> dict[in
         kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
         out[doc] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
     return out
+
+
+OP2_SQL = r"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS s FROM d, unnest(range(1, greatest(1, len(w) - 18))) t(i)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS MATERIALIZED (SELECT doc_id, list(DISTINCT p) AS p, count(DISTINCT p) AS n FROM later, unnest(range(i, i + 20)) t(p) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d) ANTI JOIN (SELECT doc_id, unnest(p) AS k FROM gone) USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
