@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as fx
@@ -28,28 +28,24 @@ def plausible(listings: DataFrame, bounds: DataFrame) -> DataFrame:
     return listings.join(bounds, "currency").where("price BETWEEN least AND most").drop("least", "most")
 
 
-def exclusive_quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """First and third quartile by the exclusive method: position p (n + 1) among the sorted values, interpolated.
-
-    Values are ranked in a window, which spills, and picked by a grouped aggregate; no list per key is built.
-    """
-    ranked = df.select(key, F.col(value).alias("v")).withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("v"))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-
-    def at(p: float):
-        pos = F.lit(p) * (F.col("n") + 1)
-        j = F.greatest(F.lit(1), F.least(F.floor(pos), F.col("n") - 1))
-        share = pos - j
-        return F.sum(F.when(F.col("i") == j, F.col("v") * (1 - share)).when(F.col("i") == j + 1, F.col("v") * share).otherwise(0.0))
-
-    return ranked.groupBy(key).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("n").alias("n_values"))
+def exclusive_quartile(p: float, i: str, n: str, value: str) -> Column:
+    """The quartile by the exclusive method, to be summed over the values ranked i of n: position p (n + 1), interpolated."""
+    pos = F.lit(p) * (F.col(n) + 1)
+    j = F.greatest(F.lit(1), F.least(F.floor(pos), F.col(n) - 1))
+    return F.when(F.col(i) == j, F.col(value) * (1 - (pos - j))).when(F.col(i) == j + 1, F.col(value) * (pos - j)).otherwise(0.0)
 
 
 def without_outliers(df: DataFrame, key: str = "product_id", value: str = "usd") -> DataFrame:
-    """Rows within 1.5 interquartile ranges of the quartiles of their key; keys of fewer than four rows keep all."""
-    q = exclusive_quartiles(df, key, value)
-    iqr = F.col("q3") - F.col("q1")
-    kept = (F.col("n_values") < 4) | F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return df.join(q, key).where(kept).drop("q1", "q3", "n_values")
+    """Rows within 1.5 interquartile ranges of the quartiles of their key; keys of fewer than four rows keep all.
+
+    Ranks, counts and quartiles are windows over one partitioning by the key, which spill; no list per key is built.
+    """
+    of_key = Window.partitionBy(key)
+    ranked = df.withColumn("_i", F.row_number().over(of_key.orderBy(value))).withColumn("_n", F.count("*").over(of_key))
+    ranked = ranked.withColumns({f"_q{k}": F.sum(exclusive_quartile(k / 4, "_i", "_n", value)).over(of_key) for k in (1, 3)})
+    iqr = F.col("_q3") - F.col("_q1")
+    kept = (F.col("_n") < 4) | F.col(value).between(F.col("_q1") - 1.5 * iqr, F.col("_q3") + 1.5 * iqr)
+    return ranked.where(kept).drop("_i", "_n", "_q1", "_q3")
 
 
 def in_several_markets(df: DataFrame, least: int = 2) -> DataFrame:
@@ -69,11 +65,10 @@ def stability(history: DataFrame, latest: int = 20) -> DataFrame:
     return top.groupBy("url").agg(F.count("*").alias("n_prices"), F.avg("price_usd").alias("price_avg"), F.stddev_samp("price_usd").alias("price_dev")).withColumn("stability", F.expr(fx.STABILITY))
 
 
-def market_depth(listings: DataFrame, ages: DataFrame) -> DataFrame:
+def market_depth(listings: DataFrame) -> DataFrame:
     """Daily sales, depth score and level per product and marketplace, from the median of the estimates of its listings."""
-    aged = listings.join(ages.select("url", "age_days"), "url", "left").withColumn("age_days", F.coalesce("age_days", F.lit(1.0)))
     both = F.array(F.when(F.col("sales") > 0, F.col("sales") / F.col("age_days")), F.when(F.col("reviews") > 0, F.col("reviews") / 0.03 / F.greatest("age_days", F.lit(1.0))))
-    per = aged.select("product_id", "mp", "url", F.explode(both).alias("estimate")).groupBy("product_id", "mp").agg(F.median("estimate").alias("mid"), F.countDistinct("url").alias("n"))
+    per = listings.select("product_id", "mp", F.posexplode(both).alias("k", "estimate")).groupBy("product_id", "mp").agg(F.median("estimate").alias("mid"), F.count_if(F.col("k") == 0).alias("n"))
     daily = "CASE WHEN mid IS NULL THEN greatest(0.1, n / 3.0) ELSE mid * CASE WHEN n >= 10 THEN 1.5 WHEN n >= 5 THEN 1.2 ELSE 1.0 END END"
     out = per.selectExpr("product_id", "mp", f"{fx.rounded(daily, 2)} AS daily_sales", f"{fx.rounded('(' + daily + ') * 30', 1)} AS monthly_sales")
     return out.withColumn("depth_score", F.expr(fx.DEPTH_SCORE)).withColumn("scalability", F.expr("CASE WHEN depth_score >= 70 THEN 'high' WHEN depth_score >= 40 THEN 'medium' ELSE 'low' END"))
@@ -85,6 +80,7 @@ def marketplace_stats(listings: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("usd").alias("min_usd"), F.avg("usd").alias("avg_usd"), F.max("usd").alias("max_usd"),
         F.sum("sales").alias("sales_sum"), F.sum("reviews").alias("reviews_sum"), F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("rating_avg"),
         F.min_by(F.struct("url", "condition", "rating", "reviews", "free_ship"), F.struct("usd", "url")).alias("buy"),
+        F.max("n_listings").alias("n_listings"),
     )
     return stats.withColumn("price_spread", F.when((F.col("n") > 1) & (F.col("avg_usd") > 0), (F.col("max_usd") - F.col("min_usd")) / F.col("avg_usd")).otherwise(0.0)).withColumn("velocity", F.expr(fx.VELOCITY))
 
@@ -92,27 +88,35 @@ def marketplace_stats(listings: DataFrame) -> DataFrame:
 def route_pairs(stats: DataFrame, routes: DataFrame) -> DataFrame:
     """Pairs of marketplaces of a product on a valid route whose selling side is above the cheapest buy."""
     buy = stats.select("product_id", F.col("mp").alias("buy_mp"), F.col("min_usd").alias("buy_usd"), F.col("buy.url").alias("buy_url"), F.col("buy.condition").alias("condition"), F.col("buy.rating").alias("buy_rating"), F.col("buy.reviews").alias("buy_reviews"), F.col("buy.free_ship").alias("buy_free"))
-    sell = stats.select("product_id", F.col("mp").alias("sell_mp"), "min_usd", "price_spread", "sales_sum", "reviews_sum", "velocity")
+    sell = stats.select("product_id", F.col("mp").alias("sell_mp"), "min_usd", "price_spread", "sales_sum", "reviews_sum", "velocity", "n_listings")
     return buy.join(routes, "buy_mp").join(sell, ["product_id", "sell_mp"]).where("min_usd > buy_usd")
 
 
-def competition(pairs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Sell-side competition of each pair among listings of the same condition, and the dearest of them."""
-    sells = listings.select("product_id", F.col("mp").alias("sell_mp"), "condition", "usd", F.col("url").alias("sell_url"), F.col("rating").alias("sell_rating"), F.col("reviews").alias("sell_reviews"), F.col("free_ship").alias("sell_free"), "scraped_at")
-    met = pairs.select("product_id", "buy_mp", "sell_mp", "condition").join(sells, ["product_id", "sell_mp", "condition"])
-    top = F.max_by(F.struct("sell_url", "sell_rating", "sell_reviews", "sell_free", F.col("scraped_at").alias("sell_at")), F.struct("usd", "sell_url"))
-    out = met.groupBy("product_id", "buy_mp", "sell_mp").agg(F.count("*").alias("n"), F.min("usd").alias("lowest_usd"), F.avg("usd").alias("mean_usd"), F.max("usd").alias("highest_usd"), F.median("usd").alias("median_usd"), top.alias("sell"))
+def offers(listings: DataFrame) -> DataFrame:
+    """What a buy meets on a marketplace: number, prices and dearest listing per product, marketplace and condition."""
+    named = {"sell_url": "url", "sell_rating": "rating", "sell_reviews": "reviews", "sell_free": "free_ship", "sell_at": "scraped_at", "stability": "stability", "age_days": "age_days"}
+    top = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in named.items() if c in listings.columns]), F.struct("usd", "url"))
+    out = listings.groupBy("product_id", F.col("mp").alias("sell_mp"), "condition").agg(F.count("*").alias("n"), F.min("usd").alias("lowest_usd"), F.avg("usd").alias("mean_usd"), F.max("usd").alias("highest_usd"), F.median("usd").alias("median_usd"), top.alias("sell"))
     out = out.withColumn("spread", (F.col("highest_usd") - F.col("lowest_usd")) / F.col("mean_usd")).withColumn("competition_score", F.expr(fx.COMPETITION_SCORE)).withColumn("sell_usd", F.expr(fx.rounded(f"median_usd * {fx.REALISTIC_SHARE}", 2)))
-    return out.select("product_id", "buy_mp", "sell_mp", "n", "lowest_usd", "mean_usd", "median_usd", "competition_score", "sell_usd", "sell.*")
+    return out.select("product_id", "sell_mp", "condition", "n", "lowest_usd", "mean_usd", "median_usd", "competition_score", "sell_usd", "sell.*")
+
+
+def competition(pairs: DataFrame, listings: DataFrame) -> DataFrame:
+    """Pairs with the sell-side competition among listings of the same condition, and the dearest of them."""
+    return pairs.join(offers(listings), ["product_id", "sell_mp", "condition"])
+
+
+# Of a marketplace that has no fees listed.
+DEFAULT_FEES = {"commission": 0.1312, "pay_pct": 0.0, "pay_fixed": 0.0, "vat": 0.0, "dom_ship": 8.0, "rate": 1.0, "sell_country": "?", "buy_country": "?"}
 
 
 def with_fees(pairs: DataFrame, spark: SparkSession) -> DataFrame:
-    """All costs of each pair: fees of the selling side, and of the border where countries differ."""
+    """All costs of each pair: fees of the selling side, and of the border where countries differ; unknown marketplaces take the default."""
     fees = dimension(spark, "fees")
     sell = fees.withColumnRenamed("mp", "sell_mp").withColumnRenamed("country", "sell_country").join(dimension(spark, "fx"), "currency").drop("currency")
     buy = fees.select(F.col("mp").alias("buy_mp"), F.col("country").alias("buy_country"))
     tax, ship, insurance = DEFAULT_BORDER
-    out = pairs.join(sell, "sell_mp").join(buy, "buy_mp").join(dimension(spark, "cross_border"), ["buy_country", "sell_country"], "left")
+    out = pairs.join(sell, "sell_mp", "left").join(buy, "buy_mp", "left").fillna(DEFAULT_FEES).join(dimension(spark, "cross_border"), ["buy_country", "sell_country"], "left")
     out = out.fillna({"tax": tax, "ship": ship, "insurance": insurance}).withColumn("cross_border", F.col("buy_country") != F.col("sell_country"))
     return out.withColumns({name: F.expr(e) for name, e in FEE_COLUMNS.items()}).withColumns({name: F.expr(e) for name, e in PROFIT_COLUMNS.items()})
 
@@ -137,25 +141,24 @@ def best_per_product(pairs: DataFrame) -> DataFrame:
 
 
 def clean_listings(listings: DataFrame) -> DataFrame:
-    """Trusted listings of several markets' products without outliers."""
-    kept = without_outliers(trusted(listings))
-    return kept.join(in_several_markets(kept).select("product_id"), "product_id", "left_semi")
+    """Trusted listings of several markets' products without outliers, with n_listings of their product.
+
+    All of it is windows by product, so the listings are shuffled once.
+    """
+    of_product = Window.partitionBy("product_id")
+    kept = without_outliers(trusted(listings)).withColumn("n_listings", F.count("*").over(of_product))
+    return kept.withColumn("_markets", F.size(F.collect_set("mp").over(of_product))).where("_markets >= 2").drop("_markets")
 
 
-def opportunity_pairs(spark: SparkSession, clean: DataFrame, history: DataFrame) -> DataFrame:
-    """Every pair that passes the hard filters, with all signals and scores."""
+def opportunity_pairs(spark: SparkSession, clean: DataFrame) -> DataFrame:
+    """Every pair that passes the hard filters, with all signals and scores. clean holds listings with their facts."""
+    clean = clean.withColumn("stability", F.expr(fx.STABILITY))
     stats = marketplace_stats(clean)
-    ages = first_seen(history)
-    pairs = route_pairs(stats, dimension(spark, "routes"))
-    pairs = pairs.join(competition(pairs, clean), ["product_id", "buy_mp", "sell_mp"])
+    pairs = competition(route_pairs(stats, dimension(spark, "routes")), clean)
     pairs = with_fees(pairs, spark).where(HARD_FILTER)
-    depth = market_depth(clean, ages).withColumnRenamed("mp", "sell_mp")
-    counts = clean.groupBy("product_id").agg(F.count("*").alias("n_listings"))
-    pairs = pairs.join(depth, ["product_id", "sell_mp"]).join(counts, "product_id")
-    pairs = pairs.join(stability(history).select(F.col("url").alias("sell_url"), "stability"), "sell_url", "left").join(ages.select(F.col("url").alias("sell_url"), "age_days"), "sell_url", "left")
-    return scored(pairs.fillna({"stability": 50.0, "age_days": 1.0}))
+    return scored(pairs.join(market_depth(clean).withColumnRenamed("mp", "sell_mp"), ["product_id", "sell_mp"]))
 
 
-def opportunities(spark: SparkSession, clean: DataFrame, history: DataFrame) -> DataFrame:
+def opportunities(spark: SparkSession, clean: DataFrame) -> DataFrame:
     """The best pair of each product."""
-    return best_per_product(opportunity_pairs(spark, clean, history))
+    return best_per_product(opportunity_pairs(spark, clean))

@@ -9,18 +9,25 @@ from tidemark.functions import formulas as fx
 from tidemark.operators import scan
 from tidemark.plans.define import query, split
 from tidemark.plans.scan_sql import upto
+from tidemark.sources.shared import written
 from tidemark.sources.tables import dimension, listings, price_history
 
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.clean_listings(listings(spark, sf_dir))
 
 
+def clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean listings with their facts, written once: the scan reads them three times, the lines once."""
+    return written(scan.clean_listings(listings(spark, sf_dir, facts=True)), "clean")
+
+
 def opps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.opportunities(spark, clean(spark, sf_dir), price_history(spark, sf_dir))
+    return scan.opportunities(spark, clean_once(spark, sf_dir))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.opportunity_pairs(spark, clean(spark, sf_dir), price_history(spark, sf_dir))
+    return scan.opportunity_pairs(spark, clean_once(spark, sf_dir))
 
 
 _r = fx.rounded
@@ -89,7 +96,7 @@ def q_stability(spark, sf_dir):
 
 @query("q_depth", upto("depth", "SELECT product_id, mp, daily_sales, monthly_sales, depth_score, scalability FROM depth"))
 def q_depth(spark, sf_dir):
-    return scan.market_depth(clean(spark, sf_dir), scan.first_seen(price_history(spark, sf_dir))).select("product_id", "mp", "daily_sales", "monthly_sales", "depth_score", "scalability")
+    return scan.market_depth(scan.clean_listings(listings(spark, sf_dir, facts=True))).select("product_id", "mp", "daily_sales", "monthly_sales", "depth_score", "scalability")
 
 
 @query("q_route_pairs", upto("pairs", f"SELECT product_id, buy_mp, sell_mp, label, difficulty, buy_url, {_r('buy_usd', 4)} AS buy_usd, {_r('min_usd', 4)} AS min_usd FROM pairs"))
@@ -115,8 +122,7 @@ _PROFIT = f"product_id, buy_mp, sell_mp, {_FEES}, fees, net_profit, roi, margin"
 def q_profit(spark, sf_dir):
     rows = clean(spark, sf_dir)
     found = scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes"))
-    found = found.join(scan.competition(found, rows), ["product_id", "buy_mp", "sell_mp"])
-    return scan.with_fees(found, spark).selectExpr(*split(_PROFIT))
+    return scan.with_fees(scan.competition(found, rows), spark).selectExpr(*split(_PROFIT))
 
 
 _ADJ = "((least(sell_usd, lowest_usd) - buy_usd * 1.05 - fees) * 0.70)"
@@ -220,8 +226,8 @@ FROM (SELECT *, {_WORST} AS worst_case FROM (SELECT o.*, x.cv, x.nearby, x.p25,
 @query("q_validator", upto("opps", _VALID_SQL))
 def q_validator(spark, sf_dir):
     """Checks of each chosen pair against its compatible sell prices: age, spread, depth, worst case, simulated sale, confidence."""
-    rows = clean(spark, sf_dir)
-    best = scan.opportunities(spark, rows, price_history(spark, sf_dir))
+    rows = clean_once(spark, sf_dir)
+    best = scan.opportunities(spark, rows)
     sells = rows.select("product_id", F.col("mp").alias("sell_mp"), "condition", "usd")
     met = best.select("product_id", "sell_mp", "condition", "sell_usd").join(sells, ["product_id", "sell_mp", "condition"])
     met = met.withColumn("i", F.row_number().over(Window.partitionBy("product_id").orderBy("usd"))).withColumn("k", F.count("*").over(Window.partitionBy("product_id")))

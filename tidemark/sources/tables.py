@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Moment that stands for "now" in every rule about age.
@@ -102,19 +102,27 @@ LISTING = {
 }
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFrame:
     """One row per (part, supplier): its latest line, as a listing with a price in local currency and in USD.
 
-    The latest line is a partial aggregate (max_by), so only one row per pair and task is shuffled.
+    The latest line is a ranked window, whose limit of one row per pair also holds before the shuffle. With ``facts``
+    the same pass, then over all lines, also gives the listing's history: first_at, age_days (one at least),
+    and n_prices, price_avg, price_dev of its latest 20 prices.
     """
     line = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
-    rest = [c for c in line.columns if c not in ("l_partkey", "l_suppkey")]
-    latest = line.groupBy("l_partkey", "l_suppkey").agg(F.max_by(F.struct(*rest), F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("x")).select("l_partkey", "l_suppkey", "x.*")
+    of_listing = Window.partitionBy("l_partkey", "l_suppkey")
+    line = line.withColumn("rn", F.row_number().over(of_listing.orderBy(F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"))))
+    if facts:
+        price = F.when(F.col("rn") <= 20, F.col("l_extendedprice") / F.col("l_quantity"))
+        told = {"first_at": F.min("l_shipdate"), "n_prices": F.count(price), "price_avg": F.avg(price), "price_dev": F.stddev_samp(price)}
+        line = line.withColumns({name: e.over(of_listing) for name, e in told.items()})
+    latest = line.where("rn = 1").drop("rn")
     sellers = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_acctbal", "r_name")
     parts = load(spark, sf_dir, "part").select("p_partkey", "p_name")
     joined = latest.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    named = joined.select(*[F.expr(e.format(text="string")).alias(n) for n, e in LISTING.items()])
-    return named.join(dimension(spark, "fees").select("mp", "currency"), "mp").join(dimension(spark, "fx"), "currency").selectExpr(*LISTING, "currency", "floor(unit_usd * rate * 100 + 0.5) / 100 AS price", "floor(unit_usd * rate * 100 + 0.5) / 100 / rate AS usd").drop("unit_usd")
+    history = {"first_at": "first_at", "age_days": f"greatest(1D, (unix_timestamp(timestamp_ntz '{AS_OF}') - unix_timestamp(first_at)) / 86400D)", "n_prices": "n_prices", "price_avg": "price_avg", "price_dev": "price_dev"} if facts else {}
+    named = joined.select(*[F.expr(e.format(text="string")).alias(n) for n, e in (LISTING | history).items()])
+    return named.join(dimension(spark, "fees").select("mp", "currency"), "mp").join(dimension(spark, "fx"), "currency").selectExpr(*LISTING, *history, "currency", "floor(unit_usd * rate * 100 + 0.5) / 100 AS price", "floor(unit_usd * rate * 100 + 0.5) / 100 / rate AS usd").drop("unit_usd")
 
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +134,9 @@ _SELECT = ", ".join(f"{e.format(text='VARCHAR')} AS {n}" for n, e in LISTING.ite
 #: The derived datasets as CTEs.
 SQL = {
     "dims": ", ".join(dimension_sql(n) for n in DIMENSIONS),
-    "listings": f"""latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1),
+    "listings": f"""latest AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1),
         named AS (SELECT {_SELECT} FROM latest JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey),
-        listings AS (SELECT named.* EXCLUDE (unit_usd), fees.currency, floor(unit_usd * rate * 100 + 0.5) / 100 AS price, floor(unit_usd * rate * 100 + 0.5) / 100 / rate AS usd
+        listings AS MATERIALIZED (SELECT named.* EXCLUDE (unit_usd), fees.currency, floor(unit_usd * rate * 100 + 0.5) / 100 AS price, floor(unit_usd * rate * 100 + 0.5) / 100 / rate AS usd
                      FROM named JOIN fees USING (mp) JOIN fx ON fees.currency = fx.currency)""",
     "history": """history AS (SELECT concat(CAST(l_partkey AS VARCHAR), '-', CAST(l_suppkey AS VARCHAR)) AS url, l_partkey AS product_id, l_suppkey AS seller_id,
                   l_extendedprice / l_quantity AS price_usd, l_shipdate AS recorded_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)""",
