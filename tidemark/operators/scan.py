@@ -79,7 +79,7 @@ def marketplace_stats(listings: DataFrame) -> DataFrame:
     stats = listings.groupBy("product_id", "mp").agg(
         F.count("*").alias("n"), F.min("usd").alias("min_usd"), F.avg("usd").alias("avg_usd"), F.max("usd").alias("max_usd"),
         F.sum("sales").alias("sales_sum"), F.sum("reviews").alias("reviews_sum"), F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("rating_avg"),
-        F.min_by(F.struct("url", "condition", "rating", "reviews", "free_ship"), F.struct("usd", "url")).alias("buy"),
+        F.min_by(F.struct("url", "condition", "rating", "reviews", "free_ship", "scraped_at"), F.struct("usd", "url")).alias("buy"),
         F.max("n_listings").alias("n_listings"),
     )
     return stats.withColumn("price_spread", F.when((F.col("n") > 1) & (F.col("avg_usd") > 0), (F.col("max_usd") - F.col("min_usd")) / F.col("avg_usd")).otherwise(0.0)).withColumn("velocity", F.expr(fx.VELOCITY))
@@ -87,7 +87,7 @@ def marketplace_stats(listings: DataFrame) -> DataFrame:
 
 def route_pairs(stats: DataFrame, routes: DataFrame) -> DataFrame:
     """Pairs of marketplaces of a product on a valid route whose selling side is above the cheapest buy."""
-    buy = stats.select("product_id", F.col("mp").alias("buy_mp"), F.col("min_usd").alias("buy_usd"), F.col("buy.url").alias("buy_url"), F.col("buy.condition").alias("condition"), F.col("buy.rating").alias("buy_rating"), F.col("buy.reviews").alias("buy_reviews"), F.col("buy.free_ship").alias("buy_free"))
+    buy = stats.select("product_id", F.col("mp").alias("buy_mp"), F.col("min_usd").alias("buy_usd"), F.col("buy.url").alias("buy_url"), F.col("buy.condition").alias("condition"), F.col("buy.rating").alias("buy_rating"), F.col("buy.reviews").alias("buy_reviews"), F.col("buy.free_ship").alias("buy_free"), F.col("buy.scraped_at").alias("buy_at"))
     sell = stats.select("product_id", F.col("mp").alias("sell_mp"), "min_usd", "price_spread", "sales_sum", "reviews_sum", "velocity", "n_listings")
     return buy.join(routes, "buy_mp").join(sell, ["product_id", "sell_mp"]).where("min_usd > buy_usd")
 

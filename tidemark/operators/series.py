@@ -50,18 +50,22 @@ def volume_change(snapshots: DataFrame) -> DataFrame:
     return by.withColumn("volume_change", (F.col("recent") - F.col("older")) / F.col("older"))
 
 
-def linear_forecast(prices: DataFrame, horizon: int = 7, least: int = 5) -> DataFrame:
+def linear_forecast(prices: DataFrame, horizon: int = 7, least: int = 3) -> DataFrame:
     """Least-squares line per product over days since its first price, with residual spread and error; two grouped aggregates.
 
-    prices(product_id, day, price); products of fewer than ``least`` rows are left out.
+    prices(product_id, day, price); products of fewer than ``least`` rows get a failed row without a forecast.
     """
-    start = prices.groupBy("product_id").agg(F.min("day").alias("day0"), F.max("day").alias("day1"), F.count("*").alias("n")).where(F.col("n") >= least)
+    start = prices.groupBy("product_id").agg(F.min("day").alias("day0"), F.max("day").alias("day1"), F.count("*").alias("n"))
     x = prices.join(start, "product_id").withColumn("x", (F.col("day") - F.col("day0")).cast("double"))
-    fit = x.groupBy("product_id").agg(F.regr_slope("price", "x").alias("slope"), F.regr_intercept("price", "x").alias("intercept"))
-    fitted = x.join(fit, "product_id").withColumn("residual", F.col("price") - (F.coalesce("slope", F.lit(0.0)) * F.col("x") + F.coalesce("intercept", F.col("price"))))
+    fit = x.groupBy("product_id").agg(F.regr_slope("price", "x").alias("slope"), F.avg("price").alias("mean_price"), F.avg("x").alias("mean_x"))
+    # Prices of a single day have no slope: the line is their mean.
+    fit = fit.withColumn("slope", F.coalesce("slope", F.lit(0.0))).withColumn("intercept", F.col("mean_price") - F.col("slope") * F.col("mean_x"))
+    fitted = x.join(fit, "product_id").withColumn("residual", F.col("price") - (F.col("slope") * F.col("x") + F.col("intercept")))
     last = F.max(F.col("day1") - F.col("day0")) + horizon
     out = fitted.groupBy("product_id").agg(F.max("n").alias("n"), F.max("slope").alias("slope"), F.greatest(F.lit(0.01), F.max("slope") * last + F.max("intercept")).alias("predicted"), F.stddev_pop("residual").alias("dev"), (F.avg(F.abs(F.col("residual") / F.col("price"))) * 100).alias("mape"))
-    return out.withColumn("width", 1.96 * F.col("dev") * F.sqrt(F.lit(horizon / 7.0)))
+    out = out.withColumn("width", 1.96 * F.col("dev") * F.sqrt(F.lit(horizon / 7.0)))
+    told = F.col("n") >= least
+    return out.withColumns({c: F.when(told, F.col(c)) for c in ("slope", "predicted", "dev", "mape", "width")}).withColumn("status", F.when(told, F.lit("ok")).otherwise(F.lit("failed")))
 
 
 def lag_features(prices: DataFrame, lags: int = 7) -> DataFrame:

@@ -184,27 +184,27 @@ def q_channel_match(spark, sf_dir):
     return found.join(F.broadcast(channels), F.expr(_CHANNEL_MATCH)).select("channel", "product_id", "opportunity_score")
 
 
-_ALERT_SQL = """, best AS (SELECT buy_mp, sell_mp, count(*) AS n, max(roi) AS roi, max(net_profit) AS profit FROM opps GROUP BY ALL),
-cfg AS (SELECT c_custkey AS user_id, floor(c_acctbal / 100) / 100.0 AS min_roi, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS max_profit FROM customer WHERE c_custkey % 2 = 0)
-SELECT user_id, buy_mp, sell_mp FROM cfg JOIN best ON roi >= min_roi AND (max_profit IS NULL OR profit <= max_profit)"""
-
-
-def alerts(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
-    best = opps(spark, sf_dir).groupBy("buy_mp", "sell_mp").agg(F.max("roi").alias("roi"), F.max("net_profit").alias("profit"))
-    cfg = customers.selectExpr("c_custkey AS user_id", "floor(c_acctbal / 100) / 100.0 AS min_roi", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS max_profit")
-    return cfg.join(F.broadcast(best), F.expr("roi >= min_roi AND (max_profit IS NULL OR profit <= max_profit)")).select("user_id", "buy_mp", "sell_mp")
+#: A customer's alert settings; without a cap any buy price will do.
+_SETTINGS = "c_custkey AS user_id, greatest(0.15e0, floor(c_acctbal / 100) / 100.0e0) AS min_roi, (c_custkey % 40) * 25.0e0 AS min_profit, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE greatest(c_acctbal, 100.0e0) END AS max_buy"
+_MET = "roi >= min_roi AND net_profit >= min_profit AND (max_buy IS NULL OR buy_usd <= max_buy)"
+_ALERT_SQL = f", cfg AS (SELECT {_SETTINGS} FROM customer) SELECT user_id, product_id, roi FROM cfg JOIN opps ON {_MET}"
+#: Width of a bucket of ROI, and the highest one that passes the scan's filters.
+_STEP, _TOP = 0.05, 30
 
 
 @query("q_alert_match", upto("opps", _ALERT_SQL))
+@query("q_alert_match_whole", upto("opps", _ALERT_SQL))
 def q_alert_match(spark, sf_dir):
-    """Alert settings against the best of each route. At most one row per valid route is broadcast, so the size is fixed."""
-    return alerts(spark, sf_dir, load(spark, sf_dir, "customer").where("c_custkey % 2 = 0"))
-
-
-@query("q_alert_match_whole", upto("opps", _ALERT_SQL.replace(" WHERE c_custkey % 2 = 0", "")))
-def q_alert_match_whole(spark, sf_dir):
-    """q_alert_match with every customer as an alert setting."""
-    return alerts(spark, sf_dir, load(spark, sf_dir, "customer"))
+    """Opportunities that meet customers' alert settings on ROI, profit and buy price.
+
+    ROI is bounded on both sides by the scan, so settings are copied to the buckets of ROI they admit, and an equi-join on
+    the bucket replaces the range join; only rows whose ROI can match meet.
+    """
+    bucket = lambda c: F.floor(F.col(c) / _STEP).cast("int")
+    found = opps(spark, sf_dir).select("product_id", "roi", "net_profit", "buy_usd").withColumn("bucket", bucket("roi"))
+    cfg = load(spark, sf_dir, "customer").selectExpr(*split(_SETTINGS))
+    cfg = cfg.withColumn("bucket", F.explode(F.sequence(F.least(bucket("min_roi"), F.lit(_TOP)), F.lit(_TOP))))
+    return cfg.join(found, "bucket").where(_MET).select("user_id", "product_id", "roi")
 
 
 _OUTCOME = "l_partkey AS product_id, l_extendedprice * 0.1 AS est, l_extendedprice * (1 - l_discount) * (1 + l_tax) - l_extendedprice * 0.92 AS act, l_returnflag <> 'R' AS sold, l_linestatus = 'F' AS executed"

@@ -217,7 +217,7 @@ _WORST = _r("p25 - buy_usd * 1.02 - fees * 1.05", 2)
 _PASSED = " + ".join(f"CASE WHEN {e} THEN 1 ELSE 0 END" for _, e in _CHECKS)
 _EXEC = _r(f"least(1.0, greatest(0.0, confidence_score / 100 * 0.25 + liquidity_score / 100 * 0.20 + stability / 100 * 0.15 + (1 - risk_score / 100) * 0.15 + opportunity_score / 100 * 0.10 + ({_PASSED}) / {len(_CHECKS)}.0 * 0.15))", 4)
 _VALID_SQL = f"""SELECT product_id, worst_case, simulated, {_EXEC} AS execution_confidence, concat_ws('; ', {', '.join(f"CASE WHEN NOT ({e}) THEN '{n}' END" for n, e in _CHECKS)}, CASE WHEN {_EXEC} < 0.30 THEN 'execution_confidence' END) AS failed
-FROM (SELECT *, {_WORST} AS worst_case FROM (SELECT o.*, x.cv, x.nearby, x.p25, {_SIM} AS simulated, {_LIQUIDITY} AS liquidity_score, epoch(TIMESTAMP '2001-11-05') - epoch(sell_at) AS age_s
+FROM (SELECT *, {_WORST} AS worst_case FROM (SELECT o.*, x.cv, x.nearby, x.p25, {_SIM} AS simulated, {_LIQUIDITY} AS liquidity_score, epoch(TIMESTAMP '2001-11-05') - epoch(least(buy_at, sell_at)) AS age_s
       FROM opps o JOIN (SELECT o.product_id, stddev_samp(l.usd) / avg(l.usd) AS cv, count(*) FILTER (l.usd <= o.sell_usd * 1.05) AS nearby,
                                list_sort(list(l.usd))[CASE WHEN count(*) >= 4 THEN greatest(0, CAST(floor(count(*) * 0.25) AS BIGINT) - 1) + 1 ELSE 1 END] AS p25
                         FROM opps o JOIN clean l ON l.product_id = o.product_id AND l.mp = o.sell_mp AND l.condition = o.condition GROUP BY o.product_id, o.sell_usd) x USING (product_id)))"""
@@ -233,7 +233,7 @@ def q_validator(spark, sf_dir):
     met = met.withColumn("i", F.row_number().over(Window.partitionBy("product_id").orderBy("usd"))).withColumn("k", F.count("*").over(Window.partitionBy("product_id")))
     place = F.when(F.col("k") >= 4, F.greatest(F.lit(0), F.floor(F.col("k") * 0.25) - 1) + 1).otherwise(1)
     per = met.groupBy("product_id").agg((F.stddev_samp("usd") / F.avg("usd")).alias("cv"), F.count_if(F.col("usd") <= F.col("sell_usd") * 1.05).alias("nearby"), F.max(F.when(F.col("i") == place, F.col("usd"))).alias("p25"))
-    out = best.join(per, "product_id").withColumns({"simulated": F.expr(_SIM), "liquidity_score": F.expr(_LIQUIDITY), "age_s": F.expr("unix_timestamp(timestamp_ntz '2001-11-05') - unix_timestamp(sell_at)"), "worst_case": F.expr(_WORST)})
+    out = best.join(per, "product_id").withColumns({"simulated": F.expr(_SIM), "liquidity_score": F.expr(_LIQUIDITY), "age_s": F.expr("unix_timestamp(timestamp_ntz '2001-11-05') - unix_timestamp(least(buy_at, sell_at))"), "worst_case": F.expr(_WORST)})
     out = out.withColumn("execution_confidence", F.expr(_EXEC))
     failed = F.array(*[F.when(~F.expr(e), F.lit(n)) for n, e in _CHECKS], F.when(F.col("execution_confidence") < 0.30, F.lit("execution_confidence")))
     return out.select("product_id", "worst_case", "simulated", "execution_confidence", F.array_join(F.array_compact(failed), "; ").alias("failed"))

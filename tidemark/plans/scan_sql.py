@@ -35,8 +35,8 @@ STEPS = {
         depth AS MATERIALIZED (SELECT *, CASE WHEN depth_score >= 70 THEN 'high' WHEN depth_score >= 40 THEN 'medium' ELSE 'low' END AS scalability FROM (SELECT *, {fx.DEPTH_SCORE} AS depth_score FROM depth0))""",
     "stats": f"""stats0 AS MATERIALIZED (SELECT product_id, mp, count(*) AS n, min(usd) AS min_usd, avg(usd) AS avg_usd, max(usd) AS max_usd, sum(sales) AS sales_sum, sum(reviews) AS reviews_sum, avg(CASE WHEN rating > 0 THEN rating END) AS rating_avg FROM clean GROUP BY product_id, mp),
         cheapest AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, mp ORDER BY usd, url) AS rn FROM clean) WHERE rn = 1),
-        stats AS MATERIALIZED (SELECT s.*, CASE WHEN n > 1 AND avg_usd > 0 THEN (max_usd - min_usd) / avg_usd ELSE 0.0 END AS price_spread, {fx.VELOCITY} AS velocity, c.url AS buy_url, c.condition, c.rating AS buy_rating, c.reviews AS buy_reviews, c.free_ship AS buy_free FROM stats0 s JOIN cheapest c USING (product_id, mp))""",
-    "pairs": """pairs AS MATERIALIZED (SELECT b.product_id, r.buy_mp, r.sell_mp, r.label, r.difficulty, b.min_usd AS buy_usd, b.buy_url, b.condition, b.buy_rating, b.buy_reviews, b.buy_free, s.min_usd, s.price_spread, s.sales_sum, s.reviews_sum, s.velocity
+        stats AS MATERIALIZED (SELECT s.*, CASE WHEN n > 1 AND avg_usd > 0 THEN (max_usd - min_usd) / avg_usd ELSE 0.0 END AS price_spread, {fx.VELOCITY} AS velocity, c.url AS buy_url, c.condition, c.rating AS buy_rating, c.reviews AS buy_reviews, c.free_ship AS buy_free, c.scraped_at AS buy_at FROM stats0 s JOIN cheapest c USING (product_id, mp))""",
+    "pairs": """pairs AS MATERIALIZED (SELECT b.product_id, r.buy_mp, r.sell_mp, r.label, r.difficulty, b.min_usd AS buy_usd, b.buy_url, b.condition, b.buy_rating, b.buy_reviews, b.buy_free, b.buy_at, s.min_usd, s.price_spread, s.sales_sum, s.reviews_sum, s.velocity
         FROM stats b JOIN routes r ON b.mp = r.buy_mp JOIN stats s ON s.product_id = b.product_id AND s.mp = r.sell_mp WHERE s.min_usd > b.min_usd)""",
     "comp": f"""met AS MATERIALIZED (SELECT p.product_id, p.buy_mp, p.sell_mp, l.usd, l.url, l.rating, l.reviews, l.free_ship, l.scraped_at, row_number() OVER (PARTITION BY p.product_id, p.buy_mp, p.sell_mp ORDER BY l.usd DESC, l.url DESC) AS rn FROM pairs p JOIN clean l ON l.product_id = p.product_id AND l.mp = p.sell_mp AND l.condition = p.condition),
         comp AS MATERIALIZED (SELECT product_id, buy_mp, sell_mp, n, lowest_usd, mean_usd, median_usd, {fx.COMPETITION_SCORE} AS competition_score, {fx.rounded(f'median_usd * {fx.REALISTIC_SHARE}', 2)} AS sell_usd, sell_url, sell_rating, sell_reviews, sell_free, sell_at

@@ -106,19 +106,31 @@ def q_trend_aggregate(spark, sf_dir):
     return first.join(second, "product_id").selectExpr(*split(_BOTH))
 
 
-_FORECAST = f"product_id, n, CASE WHEN n >= 30 THEN 'prophet' WHEN n >= 14 THEN 'xgboost' ELSE 'baseline' END AS preferred, {_r('predicted', 2)} AS predicted, {_r('greatest(0.01, predicted - width)', 2)} AS low, {_r('predicted + width', 2)} AS high, {_r('mape', 2)} AS mape, {_r('least(0.9, greatest(0.1, 0.3 * least(n / 30.0, 1.0) + 0.7 * greatest(0.0, 1 - mape / 50)))', 3)} AS confidence"
+_FORECAST = f"product_id, n, status, CASE WHEN n >= 30 THEN 'prophet' WHEN n >= 14 THEN 'xgboost' ELSE 'baseline' END AS preferred, coalesce({_r('predicted', 2)}, 0.0e0) AS predicted, {_r('greatest(0.01, predicted - width)', 2)} AS low, {_r('predicted + width', 2)} AS high, {_r('mape', 2)} AS mape, coalesce({_r('least(0.9, greatest(0.1, 0.3 * least(n / 30.0, 1.0) + 0.7 * greatest(0.0, 1 - mape / 50)))', 3)} * CASE WHEN status = 'ok' THEN 1 ELSE 0 END, 0.0e0) AS confidence"
 
 
-@query("q_forecast_ols", f"""WITH p AS (SELECT l_partkey AS product_id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day, l_extendedprice / l_quantity AS price FROM lineitem),
-s AS (SELECT product_id, min(day) AS day0, max(day) AS day1, count(*) AS n FROM p GROUP BY product_id HAVING count(*) >= 5), x AS (SELECT p.*, s.n, day1 - day0 AS reach, CAST(day - day0 AS DOUBLE) AS x FROM p JOIN s USING (product_id)),
-f AS (SELECT product_id, regr_slope(price, x) AS slope, regr_intercept(price, x) AS intercept FROM x GROUP BY product_id), e AS (SELECT x.*, slope, intercept, price - (coalesce(slope, 0) * x + coalesce(intercept, price)) AS residual FROM x JOIN f USING (product_id)),
-o AS (SELECT product_id, max(n) AS n, greatest(0.01, max(slope) * (max(reach) + 7) + max(intercept)) AS predicted, stddev_pop(residual) * 1.96 AS width, avg(abs(residual / price)) * 100 AS mape FROM e GROUP BY product_id) SELECT {_FORECAST} FROM o""")
+def _forecast_sql(key: str) -> str:
+    return f"""WITH p AS (SELECT {key} AS product_id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day, l_extendedprice / l_quantity AS price FROM lineitem),
+s AS (SELECT product_id, min(day) AS day0, max(day) AS day1, count(*) AS n FROM p GROUP BY product_id), x AS (SELECT p.*, s.n, day1 - day0 AS reach, CAST(day - day0 AS DOUBLE) AS x FROM p JOIN s USING (product_id)),
+f AS (SELECT product_id, CASE WHEN max(x) > 0 THEN regr_slope(price, x) ELSE 0.0 END AS slope, avg(price) AS mean_price, avg(x) AS mean_x FROM x GROUP BY product_id), g AS (SELECT product_id, slope, mean_price - slope * mean_x AS intercept FROM f),
+e AS (SELECT x.*, slope, intercept, price - (slope * x + intercept) AS residual FROM x JOIN g USING (product_id)),
+o AS (SELECT product_id, max(n) AS n, CASE WHEN max(n) >= 3 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN max(n) >= 3 THEN greatest(0.01, max(slope) * (max(reach) + 7) + max(intercept)) END AS predicted, CASE WHEN max(n) >= 3 THEN stddev_pop(residual) * 1.96 END AS width, CASE WHEN max(n) >= 3 THEN avg(abs(residual / price)) * 100 END AS mape FROM e GROUP BY product_id) SELECT {_FORECAST} FROM o"""
+
+
+@query("q_forecast_ols", _forecast_sql("l_partkey"))
 def q_forecast_ols(spark, sf_dir):
     """Baseline forecast a week ahead; longer series prefer models that are not installed, whose fallback this is."""
     prices = price_history(spark, sf_dir).select("product_id", F.unix_date(F.col("recorded_at").cast("date")).alias("day"), F.col("price_usd").alias("price"))
     return series.linear_forecast(prices).selectExpr(*split(_FORECAST))
 
 
+@query("q_forecast_sellers", _forecast_sql("l_suppkey * 100000 + l_partkey"))
+def q_forecast_sellers(spark, sf_dir):
+    """The same per seller and product: series of one to some prices, of which those below three get a failed row."""
+    prices = price_history(spark, sf_dir).select((F.col("seller_id") * 100000 + F.col("product_id")).alias("product_id"), F.unix_date(F.col("recorded_at").cast("date")).alias("day"), F.col("price_usd").alias("price"))
+    return series.linear_forecast(prices).selectExpr(*split(_FORECAST))
+
+
 _LAGS = "product_id, seq, weekday, " + ", ".join(f"{_r(f'lag_{k}', 4)} AS lag_{k}" for k in range(1, 8)) + f", {_r('mean', 4)} AS mean, {_r('dev', 3)} AS dev, {_r('slope', 3)} AS slope"
 
 

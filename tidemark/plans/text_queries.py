@@ -23,7 +23,7 @@ def q_normalize_title(spark, sf_dir):
     return load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.normalize_title(F.col("text")).alias("title"))
 
 
-_HASH = "substr(sha256(concat_ws('|', trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), source, printf('%.2f', n_chars * 1.0))), 1, 16)"
+_HASH = "substr(sha256(concat_ws('|', trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')), source, printf('%.2f', n_chars * 1.0))), 1, 16)"
 
 
 @query("q_dedup_hash", f"SELECT hash, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_HASH} AS hash FROM documents WHERE text IS NOT NULL) GROUP BY hash")
@@ -33,7 +33,7 @@ def q_dedup_hash(spark, sf_dir):
     return rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-_CASES = " ".join(f"WHEN regexp_matches(text, '{p}', 'i') THEN '{c}'" for c, p in tx.CATEGORY_RULES)
+_CASES = " ".join(f"WHEN regexp_matches(text, '{'|'.join(ps)}', 'i') THEN '{c}'" for c, ps in tx.CATEGORY_RULES)
 
 
 @query("q_category_backfill", f"SELECT doc_id, CASE {_CASES} ELSE 'Other' END AS category FROM documents WHERE text IS NOT NULL")
@@ -80,32 +80,28 @@ def nearest(spark, sf_dir: str, ask: str, answer: str):
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
-@query("q_resolve_blocked", f"""WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), p AS (SELECT * FROM e WHERE vec_id % 2 = 0), q AS (SELECT * FROM e WHERE vec_id % 2 = 1 AND vec_id % 100 = 1),
-s AS (SELECT q.vec_id, p.vec_id AS product_id, floor(list_cosine_similarity(q.v, p.v) * 1e5 + 0.5) / 1e5 AS sim FROM q JOIN p ON p.label = q.label)
-SELECT vec_id, product_id, sim, sim >= 0.75 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, product_id) = 1""")
-def q_resolve_blocked(spark, sf_dir):
-    """The nearest product of each query row within its block (label as brand); queries are every 100th id of the odd ones, against the even ones.
+_BLOCKED_SQL = f"""WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
+s AS (SELECT q.vec_id, p.vec_id AS product_id, floor(list_cosine_similarity(q.v, p.v) * 1e5 + 0.5) / 1e5 AS sim FROM e q JOIN e p ON p.label = q.label AND p.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT vec_id, product_id, sim, sim >= 0.75 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, product_id) = 1"""
 
-    The side of the products is blocked by an equi-join and reduced per query by a partial aggregate.
-    """
-    return nearest(spark, sf_dir, "vec_id % 100 = 1", "vec_id % 2 = 0")
 
+@query("q_resolve_blocked", _BLOCKED_SQL)
+@query("q_resolve_blocked_whole", _BLOCKED_SQL)
+def q_resolve_blocked(spark, sf_dir):
+    """The nearest other row of each query row within its block (label as brand); queries are every 100th id.
 
-@query("q_resolve_blocked_whole", f"""WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
-s AS (SELECT q.vec_id, p.vec_id AS product_id, floor(list_cosine_similarity(q.v, p.v) * 1e5 + 0.5) / 1e5 AS sim FROM e q JOIN e p ON p.label = q.label AND p.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
-SELECT vec_id, product_id, sim, sim >= 0.75 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, product_id) = 1""")
-def q_resolve_blocked_whole(spark, sf_dir):
-    """q_resolve_blocked for every 100th id against all other rows."""
+    The answering side is blocked by an equi-join and reduced per query by a partial aggregate.
+    """
     return nearest(spark, sf_dir, "vec_id % 100 = 0", "true")
 
 
-@query("q_title_match", """WITH t AS (SELECT p_partkey, p_brand, p_type, string_split(lower(p_name), ' ') AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_partkey % 100 = 0)
+@query("q_title_match", """WITH t AS (SELECT p_partkey, p_brand, p_type, string_split(lower(p_name), ' ') AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND a.p_partkey % 100 = 0)
 SELECT a, b, len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))) >= 0.25 AS alike FROM j""")
 def q_title_match(spark, sf_dir):
     """Token overlap of titles within brand and type; every hundredth part asks, all parts answer."""
     t = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
     asks = t.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("a"), "p_brand", "p_type", F.col("w").alias("x"))
-    both = asks.join(t.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", F.col("w").alias("y")), ["p_brand", "p_type"]).where("a < b")
+    both = asks.join(t.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", F.col("w").alias("y")), ["p_brand", "p_type"]).where("a <> b")
     return both.select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= 0.25).alias("alike"))
 
 
