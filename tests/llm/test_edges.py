@@ -79,7 +79,7 @@ def test_near_duplicates_recall_on_whole_documents(spark):
     texts = {r["doc_id"]: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")] for r in docs.collect()}
     bags = {d: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in texts.items() if w}
     df = Counter(s for b in bags.values() for s in b)
-    idf = {s: 2 - math.log(n) / math.log(len(texts)) for s, n in df.items()}
+    idf = {s: 1.25 - 0.25 * math.log(n) / math.log(len(texts)) for s, n in df.items()}
     total = {d: sum(n * idf[s] for s, n in b.items()) for d, b in bags.items()}
     holders = defaultdict(list)
     for d, b in bags.items():

@@ -225,7 +225,7 @@ def weighted(texts, k=5):
 
     bags = [Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if (w := t.lower().split()) else Counter() for t in texts]
     df = Counter(s for b in bags for s in b)
-    idf = {s: 2 - log(n) / log(max(2, len(texts))) for s, n in df.items()}
+    idf = {s: 1.25 - 0.25 * log(n) / log(max(2, len(texts))) for s, n in df.items()}
     for i in range(len(bags)):
         for j in range(i):
             both = bags[i].keys() & bags[j].keys()

@@ -2,8 +2,9 @@
 
 1. Shingle counts. Chunks of documents send each distinct shingle once, with its number of documents,
    packed and sorted, to its hash range; the answer names the shingles that two documents or more hold.
-2. Signatures. A shingle weighs tf * idf, with idf = 2 - log(df) / log(documents), so within 1 and 2 at
-   every corpus size. A document can only have a partner at similarity s if a share s of its weight
+2. Signatures. A shingle weighs tf * idf, with idf = 1 + span * (1 - log(df) / log(documents)), so within 1 and
+   1.25 at every corpus size: rare shingles count more, and similarity stays close to that of plain counts, in which
+   the threshold is meant (a wider span takes copies of large groups below it, as their common shingles count least). A document can only have a partner at similarity s if a share s of its weight
    lies on shingles that others hold too; all others end here. The rest get ``bands * rows`` samples:
    each sample draws r and c from Gamma(2, 1) and b from U(0, 1) per shingle and slot, sets
    t = floor(ln w / r + b), ln a = ln c - r (t - b) - r, and keeps the (shingle, t) of the least a.
@@ -141,7 +142,7 @@ def _signed_rows(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), cols)})
 
 
-def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
+def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int, span: float):
     scale = 1 / max(1e-9, math.log2(max(2, n_docs)))
 
     def sign(table: pa.Table, shared: pa.Table) -> pa.Table:
@@ -162,9 +163,9 @@ def _sign(k: int, bands: int, rows: int, similarity: float, n_docs: int):
             if node not in done:
                 at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 both = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                idf = np.full(len(hashes), 2.0)
+                idf = np.full(len(hashes), 1.0 + span)
                 if len(known):
-                    idf[both] -= np.minimum(1.0, code[at[both]] / 8.0 * scale)
+                    idf[both] -= span * np.minimum(1.0, code[at[both]] / 8.0 * scale)
                 weights = times * idf
                 total, held = float(weights.sum()), float(weights[both].sum())
                 if held >= similarity * total:
@@ -253,7 +254,7 @@ def mark_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, chunk_mb: int = 32, block_mb: int = 4, block_rows: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, chunk_mb: int = 32, block_mb: int = 4, block_rows: int = 512, span: float = 0.25) -> DataFrame:
     """doc_id, mark, class_id (the least doc_id of its class), n_links and is_first, for each row of docs(doc_id, text).
 
     Classes are the connected components of "equal words, or weighted Jaccard similarity of at least
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     chunks = chunk_count(docs, chunk_mb)
     by_chunk = docs.select(F.col("doc_id").cast("long"), mark_of("text").alias("mark"), "text", chunk_of("doc_id", "text", chunks).alias("chunk")).groupBy("chunk")
     shared = by_chunk.applyInArrow(_send_counts(words, range_count(chunks, chunk_mb)), _ANSWER).groupBy("bucket").applyInArrow(_shared, _ANSWER)
-    signed = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_sign(words, bands, rows, similarity, docs.count()), _SIGNED)
+    signed = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_sign(words, bands, rows, similarity, docs.count(), span), _SIGNED)
     signed = materialize(signed, "signed")
 
     nodes = materialize(signed.where("bands is not null").select("node", "total", "own", "vec", "bands").dropDuplicates(["node"]), "nodes")
