@@ -21,18 +21,8 @@ from tidemark.sources.tables import load, price_history
 _r = fx.rounded
 
 
-def shared(name: str, table: str, columns: str, where: str = "TRUE", doc: str = ""):
-    """A query of one table whose select list both engines read as it stands."""
-
-    def run(spark, sf_dir):
-        return load(spark, sf_dir, table).where(where).selectExpr(*split(columns))
-
-    run.__doc__ = doc
-    query(name, f"SELECT {columns} FROM {table} WHERE {where}")(run)
-
-
 def over_opps(name: str, columns: str, doc: str, where: str = "TRUE"):
-    """The same over opportunities."""
+    """A query of opportunities whose select list both engines read as it stands."""
 
     def run(spark, sf_dir):
         return opps(spark, sf_dir).where(where).selectExpr(*split(columns))
