@@ -5,8 +5,14 @@ A card is the piece of a page from its opening tag to the next card's; patterns
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
 # Signs of a challenge and of a firewall, in either case.
 CAPTCHA = ("recaptcha", "hcaptcha", "captcha[_-]?challenge", "g-recaptcha", "cf-challenge", "px-captcha")
 FIREWALL = ("access[ \t\n]+denied", "bot[ \t\n]+detected", "automated[ \t\n]+access", "suspicious[ \t\n]+activity", "robot[ \t\n]+check", "pardon[ \t\n]+our[ \t\n]+interruption", "no[ \t\n]+pudimos[ \t\n]+confirmar")
@@ -126,3 +132,34 @@ LINK = {
     "path": "regexp_extract(clean, '^https?://[^/]+/(.*)$', 1)",
     "slug": "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '([^/]+/+[^/]+)$', 1) ELSE path END, '/+', '-'{g})), '[^a-z0-9-]', ''{g}), '-+', '-'{g}), '^-|-$', ''{g})",
 }
+
+
+# The keys that make an object an item, and how deep objects are searched.
+ITEM_KEYS, DEPTH = ("productId", "itemId"), 10
+
+
+def _items(node: dict | list, depth: int = 0) -> Iterator[dict]:
+    """Items below a node: an item in a list is not searched for others, one in an object is; lists in lists are passed over."""
+    in_object = isinstance(node, dict)
+    for child in node.values() if in_object else node:
+        is_item = isinstance(child, dict) and any(k in child for k in ITEM_KEYS)
+        deeper = depth < DEPTH and isinstance(child, (dict, list) if in_object else dict)
+        if is_item and (deeper or not in_object):
+            yield child
+        if deeper and (in_object or not is_item):
+            yield from _items(child, depth + 1)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def find_items(texts: pd.Series) -> pd.Series:
+    """All items of each JSON text, as JSON, in order; null and broken texts have none."""
+
+    def of(text: str | None) -> list[str]:
+        try:
+            data = json.loads(text) if text else None
+        except ValueError:
+            return []
+        # The text itself is searched as the one child of an object.
+        return [json.dumps(item) for item in _items({"": data}, -1)] if isinstance(data, (dict, list)) else []
+
+    return texts.map(of)
