@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keywords as kw
 from tidemark.functions import pages as pg
 from tidemark.operators.cooldown import last_within
+from tidemark.operators.levels import by_levels, unit
 from tidemark.plans import crawl_queries as cq
 from tidemark.plans import portfolio_queries as pq
 
@@ -75,3 +76,23 @@ def test_selection_meets_every_limit(spark):
         if wanted[place] == "approved":
             left, chosen = left - usd, [*chosen, (product, route)]
     assert got == wanted and {"approved", "risk", "product", "route"} <= set(wanted.values())
+
+
+def test_levels(spark):
+    known = [
+        (1, "b", "m", "main", 100.0, 5, [1.0, 0.0]), (2, "b", "m", "main", 100.0, 5, [0.8, 0.6]), (3, "b", None, "main", 100.0, 5, [0.8, -0.6]),
+        (4, "b", "x", "main", 100.0, 5, [0.99, 0.1]), (5, "c", "m", "accessory", 100.0, 5, [0.0, 1.0]), (6, "c", "m", "main", 100.0, 2, [0.1, 0.99]), (7, "c", "m", "main", 100.0, 5, [1.0, 0.0]),
+    ]
+    asked = [
+        (20, "b", "m", "main", 100.0, [1.0, 0.0], ("model", 1)),
+        (21, "b", "m", "main", 400.0, [1.0, 0.0], (None, None)),  # prices too far apart on every level
+        (22, "b", "z", "main", 100.0, [0.8, -0.6], ("brand", 3)),  # only the product without a model is compatible
+        (23, "b", None, "main", 100.0, [0.98, 0.1], ("brand", 4)),
+        (24, None, None, "main", 100.0, [0.0, 1.0], (None, None)),  # the most similar of all is an accessory; no second best
+        (25, "?", None, "main", 1000.0, [0.1, 0.99], ("any", 6)),  # a median of two prices does not count
+        (26, None, "m", "main", 100.0, [1.0, 0.0], ("any", 1)),  # ties go to the least id
+        (27, "b", "m", "main", 0.0, [0.6, 0.8], ("model", 2)),
+    ]
+    k = spark.createDataFrame(known, "product_id long, brand string, model string, kind string, median double, n_prices long, v array<double>").withColumn("v", unit(F.col("v")))
+    q = spark.createDataFrame([a[:6] for a in asked], "q_id long, q_brand string, q_model string, q_kind string, q_price double, q_v array<double>").withColumn("q_v", unit(F.col("q_v")))
+    assert {r["q_id"]: (r["level"], r["product_id"]) for r in by_levels(q, k, 3).collect()} == {a[0]: a[6] for a in asked}
