@@ -25,31 +25,57 @@ def as_of(snapshots: DataFrame, days: int, as_of_day: str = AS_OF) -> DataFrame:
     return seen.groupBy("product_id").agg(F.max_by(F.struct(*rest), "month").alias("x")).select("product_id", "x.*")
 
 
+def _velocity_of(columns: list[str], short: int, long: int) -> dict:
+    """Aggregates of a product's snapshots: the current one, listing counts of two moments before, and whether it is new."""
+    day = F.lit(AS_OF).cast("date")
+    upto = lambda days, value: F.max_by(F.when(F.col("month") <= F.date_sub(day, days), value), F.when(F.col("month") <= F.date_sub(day, days), F.col("month")))
+    rest = F.struct(*[c for c in columns if c != "product_id"])
+    return {"now": upto(0, rest), "past_short": upto(short, F.col("listing_count")), "past_long": upto(long, F.col("listing_count")), "is_new": F.min("month") > F.date_sub(day, long)}
+
+
 def velocities(snapshots: DataFrame, short: int = 30, long: int = 90) -> DataFrame:
-    """Each product's current snapshot with listing counts of two moments before, and whether it is new."""
-    past = lambda days, name: as_of(snapshots, days).select("product_id", F.col("listing_count").alias(name))
-    first = snapshots.groupBy("product_id").agg((F.min("month") > F.date_sub(F.lit(AS_OF).cast("date"), long)).alias("is_new"))
-    return as_of(snapshots, 0).join(past(short, "past_short"), "product_id", "left").join(past(long, "past_long"), "product_id", "left").join(first, "product_id")
+    """Each product's current snapshot with listing counts of two moments before, and whether it is new: one aggregate."""
+    of = _velocity_of(snapshots.columns, short, long)
+    by = snapshots.groupBy("product_id").agg(*[e.alias(n) for n, e in of.items()])
+    return by.where("now IS NOT NULL").select("product_id", "now.*", "past_short", "past_long", "is_new")
+
+
+def stepped(snapshots: DataFrame) -> DataFrame:
+    """Snapshots with ret (return since the one before), change (of the return), rn (1: the latest) and n of their product."""
+    w = Window.partitionBy("product_id")
+    steps = snapshots.withColumn("before", F.lag("avg_price").over(w.orderBy("month"))).withColumn("ret", (F.col("avg_price") - F.col("before")) / F.col("before"))
+    counted = steps.withColumn("n", F.count("*").over(w)).withColumn("rn", F.col("n") - F.row_number().over(w.orderBy("month")) + 1)
+    return counted.withColumn("change", F.col("ret") - F.lag("ret").over(w.orderBy("month")))
+
+
+def _last_three(column: str):
+    return F.avg(F.when(F.col("rn") <= 3, F.col(column)))
+
+
+def _older():
+    """Mean listing count before the latest three snapshots, of the first one at least."""
+    return F.avg(F.when(F.col("n") - F.col("rn") < F.greatest(F.col("n") - 3, F.lit(1)), F.col("listing_count")))
 
 
 def momentum(snapshots: DataFrame) -> DataFrame:
     """Mean of the latest three returns and of all, and the last change of the return."""
-    w = Window.partitionBy("product_id").orderBy("month")
-    last = Window.partitionBy("product_id").orderBy(F.desc("month"))
-    steps = snapshots.select("product_id", "month", "avg_price").withColumn("before", F.lag("avg_price").over(w)).withColumn("ret", (F.col("avg_price") - F.col("before")) / F.col("before"))
-    ranked = steps.withColumn("change", F.col("ret") - F.lag("ret").over(w)).withColumn("rn", F.row_number().over(last))
-    return ranked.groupBy("product_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("rn") <= 3, F.col("ret"))).alias("recent"), F.avg("ret").alias("overall"), F.max(F.when(F.col("rn") == 1, F.col("change"))).alias("acceleration"))
+    return stepped(snapshots).groupBy("product_id").agg(F.max("n").alias("n"), _last_three("ret").alias("recent"), F.avg("ret").alias("overall"), F.max(F.when(F.col("rn") == 1, F.col("change"))).alias("acceleration"))
 
 
 def volume_change(snapshots: DataFrame) -> DataFrame:
     """Mean listing count of the latest three snapshots against that of all before (the first one at least)."""
-    w = Window.partitionBy("product_id")
-    ranked = snapshots.select("product_id", "month", "listing_count").withColumn("rn", F.row_number().over(w.orderBy(F.desc("month")))).withColumn("n", F.count("*").over(w))
-    older = F.col("n") - F.col("rn") < F.greatest(F.col("n") - 3, F.lit(1))
-    by = ranked.groupBy("product_id").agg(F.max("n").alias("n"), F.avg(F.when(F.col("rn") <= 3, F.col("listing_count"))).alias("recent"), F.avg(F.when(older, F.col("listing_count"))).alias("older"))
+    by = stepped(snapshots).groupBy("product_id").agg(F.max("n").alias("n"), _last_three("listing_count").alias("recent"), _older().alias("older"))
     return by.withColumn("volume_change", (F.col("recent") - F.col("older")) / F.col("older"))
 
 
+def trends(snapshots: DataFrame, short: int = 30, long: int = 90) -> DataFrame:
+    """velocities, momentum and volume change of each product in one aggregate, whose windows share its partitioning."""
+    told = {"n": F.max("n"), "recent": _last_three("ret"), "overall": F.avg("ret"), "acceleration": F.max(F.when(F.col("rn") == 1, F.col("change"))), "volume": _last_three("listing_count"), "older": _older()}
+    of = _velocity_of(["product_id", "listing_count"], short, long) | told
+    by = stepped(snapshots.select("product_id", "month", "listing_count", "avg_price")).groupBy("product_id").agg(*[e.alias(n) for n, e in of.items()]).where("now IS NOT NULL")
+    return by.select("product_id", "now.listing_count", "past_short", "past_long", "is_new", "n", "recent", "overall", "acceleration", ((F.col("volume") - F.col("older")) / F.col("older")).alias("volume_change"))
+
+
 def linear_forecast(prices: DataFrame, horizon: int = 7, least: int = 3) -> DataFrame:
     """Least-squares line per product over days since its first price, with residual spread and error; two grouped aggregates.
 

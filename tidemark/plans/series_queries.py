@@ -82,15 +82,14 @@ _VEL = f"product_id, {_r(_RATIO, 3)} AS velocity_ratio, {_r('volume_change', 3)}
 _RATES = f"SELECT velo.product_id, {_r(_V7, 4)} AS velocity_7d, {_r(_V30, 4)} AS velocity_30d, volume_change"
 
 
-def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    snaps = series.monthly_snapshots(spark, sf_dir)
-    rates = series.velocities(snaps).selectExpr("product_id", f"{_r(_V7, 4)} AS velocity_7d", f"{_r(_V30, 4)} AS velocity_30d")
-    return snaps, rates.join(series.volume_change(snaps).select("product_id", "volume_change"), "product_id")
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = series.trends(series.monthly_snapshots(spark, sf_dir))
+    return rates.withColumns({"velocity_7d": F.expr(_r(_V7, 4)), "velocity_30d": F.expr(_r(_V30, 4))})
 
 
 @query("q_trend_velocity", f"WITH {VELO}, {VOLUME} SELECT {_VEL} FROM ({_RATES} FROM velo JOIN vol USING (product_id))")
 def q_trend_velocity(spark, sf_dir):
-    return _rates(spark, sf_dir)[1].selectExpr(*split(_VEL))
+    return _rates(spark, sf_dir).selectExpr(*split(_VEL))
 
 
 _BOTH = f"product_id, {_r('score1 * 0.5 + score2 * 0.5', 1)} AS trend_score, dir1 AS direction, score1 * 0.5 + score2 * 0.5 >= 70 AND ratio > 2.5 AS is_breakout"
@@ -100,10 +99,8 @@ _BOTH = f"product_id, {_r('score1 * 0.5 + score2 * 0.5', 1)} AS trend_score, dir
  FROM ({_RATES} FROM velo JOIN vol USING (product_id)) v JOIN mom USING (product_id))""")
 def q_trend_aggregate(spark, sf_dir):
     """Both strategies at equal weight; on a split vote the first one's direction stands."""
-    snaps, rates = _rates(spark, sf_dir)
-    first = rates.selectExpr("product_id", f"{_RATIO} AS ratio", f"{_r(_VEL_SCORE, 1)} AS score1", f"{_VEL_DIR} AS dir1")
-    second = series.momentum(snaps).selectExpr("product_id", f"CASE WHEN n < 3 THEN 0.0 ELSE {_r(_MOM_SCORE, 1)} END AS score2", f"{_MOM_DIR} AS dir2")
-    return first.join(second, "product_id").selectExpr(*split(_BOTH))
+    both = _rates(spark, sf_dir).selectExpr("product_id", f"{_RATIO} AS ratio", f"{_r(_VEL_SCORE, 1)} AS score1", f"{_VEL_DIR} AS dir1", f"CASE WHEN n < 3 THEN 0.0 ELSE {_r(_MOM_SCORE, 1)} END AS score2")
+    return both.selectExpr(*split(_BOTH))
 
 
 _FORECAST = f"product_id, n, status, CASE WHEN n >= 30 THEN 'prophet' WHEN n >= 14 THEN 'xgboost' ELSE 'baseline' END AS preferred, coalesce({_r('predicted', 2)}, 0.0e0) AS predicted, {_r('greatest(0.01, predicted - width)', 2)} AS low, {_r('predicted + width', 2)} AS high, {_r('mape', 2)} AS mape, coalesce({_r('least(0.9, greatest(0.1, 0.3 * least(n / 30.0, 1.0) + 0.7 * greatest(0.0, 1 - mape / 50)))', 3)} * CASE WHEN status = 'ok' THEN 1 ELSE 0 END, 0.0e0) AS confidence"
