@@ -99,3 +99,22 @@ def test_unknown_marketplace_takes_default_fees(spark):
     got = {r["product_id"]: r for r in scan.with_fees(pairs, spark).collect()}
     assert abs(got[1]["marketplace_fee"] - 13.12) < 1e-9 and abs(got[1]["domestic_shipping"] - 8) < 1e-9 and abs(got[1]["import_tax"] - (100 + 2 + 40) * 0.20) < 1e-9
     assert got[2]["import_tax"] == 0.0
+
+
+def test_scan_sells_only_variants_that_fit(spark):
+    """The cheapest of each marketplace is bought; what it is sold against fits it by condition, title and variant."""
+    titles = [
+        ("a", "u1", "new", "iPhone 15 128GB", 100.0), ("a", "u2", "new", "iPhone 15 256GB", 150.0), ("b", "u3", "new", "iPhone 15 128 gb", 300.0), ("b", "u4", "new", "iPhone 15 256GB", 390.0),
+        ("b", "u5", "new", "Funda para iPhone 15", 290.0), ("b", "u6", "used", "iPhone 15 128GB", 280.0), ("b", "u7", "new", "iPhone 15", 310.0), ("b", "u8", "new", "iPhone 14 128GB", 295.0), ("b", "u9", "new", None, 320.0),
+    ]
+    rows = spark.createDataFrame([(1, *t) for t in titles] + [(2, "a", "v1", "new", "ring", 10.0), (2, "b", "v2", "new", "ring", 40.0), (2, "b", "v3", "used", "ring", 50.0)], "product_id long, mp string, url string, condition string, title string, usd double")
+    got = {r["url"]: r for r in scan.with_variants(rows).collect()}
+    assert len(got) == len(titles) + 3
+    bought = got["u1"]["variant_no"]
+    assert bought > 0 and {u for u, r in got.items() if bought in r["fits"] and r["product_id"] == 1} == {"u1", "u3", "u7", "u9"}
+    used = got["u6"]["variant_no"]
+    assert used > 0 and [u for u, r in got.items() if used in r["fits"] and r["product_id"] == 1] == ["u6"]
+    assert got["v1"]["variant_no"] == got["v2"]["variant_no"] == 1 and got["v1"]["fits"] == got["v2"]["fits"] == [1] and got["v3"]["fits"] == []
+    assert {r["url"]: r["title"] for r in got.values()} == {t[1]: t[3] for t in titles} | {"v1": "ring", "v2": "ring", "v3": "ring"}
+    sold = scan.offers(scan.with_variants(rows.selectExpr("*", "5.0 AS rating", "1L AS reviews", "true AS free_ship", "timestamp_ntz '2001-01-01' AS scraped_at"))).where(f"product_id = 1 AND sell_mp = 'b' AND buy_variant = {bought}").first()
+    assert (sold["n"], sold["lowest_usd"], sold["sell_url"]) == (3, 300.0, "u9")

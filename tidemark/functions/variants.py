@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,3 +123,17 @@ def judged(pairs):
 def sides(rows, on: list[str]):
     """rows under the names of a buy and of a sell."""
     return tuple(rows.select(*on, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in on]) for side in "bs")
+
+
+def told(title: str, condition: str) -> Column:
+    """All features of a title column, and a condition, as one struct."""
+    shared = {name: F.expr(re.sub(r"\blow\b", f"lower({title})", e)) for name, e in SHARED.items()}
+    return F.struct(F.col(condition).alias("condition"), *[e.alias(name) for name, e in (features(F.col(title)) | shared).items()])
+
+
+def fits_within(buy: str, sell: str) -> str:
+    """Both predicates over two structs of features, as one expression for use inside a lambda."""
+    both = f"({COMPATIBLE}) AND ({SAME_TITLE})"
+    for pattern, said in ((r"\bb_n_(\w+)", rf"size({buy}.\1)"), (r"\bs_n_(\w+)", rf"size({sell}.\1)"), (r"\bn_(\w+)", rf"size(array_intersect({buy}.\1, {sell}.\1))"), (r"\bb_(\w+)", rf"{buy}.\1"), (r"\bs_(\w+)", rf"{sell}.\1")):
+        both = re.sub(pattern, said, both)
+    return f"coalesce({both}, FALSE)"

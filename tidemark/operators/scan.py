@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as fx
+from tidemark.functions import variants as va
 from tidemark.sources.tables import AS_OF, DEFAULT_BORDER, dimension
 
 MIN_PROFIT, MIN_MARGIN, MIN_ROI, MAX_ROI, MAX_RATIO = 20.0, 0.01, 0.15, 1.5, 8.0
@@ -76,10 +77,11 @@ def market_depth(listings: DataFrame) -> DataFrame:
 
 def marketplace_stats(listings: DataFrame) -> DataFrame:
     """Per product and marketplace: prices, the cheapest listing (ties by url), sums, velocity."""
+    bought = [c for c in ("url", "condition", "rating", "reviews", "free_ship", "scraped_at", "variant_no") if c in listings.columns]
     stats = listings.groupBy("product_id", "mp").agg(
         F.count("*").alias("n"), F.min("usd").alias("min_usd"), F.avg("usd").alias("avg_usd"), F.max("usd").alias("max_usd"),
         F.sum("sales").alias("sales_sum"), F.sum("reviews").alias("reviews_sum"), F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("rating_avg"),
-        F.min_by(F.struct("url", "condition", "rating", "reviews", "free_ship", "scraped_at"), F.struct("usd", "url")).alias("buy"),
+        F.min_by(F.struct(*bought), F.struct("usd", "url")).alias("buy"),
         F.max("n_listings").alias("n_listings"),
     )
     return stats.withColumn("price_spread", F.when((F.col("n") > 1) & (F.col("avg_usd") > 0), (F.col("max_usd") - F.col("min_usd")) / F.col("avg_usd")).otherwise(0.0)).withColumn("velocity", F.expr(fx.VELOCITY))
@@ -87,23 +89,23 @@ def marketplace_stats(listings: DataFrame) -> DataFrame:
 
 def route_pairs(stats: DataFrame, routes: DataFrame) -> DataFrame:
     """Pairs of marketplaces of a product on a valid route whose selling side is above the cheapest buy."""
-    buy = stats.select("product_id", F.col("mp").alias("buy_mp"), F.col("min_usd").alias("buy_usd"), F.col("buy.url").alias("buy_url"), F.col("buy.condition").alias("condition"), F.col("buy.rating").alias("buy_rating"), F.col("buy.reviews").alias("buy_reviews"), F.col("buy.free_ship").alias("buy_free"), F.col("buy.scraped_at").alias("buy_at"))
+    buy = stats.select("product_id", F.col("mp").alias("buy_mp"), F.col("min_usd").alias("buy_usd"), F.col("buy.url").alias("buy_url"), F.col("buy.condition").alias("condition"), F.col("buy.rating").alias("buy_rating"), F.col("buy.reviews").alias("buy_reviews"), F.col("buy.free_ship").alias("buy_free"), F.col("buy.scraped_at").alias("buy_at"), *[F.col("buy.variant_no").alias("buy_variant")] * ("variant_no" in stats.schema["buy"].dataType.names))
     sell = stats.select("product_id", F.col("mp").alias("sell_mp"), "min_usd", "price_spread", "sales_sum", "reviews_sum", "velocity", "n_listings")
     return buy.join(routes, "buy_mp").join(sell, ["product_id", "sell_mp"]).where("min_usd > buy_usd")
 
 
 def offers(listings: DataFrame) -> DataFrame:
-    """What a buy meets on a marketplace: number, prices and dearest listing per product, marketplace and condition."""
+    """What a buy meets on a marketplace: number, prices and dearest of the listings that fit it, per product, marketplace and variant bought."""
     named = {"sell_url": "url", "sell_rating": "rating", "sell_reviews": "reviews", "sell_free": "free_ship", "sell_at": "scraped_at", "stability": "stability", "age_days": "age_days"}
     top = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in named.items() if c in listings.columns]), F.struct("usd", "url"))
-    out = listings.groupBy("product_id", F.col("mp").alias("sell_mp"), "condition").agg(F.count("*").alias("n"), F.min("usd").alias("lowest_usd"), F.avg("usd").alias("mean_usd"), F.max("usd").alias("highest_usd"), F.median("usd").alias("median_usd"), top.alias("sell"))
+    out = listings.withColumn("buy_variant", F.explode("fits")).groupBy("product_id", F.col("mp").alias("sell_mp"), "buy_variant").agg(F.count("*").alias("n"), F.min("usd").alias("lowest_usd"), F.avg("usd").alias("mean_usd"), F.max("usd").alias("highest_usd"), F.median("usd").alias("median_usd"), top.alias("sell"))
     out = out.withColumn("spread", (F.col("highest_usd") - F.col("lowest_usd")) / F.col("mean_usd")).withColumn("competition_score", F.expr(fx.COMPETITION_SCORE)).withColumn("sell_usd", F.expr(fx.rounded(f"median_usd * {fx.REALISTIC_SHARE}", 2)))
-    return out.select("product_id", "sell_mp", "condition", "n", "lowest_usd", "mean_usd", "median_usd", "competition_score", "sell_usd", "sell.*")
+    return out.select("product_id", "sell_mp", "buy_variant", "n", "lowest_usd", "mean_usd", "median_usd", "competition_score", "sell_usd", "sell.*")
 
 
 def competition(pairs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Pairs with the sell-side competition among listings of the same condition, and the dearest of them."""
-    return pairs.join(offers(listings), ["product_id", "sell_mp", "condition"])
+    """Pairs with the sell-side competition among listings that fit the one bought, and the dearest of them."""
+    return pairs.join(offers(listings), ["product_id", "sell_mp", "buy_variant"])
 
 
 # Of a marketplace that has no fees listed.
@@ -150,6 +152,25 @@ def clean_listings(listings: DataFrame) -> DataFrame:
     return kept.withColumn("_markets", F.size(F.collect_set("mp").over(of_product))).where("_markets >= 2").drop("_markets")
 
 
+def with_variants(clean: DataFrame) -> DataFrame:
+    """clean listings with fits and variant_no, by condition, title and the rules of variants.
+
+    What is bought are the cheapest listings of each marketplace. Their distinct variants are numbered within the product
+    from 1: variant_no is a listing's own (0 if none is bought in it), fits holds those that it may be sold against.
+    Listings without a title fit by condition. Windows by product, on the partitioning that clean_listings leaves.
+    """
+    of_product = Window.partitionBy("product_id")
+    rows = clean.columns
+    named = clean.withColumn("_title", F.coalesce("title", F.lit("")))
+    # Equal titles fit, so features are only taken where the titles of a product differ.
+    differ = F.min("_title").over(of_product) != F.max("_title").over(of_product)
+    told = named.withColumn("_differ", differ).select("*", F.struct("condition", "_title", F.when(F.col("_differ"), va.told("_title", "condition")).alias("told")).alias("variant"))
+    told = told.withColumn("_cheapest", F.first("variant").over(Window.partitionBy("product_id", "mp").orderBy("usd", "url")))
+    told = told.withColumn("_bought", F.array_sort(F.collect_set("_cheapest").over(of_product))).withColumn("variant_no", F.array_position("_bought", F.col("variant")))
+    fits = f"b.x.condition = variant.condition AND (b.x._title = variant._title OR {va.fits_within('b.x.told', 'variant.told')})"
+    return told.select(*rows, F.col("variant_no").cast("int"), F.expr(f"transform(filter(transform(_bought, (x, i) -> struct(i + 1 AS no, x AS x)), b -> {fits}), b -> b.no)").alias("fits"))
+
+
 def opportunity_pairs(spark: SparkSession, clean: DataFrame) -> DataFrame:
     """Every pair that passes the hard filters, with all signals and scores. clean holds listings with their facts."""
     clean = clean.withColumn("stability", F.expr(fx.STABILITY))

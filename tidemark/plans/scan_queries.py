@@ -19,7 +19,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean listings with their facts, written once: the scan reads them three times, the lines once."""
-    return written(scan.clean_listings(listings(spark, sf_dir, facts=True)), "clean")
+    return written(scan.with_variants(scan.clean_listings(listings(spark, sf_dir, facts=True))), "clean")
 
 
 def opps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ _COMP = f"product_id, buy_mp, sell_mp, n, {_r('lowest_usd', 4)} AS lowest_usd, {
 
 @query("q_competition", upto("comp", f"SELECT {_COMP} FROM comp"))
 def q_competition(spark, sf_dir):
-    rows = clean(spark, sf_dir)
+    rows = scan.with_variants(clean(spark, sf_dir))
     return scan.competition(scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes")), rows).selectExpr(*split(_COMP))
 
 
@@ -120,7 +120,7 @@ _PROFIT = f"product_id, buy_mp, sell_mp, {_FEES}, fees, net_profit, roi, margin"
 
 @query("q_profit", upto("costs", f"SELECT {_PROFIT} FROM costs"))
 def q_profit(spark, sf_dir):
-    rows = clean(spark, sf_dir)
+    rows = scan.with_variants(clean(spark, sf_dir))
     found = scan.route_pairs(scan.marketplace_stats(rows), dimension(spark, "routes"))
     return scan.with_fees(scan.competition(found, rows), spark).selectExpr(*split(_PROFIT))
 
@@ -228,8 +228,8 @@ def q_validator(spark, sf_dir):
     """Checks of each chosen pair against its compatible sell prices: age, spread, depth, worst case, simulated sale, confidence."""
     rows = clean_once(spark, sf_dir)
     best = scan.opportunities(spark, rows)
-    sells = rows.select("product_id", F.col("mp").alias("sell_mp"), "condition", "usd")
-    met = best.select("product_id", "sell_mp", "condition", "sell_usd").join(sells, ["product_id", "sell_mp", "condition"])
+    sells = rows.select("product_id", F.col("mp").alias("sell_mp"), F.explode("fits").alias("buy_variant"), "usd")
+    met = best.select("product_id", "sell_mp", "buy_variant", "sell_usd").join(sells, ["product_id", "sell_mp", "buy_variant"])
     met = met.withColumn("i", F.row_number().over(Window.partitionBy("product_id").orderBy("usd"))).withColumn("k", F.count("*").over(Window.partitionBy("product_id")))
     place = F.when(F.col("k") >= 4, F.greatest(F.lit(0), F.floor(F.col("k") * 0.25) - 1) + 1).otherwise(1)
     per = met.groupBy("product_id").agg((F.stddev_samp("usd") / F.avg("usd")).alias("cv"), F.count_if(F.col("usd") <= F.col("sell_usd") * 1.05).alias("nearby"), F.max(F.when(F.col("i") == place, F.col("usd"))).alias("p25"))
