@@ -18,13 +18,6 @@ def monthly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_of(snapshots: DataFrame, days: int, as_of_day: str = AS_OF) -> DataFrame:
-    """The latest snapshot of each product at or before ``days`` before as_of_day; a backward as-of join without a join."""
-    rest = [c for c in snapshots.columns if c != "product_id"]
-    seen = snapshots.where(F.col("month") <= F.date_sub(F.lit(as_of_day).cast("date"), days))
-    return seen.groupBy("product_id").agg(F.max_by(F.struct(*rest), "month").alias("x")).select("product_id", "x.*")
-
-
 def _velocity_of(columns: list[str], short: int, long: int) -> dict:
     """Aggregates of a product's snapshots: the current one, listing counts of two moments before, and whether it is new."""
     day = F.lit(AS_OF).cast("date")
