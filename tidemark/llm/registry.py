@@ -11,6 +11,7 @@ from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.secrets import OP1_SQL, op1_secret_scan
 from tidemark.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from tidemark.llm.token_ids import op13_token_ids
 from tidemark.llm.toxicity import op3_toxicity
 from tidemark.llm.warc import OP8_SQL, op8_warc
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op13_token_ids": op13_token_ids,
     "pipeline": corpus_pipeline.run,
 }
 
