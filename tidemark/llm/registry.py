@@ -6,6 +6,7 @@ import corpus_pipeline
 from tidemark.llm.chat import OP4_SQL, op4_chat_formatting
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.fingerprint import op5_fingerprints
+from tidemark.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from tidemark.llm.html_text import op10_html_text
 from tidemark.llm.minhash_dedup import op9_minhash_dedup
 from tidemark.llm.mixing import op6_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_ids": op13_token_ids,
     "pipeline": corpus_pipeline.run,
 }
@@ -36,6 +38,7 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
