@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidemark.llm.chat import OP4_SQL, op4_chat_formatting
+from tidemark.llm.collocations import OP11_SQL, op11_collocations
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.fingerprint import op5_fingerprints
 from tidemark.llm.hard_negatives import OP12_SQL, op12_hard_negatives
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_token_ids": op13_token_ids,
     "pipeline": corpus_pipeline.run,
@@ -38,6 +40,7 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
 }
 
