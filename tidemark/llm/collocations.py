@@ -6,8 +6,8 @@ words of frequent pairs) each chunk sends hashes of its n-grams with their weigh
 there (out of core: it spills beyond a fixed memory), and the bucket answers each chunk which of its hashes are
 frequent. Words that are rare, most of a vocabulary, never enter a longer n-gram.
 
-Hashes only preselect. Chunks then send the text of each n-gram that was answered, counted by its exact words, and
-Spark sums those and keeps what is frequent, so a collision of hashes changes no result. A phrase asks for its parts'
+Hashes only preselect. Chunks then send the text of each n-gram that was answered, counted by its exact words, to the
+buckets, where duckdb sums texts and keeps what is frequent, so a collision of hashes changes no result. A phrase asks for its parts'
 counts by shuffled lookups (a join by part) and gathers the answers by phrase.
 
 Null texts are empty and have no pieces, a null lang is ``und``. Ties in score go to the larger count, then to the
@@ -17,6 +17,7 @@ as often as they are there; other columns are not looked at. Products of counts
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 import duckdb
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, bucket_cuts, delta, encoded, fits, load, materialize, mix, pack, rolling, unpack
 
 _ANSWER = "chunk int, bucket int, level int, payload binary"
-_GRAMS = "lang string, words int, phrase string, weight long"
 _BASE = 0x9E3779B97F4A7C15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,21 +129,31 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int32(), pa.binary()])], ["chunk", "bucket", "level", "payload"])
 
 
+@contextlib.contextmanager
+def _database(memory_mb: int):
+    """A database of this task; what does not fit its memory is spilled into a folder that goes with it."""
+    with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill, "preserve_insertion_order": False}) as db:
+        yield db
+
+
+def _insert(db, name: str, rows: pa.Table) -> None:
+    db.register("part", rows)
+    db.execute(f"INSERT INTO {name} SELECT * FROM part")
+    db.unregister("part")
+
+
 def _sum(least: int, memory_mb: int):
     """In a hash bucket: which hashes of each chunk have a weight of least or more over all chunks."""
 
     def frequent(table: pa.Table) -> pa.Table:
         bucket, rows = table["bucket"][0].as_py(), []
         chunks, levels, payloads = (table[c].to_pylist() for c in ("chunk", "level", "payload"))
-        # What does not fit the memory is spilled into a folder of this task, gone with it.
-        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill, "preserve_insertion_order": False}) as db:
+        with _database(memory_mb) as db:
             db.execute("CREATE TABLE sent (level INTEGER, h UBIGINT, weight BIGINT)")
             for level, payload in zip(levels, payloads):
                 h, weight = unpack(payload)
                 part = pa.table({"level": pa.repeat(pa.scalar(level, pa.int32()), len(h)), "h": np.cumsum(h), "weight": weight.astype(np.int64)})
-                db.register("part", part)
-                db.execute("INSERT INTO sent SELECT * FROM part")
-                db.unregister("part")
+                _insert(db, "sent", part)
             found = db.execute(f"SELECT level, h FROM sent GROUP BY level, h HAVING sum(weight) >= {least}").fetchnumpy()
         by_level = {n: np.sort(found["h"][found["level"] == n]) for n in set(levels)}
         for chunk, level, payload in zip(chunks, levels, payloads):
@@ -165,11 +175,21 @@ def _exact(words: _Words, at: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def _emit(longest: int):
-    def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
-        langs, sizes, phrases, weights = [], [], [], []
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _tell(longest: int, buckets: int):
+    """Texts and weights of a chunk's n-grams whose hashes are frequent, by hash bucket."""
+
+    def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
         if table.num_rows and answers.num_rows:
-            words = _Words(table)
+            words, chunk = _Words(table), table["chunk"][0].as_py()
+            raw, langs = words.data.tobytes(), pa.array(words.langs, pa.string())
             for round_ in (1, 2, 3):
                 for n, h, ok in _candidates(words, answers, longest, round_):
                     at = np.flatnonzero(ok)
@@ -180,14 +200,32 @@ def _emit(longest: int):
                     weight = np.zeros(len(first), np.int64)
                     np.add.at(weight, which, words.weight[at])
                     first = at[first]
-                    raw = words.data.tobytes()
-                    phrases += [raw[i:j].decode("utf-8", "replace") for i, j in zip(words.starts[first].tolist(), words.ends[first + n - 1].tolist())]
-                    langs += [words.langs[x] for x in words.lang[first].tolist()]
-                    sizes += [n] * len(first)
-                    weights += weight.tolist()
-        return pa.table([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(weights, pa.int64())], ["lang", "words", "phrase", "weight"])
+                    order = np.argsort(h[first], kind="stable")
+                    first, weight = first[order], weight[order]
+                    cuts = bucket_cuts(h[first], buckets)
+                    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if j > i:
+                            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(words.starts[first[i:j]].tolist(), words.ends[first[i:j] + n - 1].tolist())]
+                            cols = [langs.take(pa.array(words.lang[first[i:j]])), pa.repeat(pa.scalar(n, pa.int32()), j - i), pa.array(texts, pa.string()), pa.array(weight[i:j])]
+                            rows.append((chunk, b, n, _packed(pa.table(cols, ["lang", "words", "phrase", "weight"]))))
+        return _rows(rows)
+
+    return tell
+
+
+def _count(least: int, memory_mb: int):
+    """In a hash bucket: the phrases of a weight of least or more over all chunks, by their texts."""
+
+    def count(table: pa.Table) -> pa.Table:
+        with _database(memory_mb) as db:
+            db.execute("CREATE TABLE told (lang VARCHAR, words INTEGER, phrase VARCHAR, weight BIGINT)")
+            for payload in table["payload"].to_pylist():
+                _insert(db, "told", pa.ipc.open_stream(payload).read_all())
+            found = db.execute(f"SELECT lang, words, phrase, CAST(sum(weight) AS BIGINT) AS f FROM told GROUP BY ALL HAVING sum(weight) >= {least}").fetchall()
+        cols = list(zip(*found)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int32(), pa.string(), pa.int64()])], ["lang", "words", "phrase", "f"])
 
-    return emit
+    return count
 
 
 def frequent_phrases(pieces: DataFrame, least: int = 100, longest: int = 5, chunk_mb: int = 16, memory_mb: int = 256) -> DataFrame:
@@ -203,8 +241,8 @@ def frequent_phrases(pieces: DataFrame, least: int = 100, longest: int = 5, chun
     two = count(by_chunk.cogroup(one.groupBy("chunk")).applyInArrow(_send(2, longest, chunks), _ANSWER))
     known = one.unionByName(two)
     more = count(by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(_send(3, longest, chunks), _ANSWER))
-    texts = by_chunk.cogroup(known.unionByName(more).groupBy("chunk")).applyInArrow(_emit(longest), _GRAMS)
-    return texts.groupBy("lang", "words", "phrase").agg(F.sum("weight").alias("f")).where(F.col("f") >= least)
+    told = by_chunk.cogroup(known.unionByName(more).groupBy("chunk")).applyInArrow(_tell(longest, chunks), _ANSWER)
+    return told.groupBy("bucket").applyInArrow(_count(least, memory_mb), "lang string, words int, phrase string, f long")
 
 
 def _part(first, last):
