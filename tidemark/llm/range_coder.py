@@ -19,15 +19,16 @@ import numpy as np
 
 U64 = np.uint64
 #: Slots of the tables of order 1 and 2 in a block.
-_SLOTS1, _SLOTS2 = 1 << 11, 1 << 12
+_SLOTS1, _SLOTS2 = 1 << 9, 1 << 10
 #: The sum of class shares, and after how many ids classes are weighed anew.
 _SCALE, _EVERY = 1 << 20, 32
 #: Range coder: 16 bits leave once they are settled, and the range is at least 2^40.
 _TOP, _LEAST = U64(1 << 48), U64(1 << 40)
 _MOST = (1 << 64) - 1
-#: Counts n0, n1, n2 lie in ten bits each and are halved when their sum reaches this.
+#: Counts n0, n1, n2 lie in ten bits each and are halved, when classes are weighed, if their sum has reached this.
 _HALVE = 255
 _FIELDS = 0x1FF | 0x1FF << 10 | 0x1FF << 20
+_HIT0, _HIT1, _HIT2 = np.int32(2), np.int32(2 << 10), np.int32(2 << 20)
 
 
 def classes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,9 @@ class _Model:
             #: A rank's start by order 0 is offset + rank * each.
             self.offset = (starts - self.base * each).astype(np.int32).reshape(-1)
             self.inner = np.ascontiguousarray(starts.T[1:].astype(np.int32))
+            n = self.counts
+            full = np.flatnonzero((n & 0x3FF) + (n >> 10 & 0x3FF) + (n >> 20) >= _HALVE)
+            n[full] = n[full] >> 1 & _FIELDS | 1
         self.steps += 1
         self.i1 = self.at1 + (self.last & (_SLOTS1 - 1))
         self.i2 = self.at2 + ((self.before * np.int32(0x9E3B) + self.last * np.int32(0x85D)) >> 2 & (_SLOTS2 - 1))
@@ -117,10 +121,7 @@ class _Model:
     def learn(self, rank: np.ndarray) -> None:
         hit1, hit2 = self.hit1, self.hit2
         self.seen[self.cell] += 2
-        n = self.n + (2 << (hit1 & ~hit2) * np.int32(10) + hit2 * np.int32(20))
-        full = (n & 0x3FF) + (n >> 10 & 0x3FF) + (n >> 20) >= _HALVE
-        np.copyto(n, n >> 1 & _FIELDS | 1, where=full)
-        self.counts[self.q] = n
+        self.counts[self.q] = self.n + np.where(hit2, _HIT2, np.where(hit1, _HIT1, _HIT0))
         new = rank << 2
         for slots, at, v, hit in ((self.slots1, self.i1, self.v1, hit1), (self.slots2, self.i2, self.v2, hit2)):
             sure = v & 3

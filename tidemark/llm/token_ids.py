@@ -7,8 +7,10 @@ a footer (size and CRC-32 of each block, id and length of each document, and whe
 header, the footer and its own bytes alone. The index of files is a table in the shared folder; a task that is run
 again writes files of other names, and only those that the index names are read.
 
-Words end at ASCII white space, which the tokenizer drops and across which none of its rules reach, so the library
-encodes each distinct word once and its ids are put in place of every occurrence.
+The tokenizer is one that drops white space, folds case and never joins letters or digits with .,;:!? in a token. So
+texts are cut at ASCII white space and where those meet, across which none of its rules reach; the library encodes
+each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 4 MB is
+encoded whole as well, and a tokenizer that gives other ids for it raises ValueError.
 
 Null texts have no ids but the end id; null doc_ids come first; rows that share a doc_id are ordered by a hash of the
 text, and equal rows each have their own place. Very long texts are whole: a file holds whole documents. An empty
@@ -17,6 +19,7 @@ table has no files and no rows. Other columns of docs are not looked at. A file
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_SPACE, encoded, load, materialize, pack, shared_dir, unpack
+from tidemark.llm.common import SPACES, encoded, load, materialize, pack, shared_dir, unpack
 from tidemark.llm.range_coder import classes, decode, encode
 
 _MAGIC = b"TIDEIDS1"
@@ -38,6 +41,16 @@ _HEAD, _TAIL = struct.Struct("<8sIIQI"), struct.Struct("<QI8s")
 _INDEX = "part int, seq int, path string, n_ids long, n_docs long"
 #: Words kept with their ids in a worker; beyond it they are encoded anew.
 _KEPT = 1 << 20
+#: White space, ASCII letters and digits, marks that never stand in one token with those, all else.
+_KIND = np.ones(256, np.uint8)
+_KIND[list(SPACES)] = 0
+_KIND[[i for i in range(128) if chr(i).isalnum()]] = 2
+_KIND[list(b".,;:!?")] = 4
+_MEET = 2 ^ 4
+_FOLD = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+#: Bytes whose words are not folded: not ASCII, or what special tokens begin with.
+_KEEP = np.arange(256) >= 128
+_KEEP[ord("<")] = True
 #: Blocks that advance in step.
 _LANES = 6144
 
@@ -50,21 +63,46 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        #: A special token cuts a text before any other rule, so words that are joined by one are encoded as if alone.
+        self.cut, self.cut_id = min(added.items(), key=lambda x: x[1], default=(None, None))
+        self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.counts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
+    def _ids_of(self, words: list[str], group: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        odd = [k for k, w in enumerate(words) if self.cut is None or not self.marks.isdisjoint(w)]
+        out: list = [None] * len(words)
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
+            out[k] = e.ids
+        plain = [k for k, x in enumerate(out) if x is None]
+        texts = [self.cut.join(words[k] for k in plain[i : i + group]) for i in range(0, len(plain), group)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[odd] = [len(out[k]) for k in odd]
+        joined = [np.array([*e.ids, self.cut_id]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        joined = np.concatenate(joined) if joined else np.zeros(0, np.int64)
+        ends = np.flatnonzero(joined == self.cut_id)
+        sizes[plain] = np.diff(ends, prepend=-1) - 1
+        ids = np.empty(int(sizes.sum()), np.int64)
+        is_odd = np.zeros(len(words), bool)
+        is_odd[odd] = True
+        of_odd = np.repeat(is_odd, sizes)
+        ids[~of_odd] = joined[joined != self.cut_id]
+        ids[of_odd] = [i for k in odd for i in out[k]]
+        return ids, sizes
+
     def _put(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        n, more = len(self.known), int(sizes.sum())
+        ids, sizes = self._ids_of([w.decode("utf-8", "replace") for w in words])
+        n, more = len(self.known), len(ids)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(words) > len(self.starts):
             self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-        self.ids[self.used : self.used + more] = [i for x in found for i in x]
+        self.ids[self.used : self.used + more] = ids
         self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.counts[n : n + len(words)] = sizes
         self.used += more
@@ -78,42 +116,64 @@ class WordIds:
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= piece):
                 size += len(texts[hi]) + 1
                 hi += 1
-            yield self._encode(texts[lo:hi])
+            ids, counts = self._encode(texts[lo:hi])
+            if ids[: counts[0]].tolist() != self.tokenizer.encode(texts[lo].decode("utf-8", "replace"), add_special_tokens=False).ids:
+                raise ValueError("this tokenizer looks across words")
+            yield ids, counts
             lo = hi
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        inside = NOT_SPACE[data]
-        step = np.diff(inside.view(np.int8), prepend=np.int8(0))
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        kind = _KIND[data]
+        inside = kind > 0
+        # A word ends at white space, and where an ASCII letter or digit and one of .,;:!? meet.
+        cut = (kind[1:] ^ kind[:-1]) == _MEET
+        begin = np.empty(len(data), bool)
+        begin[0], begin[1:] = inside[0], inside[1:] & (~inside[:-1] | cut)
+        starts = np.flatnonzero(begin)
+        given = data[inside]
+        # Capitals of plain ASCII words are folded here; other words may hold marks that join a capital first.
+        other = np.flatnonzero(_KEEP[given])
+        of_byte = np.cumsum(begin)[inside] - 1
+        kept = np.zeros(len(starts), bool)
+        kept[of_byte[other]] = True
+        plain = np.where(kept[of_byte], given, _FOLD[given])
+        offsets = np.append(np.cumsum(inside)[starts] - 1, len(plain)) if len(starts) else np.zeros(1, np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(plain)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > _KEPT:
             self._clear()
         if missing := [w for w in distinct if w not in self.known]:
             self._put(missing)
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        counts = self.counts[at]
+        of_word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = words.indices.to_numpy()
+        counts = self.counts[of_word][at]
         ends_of = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.starts[at] - (ends_of - counts), counts) + np.arange(ends_of[-1] if len(at) else 0)]
+        before = self.starts[of_word][at] - (ends_of - counts)
+        ids = self.ids[np.repeat(before, counts) + np.arange(ends_of[-1] if len(at) else 0)]
         last_words = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
         return ids, np.diff(np.concatenate(([0], ends_of))[last_words], prepend=0)
 
 
-def pack_file(ids: np.ndarray, docs: np.ndarray, known: np.ndarray, lengths: np.ndarray, block: int = 2048) -> Iterator[bytes]:
-    """The bytes of a file in parts: ids of all its documents, their doc_ids, whether those are known, how many ids each has."""
-    alphabet, at, seen = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-seen, kind="stable")
-    place = np.empty(len(order), np.int32)
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker, so that words are encoded once."""
+    return WordIds(path)
+
+
+def pack_file(ids: np.ndarray, docs: np.ndarray, known: np.ndarray, lengths: np.ndarray, block: int = 1024) -> Iterator[bytes]:
+    """The bytes of a file in parts: ids of all its documents (one or more), their doc_ids, whether those are known, how many ids each has."""
+    seen = np.bincount(ids)
+    order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+    place = np.zeros(len(seen), np.int32)
     place[order] = np.arange(len(order))
-    shares = np.add.reduceat(seen[order], classes(len(order))[0]) if len(order) else np.zeros(0, np.int64)
-    shares = (shares * 64 // max(1, len(ids)) + 1).astype(np.uint32)
-    head = pack(alphabet[order].astype(np.uint32), shares)
+    shares = np.add.reduceat(seen[order], classes(len(order))[0])
+    shares = (shares * 64 // len(ids) + 1).astype(np.uint32)
+    head = pack(order.astype(np.uint32), shares)
     yield _HEAD.pack(_MAGIC, block, len(order), len(ids), len(head)) + head
     n = -(-len(ids) // block)
     ranks = np.zeros(n * block, np.int32)
-    ranks[: len(ids)] = place[at]
+    ranks[: len(ids)] = place[ids]
     ranks = ranks.reshape(n, block)
     sizes = np.zeros(n, np.uint32)
     for lo in range(0, n, _LANES):
@@ -169,7 +229,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int, block: int):
         task = TaskContext.get()
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        words, seq = WordIds(tokenizer), 0
+        words, seq = word_ids(tokenizer), 0
         ids, docs, lengths, waiting = [], [], [], 0
 
         def flush():
@@ -210,7 +270,7 @@ def _parts(docs: DataFrame, part_mb: int) -> int:
     return max(1, -(-size * 2 // (part_mb << 20)))
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, part_mb: int = 32, file_ids: int = 12_000_000, block: int = 2048) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, part_mb: int = 24, file_ids: int = 6_000_000, block: int = 1024) -> DataFrame:
     """Write the ids of docs(doc_id, text) in ascending doc_id and return the index: a row per file, with the ids before it."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
