@@ -6,7 +6,7 @@ import random
 from tests.compare import database
 from tidemark.plans import registry
 from tidemark.sources.shared import shared_folder
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, redelivery
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,9 +56,29 @@ def test_states_without_news(spark, tmp_path):
 
 
 def test_retries_go_on(spark, tmp_path):
-    from tidemark.plans.stream_queries import _fails
+    """A stop after each file gives what one run gives; the table of progress has every batch of all runs."""
+    home = shared_folder(spark, "resumed")
+    for part in range(3):
+        pieces(spark, tmp_path, part)
+        out = redelivery.redelivered(spark, str(tmp_path), home=home, files=1)
+    assert got(out) == wanted("q_stream_retry")
+    told = redelivery.taken(spark, home).first()
+    assert told["rows"] == spark.read.parquet(str(tmp_path)).count() and told["batches"] >= 6
+
+
+def test_redelivery_ends(spark, tmp_path):
+    """Done at once, done after a failure has passed, dead after the fourth delivery, unusable, and still waiting; with a stop between deliveries."""
+    start, home = datetime.datetime(2024, 1, 1), shared_folder(spark, "resumed")
+    row = lambda i, minutes, user, kind, value=1.0: (i, start + datetime.timedelta(minutes=minutes), user, kind, value)
+    first = [row(1, 0, 1, "view"), row(2, 10, 1, "error"), row(3, 20, 1, "view"), row(4, 0, 2, "click", None), row(10, 0, 3, "error"), row(5, 5, 3, "view")]
+    later = [*[row(10 + k, 30 * k, 3, "error") for k in range(1, 9)], row(6, 400, 4, "error"), row(7, 401, 4, "view"), row(8, 420, 5, "view")]
+
+    def told(k, rows):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").toPandas().to_parquet(f"{tmp_path}/events{k}.parquet", coerce_timestamps="us")
+        return {r["event_id"]: (r["deliveries"], r["outcome"]) for r in redelivery.redelivered(spark, str(tmp_path), home=home).collect()}
 
-    assert got(resumed(spark, tmp_path, lambda d, h: jobs.staged(spark, d, _fails, home=h, files=1))) == wanted("q_stream_retry")
+    assert told(0, first) == {1: (1, "done")}
+    assert told(1, later) == {1: (1, "done"), 3: (3, "done"), 4: (4, "dead"), 5: (4, "dead"), 8: (1, "done")}
 
 
 def test_lag_of_a_second_run(spark, tmp_path):
