@@ -9,7 +9,7 @@ Work is spread twice, once by document chunk and once by hash range, and both ex
 sorted hashes (about four bytes a word). Each chunk sends one entry per distinct hash, so a passage
 that a third of the corpus shares costs one entry per chunk, not one per occurrence or per pair.
 
-Windows are compared by 96 hash bits. Null and empty texts have no words; null ids order first, rows that share
+Words are told apart by two unrelated hashes of their bytes, and windows by 64 bits made from the first and 32 from the second. Null and empty texts have no words; null ids order first, rows that share
 an id come in a fixed order of chunk and text, so of repeated rows one keeps its words. Very long texts
 fill a chunk of their own size. Empty tables give empty results. Other columns of docs are not looked at.
 """
@@ -20,10 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, mix, pack, range_count, rolling, unpack, word_hashes
+from tidemark.llm.common import NOT_SPACE, U64, bucket_cuts, chunk_count, chunk_of, delta, encoded, fits, load, mix, pack, range_count, rolling, unpack
 
 _ANSWER = "chunk int, bucket int, kind int, payload binary"
 _FIRST = np.iinfo(np.int64).min
@@ -44,11 +45,33 @@ def _blocks(counts: np.ndarray, size: int) -> np.ndarray:
     return (np.arange(int(counts.sum())) - np.repeat(begin, counts)) % size == 0
 
 
+def _word_hashes(texts: list[bytes], piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word, by its bytes, and the number of words of each text; some texts at a time."""
+    first, second, counts, lo = [np.empty(0, U64)], [np.empty(0, U64)], [np.empty(0, np.int64)], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= piece):
+            size += len(texts[hi]) + 1
+            hi += 1
+        data = np.frombuffer(b"\n".join(texts[lo:hi]) + b"\n", np.uint8)
+        inside = NOT_SPACE[data]
+        step = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        first.append(np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], U64)[at])
+        second.append(np.array([xxhash.xxh64_intdigest(w) for w in distinct], U64)[at])
+        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts[lo:hi]])), prepend=0))
+        lo = hi
+    return np.concatenate(first), np.concatenate(second), np.concatenate(counts)
+
+
 def _grams(texts: list[bytes], size: int):
-    words, counts = word_hashes(texts)
+    words, other, counts = _word_hashes(texts)
     raw = rolling(words, size, 0x9E3779B97F4A7C15)
     # 48 bits of a gram are compared: a false hit only adds candidates.
-    return words, counts, raw, mix(raw) >> U64(16) << U64(16), fits(counts, size)
+    return words, other, counts, raw, mix(raw) >> U64(16) << U64(16), fits(counts, size)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -59,7 +82,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _send_grams(size: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         _, texts = _ordered(table)
-        _, counts, _, grams, ok = _grams(texts, size)
+        _, _, counts, _, grams, ok = _grams(texts, size)
         if not ok.any():
             return _rows([])
         seen, at, times = np.unique(grams[ok], return_inverse=True, return_counts=True)
@@ -100,7 +123,7 @@ def _send_windows(window: int, size: int, buckets: int):
             return _rows([])
         chunk = table["chunk"][0].as_py()
         ids, texts = _ordered(table)
-        words, counts, raw, grams, ok = _grams(texts, size)
+        words, second, counts, raw, grams, ok = _grams(texts, size)
         hit = np.sort(np.concatenate([np.cumsum(unpack(p)[0]) for p in hits["payload"].to_pylist()])) << U64(16)
         at = np.minimum(np.searchsorted(hit, grams), len(hit) - 1)
         found = ok & (hit[at] == grams)
@@ -118,7 +141,7 @@ def _send_windows(window: int, size: int, buckets: int):
             h = mix(raw[start] * power + raw[start + size])
         else:
             h = mix(rolling(words, window, 0x9E3779B97F4A7C15)[start])
-        other = (mix(rolling(words, window, _OTHER_BASE)[start]) >> U64(32)).astype(np.uint32)
+        other = (mix(rolling(second, window, _OTHER_BASE)[start]) >> U64(32)).astype(np.uint32)
         order = np.lexsort((start, other, h))
         h, other, start = h[order], other[order], start[order]
         again = np.zeros(len(h), bool)
