@@ -9,7 +9,7 @@ again writes files of other names, and only those that the index names are read.
 
 The tokenizer is one that drops white space, folds case and never joins letters or digits with .,;:!? in a token. So
 texts are cut at ASCII white space and where those meet, across which none of its rules reach; the library encodes
-each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 4 MB is
+each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 8 MB is
 encoded whole as well, and a tokenizer that gives other ids for it raises ValueError.
 
 Null texts have no ids but the end id; null doc_ids come first; rows that share a doc_id are ordered by a hash of the
@@ -108,7 +108,7 @@ class WordIds:
         self.used += more
         self.known.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, texts: list[bytes], piece: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[bytes], piece: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of some texts after the other, and how many each has."""
         lo = 0
         while lo < len(texts):
@@ -143,9 +143,11 @@ class WordIds:
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > _KEPT:
             self._clear()
-        if missing := [w for w in distinct if w not in self.known]:
-            self._put(missing)
-        of_word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        of_word = np.array([self.known.get(w, -1) for w in distinct], np.int64)
+        new = np.flatnonzero(of_word < 0)
+        if len(new):
+            of_word[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._put([distinct[k] for k in new.tolist()])
         at = words.indices.to_numpy()
         counts = self.counts[of_word][at]
         ends_of = np.cumsum(counts)
