@@ -9,7 +9,7 @@ again writes files of other names, and only those that the index names are read.
 
 The tokenizer is one that drops white space, folds case and never joins letters or digits with .,;:!? in a token. So
 texts are cut at ASCII white space and where those meet, across which none of its rules reach; the library encodes
-each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 8 MB is
+each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 4 MB is
 encoded whole as well, and a tokenizer that gives other ids for it raises ValueError.
 
 Null texts have no ids but the end id; null doc_ids come first; rows that share a doc_id are ordered by a hash of the
@@ -40,7 +40,7 @@ _MAGIC = b"TIDEIDS1"
 _HEAD, _TAIL = struct.Struct("<8sIIQI"), struct.Struct("<QI8s")
 _INDEX = "part int, seq int, path string, n_ids long, n_docs long"
 #: Words kept with their ids in a worker; beyond it they are encoded anew.
-_KEPT = 1 << 20
+_KEPT = 3 << 18
 #: White space, ASCII letters and digits, marks that never stand in one token with those, all else.
 _KIND = np.ones(256, np.uint8)
 _KIND[list(SPACES)] = 0
@@ -108,7 +108,7 @@ class WordIds:
         self.used += more
         self.known.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, texts: list[bytes], piece: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[bytes], piece: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of some texts after the other, and how many each has."""
         lo = 0
         while lo < len(texts):
@@ -250,7 +250,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int, block: int):
 
         for batch in batches:
             keys, done = batch["doc_id"].to_pylist(), 0
-            for found, counts in words.encode(encoded(batch["text"])):
+            for found, counts in words.encode(encoded(batch["text"]), min(4 << 20, 4 * file_ids)):
                 ids.append(np.insert(found, np.cumsum(counts), end_id))
                 lengths.append(counts + 1)
                 docs += keys[done : done + len(counts)]
