@@ -40,7 +40,7 @@ _MAGIC = b"TIDEIDS1"
 _HEAD, _TAIL = struct.Struct("<8sIIQI"), struct.Struct("<QI8s")
 _INDEX = "part int, seq int, path string, n_ids long, n_docs long"
 #: Words kept with their ids in a worker; beyond it they are encoded anew.
-_KEPT = 3 << 18
+_KEPT = 1 << 20
 #: White space, ASCII letters and digits, marks that never stand in one token with those, all else.
 _KIND = np.ones(256, np.uint8)
 _KIND[list(SPACES)] = 0
