@@ -66,3 +66,47 @@ def yield_step(state: tuple, row: dict) -> tuple:
 def category_cycles(rows: DataFrame) -> DataFrame:
     """State of each category after each cycle, for rows(category, cycle, listings, found, profitable, roi)."""
     return fold(every_cycle(rows, "category", "cycle"), "category", "cycle", yield_start, yield_step, YIELD)
+
+
+# Parameters with their first value, least and most; rate of the average, largest step in a cycle, and the guardrails.
+PARAMETERS = {"profit_buffer_pct": (0.05, 0.0, 0.30), "decay_rate_per_hour": (0.005, 0.0, 0.10), "confidence_threshold": (0.30, 0.10, 0.95), "min_roi": (0.15, 0.01, 0.40), "min_profit_usd": (20.0, 1.0, 100.0)}
+RATE, KEPT_RATE, LARGEST_STEP, LEAST_STEP = 0.3, 0.7, 0.05, 0.001
+LEAST_SAMPLES, LEAST_SUCCESS, MOST_FALSE = 10, 0.5, 0.5
+CALIBRATION = ", ".join([*(f"{n} double" for n in PARAMETERS), *(f"{n}_average double" for n in PARAMETERS), "frozen boolean", "version long", "outcome string"])
+
+
+def calibration_start() -> tuple:
+    first = tuple(x[0] for x in PARAMETERS.values())
+    return (*first, *first, False, 0, "")
+
+
+def targets(values: tuple, row: dict) -> tuple:
+    """What a cycle's feedback would set the parameters to, in their order."""
+    _, _, confidence, roi, profit = values
+    drift = row["drift"]
+    roi += 0.01 if drift < -5 else -0.005 if drift > 5 else 0.0
+    profit += 2.0 if drift < -10 else -1.0 if drift > 10 else 0.0
+    return row["buffer"], row["decay"], confidence + row["delta"], roi, profit
+
+
+def calibration_step(state: tuple, row: dict) -> tuple:
+    """Averages move towards the targets, parameters towards the averages by a bounded step; poor results freeze all of it."""
+    values, averages, (frozen, version, _) = state[:5], state[5:10], state[10:]
+    if row["samples"] < LEAST_SAMPLES:
+        return (*values, *averages, frozen, version, "samples")
+    if row["success_rate"] < LEAST_SUCCESS:
+        return (*values, *averages, True, version, "success_rate")
+    if row["false_rate"] > MOST_FALSE:
+        return (*values, *averages, True, version, "false_positive_rate")
+    averages = tuple(RATE * t + KEPT_RATE * a for t, a in zip(targets(values, row), averages))
+    moved = []
+    for value, average, (_, least, most) in zip(values, averages, PARAMETERS.values()):
+        step = max(abs(value) * LARGEST_STEP, LEAST_STEP)
+        bounded = min(most, max(least, value + max(-step, min(step, average - value))))
+        moved.append(int(bounded * 1e6 + 0.5) / 1e6)
+    return (*moved, *averages, False, version + 1, "applied")
+
+
+def calibrated(rows: DataFrame) -> DataFrame:
+    """The parameters of each key after each cycle, for rows(key, cycle, samples, success_rate, false_rate, buffer, decay, delta, drift) without nulls."""
+    return fold(rows, "key", "cycle", calibration_start, calibration_step, CALIBRATION)

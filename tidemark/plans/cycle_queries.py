@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.cycles import category_cycles
+from tidemark.operators.cycles import PARAMETERS, calibrated, category_cycles
 from tidemark.plans.define import query, split
 from tidemark.sources.tables import load
 
@@ -40,3 +40,39 @@ def q_category_cycles(spark, sf_dir):
     # The best score of a cycle is an aggregate, one row per task and cycle.
     best = scored.groupBy("cycle").agg(F.max("score").alias("best"))
     return scored.join(best, "cycle").selectExpr(*split(_OUT))
+
+
+# Suppliers' nations as keys: what came back is a failure, what earned less than its tax a false positive.
+_MEAN = "cast(sum(cast(floor({} * {} + 5e-1) AS bigint)) AS double) / count(*) / {}"
+_FALSE = "count(CASE WHEN l_discount < l_tax THEN 1 END) / cast(count(*) AS double)"
+_FEEDBACK = (
+    f"count(*) AS samples, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) / cast(count(*) AS double) AS success_rate, {_FALSE} AS false_rate, {_MEAN.format('l_discount', 1000, 1000)} AS buffer,"
+    f" {_MEAN.format('l_tax', 1000, 10000)} AS decay, ({_FALSE} - 4e-1) * 1e-1 AS delta, {_MEAN.format('(l_discount - l_tax)', 1000, 1)} AS drift"
+)
+_NAMES = list(PARAMETERS)
+_TARGETS = {"profit_buffer_pct": "buffer", "decay_rate_per_hour": "decay", "confidence_threshold": "confidence_threshold + delta", "min_roi": "min_roi + CASE WHEN drift < -5 THEN 1e-2 WHEN drift > 5 THEN -5e-3 ELSE 0e0 END", "min_profit_usd": "min_profit_usd + CASE WHEN drift < -10 THEN 2e0 WHEN drift > 10 THEN -1e0 ELSE 0e0 END"}
+
+
+def _moved(name: str) -> str:
+    _, least, most = PARAMETERS[name]
+    return f"floor(least({most}e0, greatest({least}e0, {name} + greatest(-greatest(abs({name}) * 5e-2, 1e-3), least(greatest(abs({name}) * 5e-2, 1e-3), new_{name} - {name})))) * 1e6 + 5e-1) / 1e6"
+
+
+_SEEN = "key, cycle, " + ", ".join(_NAMES) + ", frozen, version, outcome"
+_CALIBRATION_SQL = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT s_nationkey AS key, {_MONTH} AS cycle, {_FEEDBACK} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate IS NOT NULL GROUP BY ALL),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cycle) AS step FROM f),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS cycle, CAST(0 AS BIGINT) AS step, {", ".join(f"CAST({PARAMETERS[n][0]} AS DOUBLE) AS {n}" for n in _NAMES)}, {", ".join(f"CAST({PARAMETERS[n][0]} AS DOUBLE) AS avg_{n}" for n in _NAMES)}, FALSE AS frozen, CAST(0 AS BIGINT) AS version, CAST('' AS VARCHAR) AS outcome FROM s
+ UNION ALL
+ SELECT key, cycle, step, {", ".join(f"CASE WHEN told = 'applied' THEN {_moved(n)} ELSE {n} END" for n in _NAMES)}, {", ".join(f"CASE WHEN told = 'applied' THEN new_{n} ELSE avg_{n} END" for n in _NAMES)},
+  CASE WHEN told = 'samples' THEN frozen ELSE told <> 'applied' END, version + CASE WHEN told = 'applied' THEN 1 ELSE 0 END, told
+ FROM (SELECT s.key, s.cycle, s.step, {", ".join(_NAMES)}, {", ".join(f"avg_{n}" for n in _NAMES)}, frozen, version, CASE WHEN samples < 10 THEN 'samples' WHEN success_rate < 5e-1 THEN 'success_rate' WHEN false_rate > 5e-1 THEN 'false_positive_rate' ELSE 'applied' END AS told,
+   {", ".join(f"3e-1 * ({_TARGETS[n]}) + 7e-1 * avg_{n} AS new_{n}" for n in _NAMES)} FROM r JOIN s ON s.key = r.key AND s.step = r.step + 1))
+SELECT {_SEEN} FROM r WHERE step > 0"""
+
+
+@query("q_calibration_cycles", _CALIBRATION_SQL)
+def q_calibration_cycles(spark, sf_dir):
+    """Five parameters of each nation's suppliers after every month: smoothed, bounded in step and range, frozen while results are poor."""
+    lines = load(spark, sf_dir, "lineitem").where("l_shipdate is not null").join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    feedback = lines.withColumn("cycle", F.expr(_MONTH)).groupBy(F.col("s_nationkey").alias("key"), "cycle").agg(*[F.expr(c) for c in split(_FEEDBACK)])
+    return calibrated(feedback).selectExpr(*split(_SEEN))

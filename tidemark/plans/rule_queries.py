@@ -169,8 +169,7 @@ _GUARD = f"o_custkey, CASE WHEN {_HALT} THEN 'risk' WHEN capital * 2e-1 * CASE W
 
 
 def _books(spark, sf_dir):
-    load(spark, sf_dir, "orders").selectExpr(*split(_TRADE)).createOrReplaceTempView("tidemark_trades")
-    return spark.sql(f"WITH t AS (SELECT * FROM tidemark_trades), w AS ({_BOOK_ROWS}) {_BOOK}")
+    return spark.sql(f"WITH t AS (SELECT * FROM {{trades}}), w AS ({_BOOK_ROWS}) {_BOOK}", trades=load(spark, sf_dir, "orders").selectExpr(*split(_TRADE)))
 
 
 _BOOKS_SQL = f"WITH t AS (SELECT {_TRADE} FROM orders), w AS ({_BOOK_ROWS}), book AS ({_BOOK})"
@@ -253,8 +252,7 @@ _YIELD_OUT = f"category, score, {_PAGES} AS pages, row_number() OVER (ORDER BY {
 @query("q_category_yield", f"{_YIELD_SQL} SELECT {_YIELD_OUT} FROM z")
 def q_category_yield(spark, sf_dir):
     """Yield of each category from decayed counters, its pages of the next cycle and its turn; categories without a cycle come in the middle. One row per category is ranked."""
-    load(spark, sf_dir, "part").createOrReplaceTempView("tidemark_part")
-    return spark.sql(f"{_YIELD_SQL.replace('FROM part ', 'FROM tidemark_part ')} SELECT {_YIELD_OUT} FROM z")
+    return spark.sql(f"{_YIELD_SQL.replace('FROM part ', 'FROM {part} ')} SELECT {_YIELD_OUT} FROM z", part=load(spark, sf_dir, "part"))
 
 
 # Sources and sinks.
