@@ -1,17 +1,33 @@
 """Results that a comparison of two engines would not show to be right: card fields, and matches that are not empty."""
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching as mt
+from tidemark.functions.text import parse_price
 from tidemark.plans import page_queries, resolve_queries
+from tidemark.plans.text_queries import PRICES
 
 SF = "/root/testdata/sf0.01"
 
 
+def written_cards(spark):
+    pages = spark.createDataFrame(list(page_queries.RESULT_PAGES.items()), "mp string, html string")
+    return reduce(DataFrame.unionByName, [page_queries.cards(pages.where(F.col("mp") == mp), mp) for mp in page_queries.RESULT_PAGES])
+
+
+def test_prices(spark):
+    """Written prices of three formats, ranges, and what is no price."""
+    rows = spark.createDataFrame([(r, c) for r, c in PRICES], "raw string, currency string").select("raw", "currency", parse_price(F.col("raw"), F.col("currency")).alias("price"))
+    got = {(r["raw"], r["currency"]): r["price"] for r in rows.collect()}
+    assert got == {("$1,299.99", "USD"): 1299.99, ("405.188", "ARS"): 405188.0, ("193,70", "ARS"): 193.7, ("$199.00 to $249.00", "USD"): 199.0, ("", "USD"): None, ("1.234.567,89", "CLP"): 1234567.89, ("12,345", "MXN"): 12345.0, ("12,345.67", "MXN"): 12345.67, ("abc", "USD"): None, ("7", "COP"): 7.0}
+
+
 def test_cards(spark):
-    got = {(r.url, r.title, r.price, r.currency, r.condition, r.rating, r.reviews, r.free_shipping) for r in page_queries.q_result_cards(spark, SF).collect()}
+    got = {(r.url, r.title, r.price, r.currency, r.condition, r.rating, r.reviews, r.free_shipping) for r in written_cards(spark).collect()}
     assert got == {
         ("https://e.example/itm/101?x=1", "Sony WH-1000XM4", 1199.5, "USD", "used", 4.925, 0, True),
         ("https://e.example/itm/102", "Bose QC45", 89.99, "GBP", "new", 0.0, 0, False),

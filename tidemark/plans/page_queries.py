@@ -22,7 +22,7 @@ def q_block_detect(spark, sf_dir):
     return responses.selectExpr("page_id", "status", f"{pg.blocked_sql('status', 'body', lambda t, p: f"{t} RLIKE '{p}'")} AS kind")
 
 
-#: One result page per marketplace.
+#: One written result page per marketplace, for tests.
 RESULT_PAGES = {
     "ebay": '<ul><li class="s-item s-item__pl"><div class="s-item__title">Shop on eBay</div><a class="s-item__link" href="https://e.example/itm/0">x</a><span class="s-item__price">$20.00</span></div></li>'
     '<li class="s-item s-item__pl"><a class="s-item__link" href="https://e.example/itm/101?x=1"><div class="s-item__title"><span>Sony WH-1000XM4</span></div></a><span class="SECONDARY_INFO">Pre-Owned</span><div><span class="s-item__price"><span class="ITALIC">$1,199.50</span> to $1,249.00</span></div><span class="s-item__shipping">Free shipping</span><span class="s-item__seller-info-text">seller (120) 98.5%</span></li>'
@@ -53,20 +53,62 @@ def _cards_sql(mp: str) -> str:
     return f"SELECT * EXCLUDE (card) FROM (SELECT '{mp}' AS mp, card, {fields} FROM (SELECT unnest(string_split(html, '{pg.CARDS[mp].opening}')[2:]) AS card FROM pages_of WHERE mp = '{mp}')) WHERE url <> '' AND title <> '' AND price > 0 AND NOT ({at('skip')})"
 
 
-@query("q_result_cards", f"WITH pages_of(mp, html) AS (VALUES {_PAGES}) " + " UNION ALL ".join(_cards_sql(mp) for mp in pg.CARDS))
+# A result page per order, in the markup of a marketplace; its lines are the cards, and it has a next page where there are four or more.
+_WHOLE = "cast(floor(l_extendedprice / l_quantity) AS bigint)"
+_CENTS = "lpad(cast(cast(floor(l_extendedprice / l_quantity * 100) AS bigint) % 100 AS {text}), 2, '0')"
+
+
+def _thousands(sep: str) -> str:
+    """A whole price as text, with a mark after the thousands."""
+    return f"CASE WHEN {_WHOLE} >= 1000 THEN concat(cast(cast(floor({_WHOLE} / 1000) AS bigint) AS {{text}}), '{sep}', lpad(cast({_WHOLE} % 1000 AS {{text}}), 3, '0')) ELSE cast({_WHOLE} AS {{text}}) END"
+
+
+_ID = "cast(l_orderkey * 10 + l_linenumber AS {text})"
+_CARD = {
+    "ebay": f"""concat('<li class="s-item s-item__pl"><a class="s-item__link" href="https://e.example/', CASE WHEN l_tax = 0 THEN 'other/' ELSE 'itm/' END, {_ID}, '?x=1"><div class="s-item__title"><span>', p_name, '</span></div></a>',
+ CASE WHEN l_returnflag = 'R' THEN '<span class="SECONDARY_INFO">Pre-Owned</span>' ELSE '' END, '<div><span class="s-item__price">$', {_thousands(",")}, '.', {_CENTS}, CASE WHEN l_linenumber = 2 THEN ' to $9,999.00' ELSE '' END, '</span></div><span class="s-item__shipping">',
+ CASE WHEN l_linestatus = 'F' THEN 'Free shipping' ELSE '+$5.00 shipping' END, '</span><span class="s-item__seller-info-text">seller (', cast(l_suppkey AS {{text}}), ') 98.5%</span></li>')""",
+    "mercadolibre_mx": f"""concat('<li class="ui-search-layout__item"><a class="ui-search-link" href="https://m.example/MLM-', {_ID}, '"><h2 class="ui-search-item__title">', p_name, '</h2></a>', CASE WHEN l_tax = 0 THEN '' ELSE concat('<span class="andes-money-amount__fraction">', {_thousands(".")},
+ '</span><span class="andes-money-amount__cents">', {_CENTS}, '</span>') END, '<span class="ui-search-reviews__amount">(', cast(l_suppkey AS {{text}}), ')</span>', CASE WHEN l_linestatus = 'F' THEN '<p>Envío gratis</p>' ELSE '' END, CASE WHEN l_returnflag = 'R' THEN '<span>Usado</span>' ELSE '' END, '</li>')""",
+    "amazon_us": f"""concat('<div data-component-type="s-search-result" data-asin="', CASE WHEN l_tax = 0 THEN '' ELSE concat('B', {_ID}) END, '">', CASE WHEN l_linenumber = 3 THEN '<div data-component-type="sp-sponsored-result"></div>' ELSE '' END, '<h2><span class="a-text-normal">', p_name,
+ '</span></h2><span class="a-offscreen">$', {_thousands(",")}, '.', {_CENTS}, '</span><span aria-label="4.6 out of 5 stars"></span><span class="a-size-base s-underline-text">', cast(l_suppkey AS {{text}}), '</span>', CASE WHEN l_linestatus = 'F' THEN '<span>FREE delivery</span>' ELSE '' END, '</div>')""",
+}
+_NEXT_LINK = {
+    "ebay": '<a class="pagination__next" href="https://e.example/sch?_pgn=2">next</a>',
+    "mercadolibre_mx": '<a class="andes-pagination__link" title="Siguiente" href="https://m.example/_Desde_49">Siguiente</a>',
+    "amazon_us": '<a class="s-pagination-item s-pagination-next" href="/s?page=2">Next</a>',
+}
+_OF = "CASE o_orderstatus WHEN 'F' THEN 'ebay' WHEN 'O' THEN 'mercadolibre_mx' ELSE 'amazon_us' END"
+_CARD_OF = "CASE mp " + " ".join(f"WHEN '{mp}' THEN {card}" for mp, card in _CARD.items()) + " END"
+_LINK_OF = "CASE mp " + " ".join(f"WHEN '{mp}' THEN '{link}'" for mp, link in _NEXT_LINK.items()) + " END"
+_PAGES_SQL = f"""cards AS (SELECT l_orderkey, mp, l_linenumber, l_partkey, l_suppkey, {_CARD_OF.format(text="VARCHAR")} AS card FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT o_orderkey, {_OF} AS mp FROM orders) ON l_orderkey = o_orderkey),
+pages_of AS MATERIALIZED (SELECT l_orderkey AS page, mp, concat('<ul>', string_agg(card, '' ORDER BY l_linenumber, l_partkey, l_suppkey, card), '</ul>', CASE WHEN count(*) >= 4 THEN {_LINK_OF} ELSE '' END) AS html FROM cards GROUP BY l_orderkey, mp)"""
+
+
+def result_pages(spark, sf_dir) -> DataFrame:
+    """page, mp and html of each order's result page."""
+    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = load(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_OF} AS mp")
+    made = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("card", F.expr(_CARD_OF.format(text="string")))
+    found = made.groupBy(F.col("l_orderkey").alias("page"), "mp").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "card"))).alias("c"))
+    body = F.concat(F.lit("<ul>"), F.array_join(F.transform("c", lambda x: x["card"]), ""), F.lit("</ul>"), F.when(F.size("c") >= 4, F.expr(_LINK_OF)).otherwise(F.lit("")))
+    return found.select("page", "mp", body.alias("html"))
+
+
+@query("q_result_cards", f"WITH {_PAGES_SQL} " + " UNION ALL ".join(_cards_sql(mp) for mp in pg.CARDS))
 def q_result_cards(spark, sf_dir):
-    """Listings from result pages of three marketplaces; adverts and cards without link, title or price are dropped."""
-    found = spark.createDataFrame(list(RESULT_PAGES.items()), "mp string, html string")
+    """Listings from the result pages of three marketplaces; adverts and cards without link, title or price are dropped."""
+    found = result_pages(spark, sf_dir)
     return reduce(DataFrame.unionByName, [cards(found.where(F.col("mp") == mp), mp) for mp in pg.CARDS])
 
 
 _NEXT = lambda: "CASE mp " + " ".join(f"WHEN '{mp}' THEN {pg.field(mp, 'next_page', '')}" for mp in pg.CARDS) + " END"
 
 
-@query("q_next_page", f"WITH pages_of(mp, html) AS (VALUES {_PAGES}) SELECT mp, nullif({_NEXT()}, '') AS next_page FROM pages_of")
+@query("q_next_page", f"WITH {_PAGES_SQL} SELECT page, mp, nullif({_NEXT()}, '') AS next_page FROM pages_of")
 def q_next_page(spark, sf_dir):
-    found = spark.createDataFrame(list(RESULT_PAGES.items()), "mp string, html string")
-    return found.select("mp", F.expr(f"nullif({_NEXT()}, '')").alias("next_page"))
+    """The link to the next page of each result page, null on the last."""
+    return result_pages(spark, sf_dir).select("page", "mp", F.expr(f"nullif({_NEXT()}, '')").alias("next_page"))
 
 
 _BAD = "|".join(pg.NO_CATEGORY)

@@ -87,7 +87,7 @@ _RECORD = "o_orderkey AS opportunity_id, CASE o_orderstatus WHEN 'F' THEN 'close
 _SAVED = "l_orderkey AS opportunity_id, CASE l_returnflag WHEN 'N' THEN 'open' WHEN 'A' THEN 'closed' ELSE 'failed' END AS status, l_extendedprice AS price, l_extendedprice * l_discount AS profit, l_linenumber, l_partkey, l_suppkey"
 
 
-@query("q_portfolio_save", f"""WITH p AS (SELECT {_RECORD} FROM orders WHERE o_orderkey % 3 <> 0), s AS (SELECT * FROM (SELECT {_SAVED} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY l_linenumber, l_partkey, l_suppkey, price, profit, status) = 1)
+@query("q_portfolio_save", f"""WITH p AS (SELECT {_RECORD} FROM orders WHERE o_orderpriority <> '5-LOW'), s AS (SELECT * FROM (SELECT {_SAVED} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY l_linenumber, l_partkey, l_suppkey, price, profit, status) = 1)
 SELECT p.opportunity_id, CASE WHEN s.status IS NULL THEN p.status ELSE s.status END AS status, entry_price, s.price AS exit_price, s.profit AS actual_profit FROM p LEFT JOIN s ON s.opportunity_id = p.opportunity_id AND p.status = 'open' AND s.status <> 'open'
 UNION ALL SELECT opportunity_id, 'open', price, NULL, NULL FROM s WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM p WHERE p.opportunity_id = s.opportunity_id AND p.status = 'open')""")
 def q_portfolio_save(spark, sf_dir):
@@ -95,7 +95,7 @@ def q_portfolio_save(spark, sf_dir):
 
     One shuffle by opportunity: rows on record and saved ones meet in a cogrouping by window instead of two joins.
     """
-    record = load(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").selectExpr(*split(_RECORD))
+    record = load(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").selectExpr(*split(_RECORD))
     saved = load(spark, sf_dir, "lineitem").selectExpr(*split(_SAVED)).groupBy("opportunity_id").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "price", "profit", "status")).alias("new"))
     both = record.select("opportunity_id", F.struct("status", "entry_price").alias("old"), F.lit(None).cast(saved.schema["new"].dataType).alias("new")).unionByName(saved.withColumn("old", F.lit(None).cast("struct<status:string,entry_price:double>")), allowMissingColumns=True)
     w = Window.partitionBy("opportunity_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as fx
 from tidemark.functions import text as tx
-from tidemark.plans.define import query
+from tidemark.plans.define import query, split
 from tidemark.sources.tables import load
 
 _r = fx.rounded
@@ -51,17 +51,22 @@ def q_brand_model(spark, sf_dir):
     return titles.select("doc_id", tx.brand(F.col("title")).alias("brand"), tx.model_token(F.col("title")).alias("model"))
 
 
-#: Price strings with the marketplace's currency.
+#: Written price strings with their currency, for tests.
 PRICES = (("$1,299.99", "USD"), ("405.188", "ARS"), ("193,70", "ARS"), ("$199.00 to $249.00", "USD"), ("", "USD"), ("1.234.567,89", "CLP"), ("12,345", "MXN"), ("12,345.67", "MXN"), ("abc", "USD"), ("7", "COP"))
-_PRICE_VALUES = ", ".join(f"('{r}', '{c}')" for r, c in PRICES)
+# Lines' prices as their marketplaces write them: the number of the line chooses the format.
+_PRICE_KIND = "CASE l_linenumber WHEN 1 THEN 'USD' WHEN 2 THEN 'ARS' WHEN 3 THEN 'USD' WHEN 4 THEN 'CLP' WHEN 5 THEN 'MXN' WHEN 6 THEN 'COP' ELSE 'USD' END"
+_GROUPED = "CASE WHEN w >= 1000 THEN concat(cast(cast(floor(w / 1000) AS bigint) AS {text}), '{sep}', lpad(cast(w % 1000 AS {text}), 3, '0')) ELSE cast(w AS {text}) END"
+_DOTS, _COMMAS, _TAIL = _GROUPED.replace("{sep}", "."), _GROUPED.replace("{sep}", ","), "lpad(cast(c AS {text}), 2, '0')"
+_RAW = f"CASE l_linenumber WHEN 1 THEN concat('$', {_COMMAS}, '.', {_TAIL}) WHEN 2 THEN concat({_DOTS}, ',', {_TAIL}) WHEN 3 THEN concat('$', {_COMMAS}, '.', {_TAIL}, ' to $', {_COMMAS}, '.99') WHEN 4 THEN {_DOTS} WHEN 5 THEN concat('MXN ', {_COMMAS}) WHEN 6 THEN '' ELSE 'n/a' END"
+_SPLIT = f"l_orderkey, l_linenumber, {_PRICE_KIND} AS currency, cast(floor(l_extendedprice) AS bigint) AS w, cast(floor(l_extendedprice * 100) AS bigint) % 100 AS c"
 _NUMBER = "regexp_replace(regexp_replace(raw, ' to .*', ''), '[^0-9.,]', '', 'g')"
 
 
-@query("q_price_parse", f"SELECT raw, currency, TRY_CAST(CASE WHEN currency IN ('ARS', 'CLP', 'COP') THEN replace(replace({_NUMBER}, '.', ''), ',', '.') ELSE replace({_NUMBER}, ',', '') END AS DOUBLE) AS price FROM (VALUES {_PRICE_VALUES}) t(raw, currency)")
+@query("q_price_parse", f"SELECT l_orderkey, l_linenumber, raw, currency, TRY_CAST(CASE WHEN currency IN ('ARS', 'CLP', 'COP') THEN replace(replace({_NUMBER}, '.', ''), ',', '.') ELSE replace({_NUMBER}, ',', '') END AS DOUBLE) AS price FROM (SELECT *, {_RAW.format(text='VARCHAR')} AS raw FROM (SELECT {_SPLIT} FROM lineitem))")
 def q_price_parse(spark, sf_dir):
-    """Local number formats: the first of a range, dots as thousands in three currencies."""
-    rows = spark.sql(f"SELECT * FROM VALUES {_PRICE_VALUES} AS t(raw, currency)")
-    return rows.select("raw", "currency", tx.parse_price(F.col("raw"), F.col("currency")).alias("price"))
+    """Local number formats: the first of a range, dots as thousands in three currencies, null where there is no number."""
+    rows = load(spark, sf_dir, "lineitem").selectExpr(*split(_SPLIT)).withColumn("raw", F.expr(_RAW.format(text="string")))
+    return rows.select("l_orderkey", "l_linenumber", "raw", "currency", tx.parse_price(F.col("raw"), F.col("currency")).alias("price"))
 
 
 def nearest(spark, sf_dir: str, ask: str, answer: str):

@@ -11,15 +11,15 @@ a stop between two deliveries loses neither. Rows without time or user are left
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.sources.shared import shared_folder
-from tidemark.streaming.jobs import read_events
+from tidemark.streaming.jobs import drain_told, read_events
 
 #: Deliveries of a message before it is a dead letter: the first one and three more.
 MOST_DELIVERIES = 4
@@ -98,27 +98,6 @@ class Redelivery(StatefulProcessor):
         pass
 
 
-class Progress(StreamingQueryListener):
-    """What each batch of a query took, in full: the query itself keeps its last hundred reports only."""
-
-    def __init__(self):
-        self.name, self.batches, self.ended = None, {}, False
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        if p.name == self.name:
-            self.batches[p.batchId] = (p.batchId, p.timestamp, p.numInputRows, int(p.durationMs.get("triggerExecution", 0)))
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        self.ended = True
-
-
 @contextlib.contextmanager
 def _setting(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name, None)
@@ -129,22 +108,6 @@ def _setting(spark: SparkSession, name: str, value: str):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def drain_told(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], home: str, name: str) -> None:
-    """Run a stream over all that is available, and append a row per batch to the table of progress in its home."""
-    spark = stream.sparkSession
-    listener = Progress()
-    listener.name = f"{name}-{home.rpartition('-')[2]}"
-    spark.streams.addListener(listener)
-    try:
-        query = stream.writeStream.queryName(listener.name).outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
-        query.awaitTermination()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    finally:
-        spark.streams.removeListener(listener)
-    if rows := sorted(listener.batches.values()):
-        spark.createDataFrame(rows, "batch long, at string, rows long, ms long").coalesce(1).write.mode("append").parquet(f"{home}/progress")
-
-
 def redelivered(spark: SparkSession, sf_dir: str, home: str | None = None, files: int = 64) -> DataFrame:
     """event_id, deliveries and outcome ('done' or 'dead') of the messages that are settled; the others still wait.
 
