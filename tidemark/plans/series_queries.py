@@ -95,14 +95,21 @@ def q_trend_velocity(spark, sf_dir):
 _BOTH = f"product_id, {_r('score1 * 0.5 + score2 * 0.5', 1)} AS trend_score, dir1 AS direction, score1 * 0.5 + score2 * 0.5 >= 70 AND ratio > 2.5 AS is_breakout"
 
 
-@query("q_trend_aggregate", f"""WITH {VELO}, {VOLUME}, {MOMENTUM} SELECT {_BOTH} FROM (SELECT v.product_id, {_RATIO} AS ratio, {_r(_VEL_SCORE, 1)} AS score1, {_VEL_DIR} AS dir1, CASE WHEN mom.n < 3 THEN 0.0 ELSE {_r(_MOM_SCORE, 1)} END AS score2, {_MOM_DIR} AS dir2
- FROM ({_RATES} FROM velo JOIN vol USING (product_id)) v JOIN mom USING (product_id))""")
-def q_trend_aggregate(spark, sf_dir):
-    """Both strategies at equal weight; on a split vote the first one's direction stands."""
+TREND_SQL = f"""WITH {VELO}, {VOLUME}, {MOMENTUM} SELECT {_BOTH} FROM (SELECT v.product_id, {_RATIO} AS ratio, {_r(_VEL_SCORE, 1)} AS score1, {_VEL_DIR} AS dir1, CASE WHEN mom.n < 3 THEN 0.0 ELSE {_r(_MOM_SCORE, 1)} END AS score2, {_MOM_DIR} AS dir2
+ FROM ({_RATES} FROM velo JOIN vol USING (product_id)) v JOIN mom USING (product_id))"""
+
+
+def product_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strategies at equal weight; on a split vote the first one's direction stands. One row per product with a snapshot."""
     both = _rates(spark, sf_dir).selectExpr("product_id", f"{_RATIO} AS ratio", f"{_r(_VEL_SCORE, 1)} AS score1", f"{_VEL_DIR} AS dir1", f"CASE WHEN n < 3 THEN 0.0 ELSE {_r(_MOM_SCORE, 1)} END AS score2")
     return both.selectExpr(*split(_BOTH))
 
 
+@query("q_trend_aggregate", TREND_SQL)
+def q_trend_aggregate(spark, sf_dir):
+    return product_trends(spark, sf_dir)
+
+
 _FORECAST = f"product_id, n, status, CASE WHEN n >= 30 THEN 'prophet' WHEN n >= 14 THEN 'xgboost' ELSE 'baseline' END AS preferred, coalesce({_r('predicted', 2)}, 0.0e0) AS predicted, {_r('greatest(0.01, predicted - width)', 2)} AS low, {_r('predicted + width', 2)} AS high, {_r('mape', 2)} AS mape, coalesce({_r('least(0.9, greatest(0.1, 0.3 * least(n / 30.0, 1.0) + 0.7 * greatest(0.0, 1 - mape / 50)))', 3)} * CASE WHEN status = 'ok' THEN 1 ELSE 0 END, 0.0e0) AS confidence"
 
 
@@ -114,13 +121,20 @@ e AS (SELECT x.*, slope, intercept, price - (slope * x + intercept) AS residual
 o AS (SELECT product_id, max(n) AS n, CASE WHEN max(n) >= 3 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN max(n) >= 3 THEN greatest(0.01, max(slope) * (max(reach) + 7) + max(intercept)) END AS predicted, CASE WHEN max(n) >= 3 THEN stddev_pop(residual) * 1.96 END AS width, CASE WHEN max(n) >= 3 THEN avg(abs(residual / price)) * 100 END AS mape FROM e GROUP BY product_id) SELECT {_FORECAST} FROM o"""
 
 
-@query("q_forecast_ols", _forecast_sql("l_partkey"))
-def q_forecast_ols(spark, sf_dir):
+FORECAST_SQL = _forecast_sql("l_partkey")
+
+
+def week_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline forecast a week ahead; longer series prefer models that are not installed, whose fallback this is."""
     prices = price_history(spark, sf_dir).select("product_id", F.unix_date(F.col("recorded_at").cast("date")).alias("day"), F.col("price_usd").alias("price"))
     return series.linear_forecast(prices).selectExpr(*split(_FORECAST))
 
 
+@query("q_forecast_ols", FORECAST_SQL)
+def q_forecast_ols(spark, sf_dir):
+    return week_forecasts(spark, sf_dir)
+
+
 @query("q_forecast_sellers", _forecast_sql("l_suppkey * 100000 + l_partkey"))
 def q_forecast_sellers(spark, sf_dir):
     """The same per seller and product: series of one to some prices, of which those below three get a failed row."""
