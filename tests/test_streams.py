@@ -81,6 +81,12 @@ def test_redelivery_ends(spark, tmp_path):
     assert told(1, later) == {1: (1, "done"), 3: (3, "done"), 4: (4, "dead"), 5: (4, "dead"), 8: (1, "done")}
 
 
+def test_anomalies_go_on(spark, tmp_path):
+    """Batches of one file give what the twin gives: keys start anew by event time, not by the cut into batches."""
+    out = resumed(spark, tmp_path, lambda d, h: jobs.anomalies(spark, d, ttl_ms=24 * 3_600_000, home=h, files=1))
+    assert got(out) == wanted("q_stream_last20")
+
+
 def test_lag_of_a_second_run(spark, tmp_path):
     home = shared_folder(spark, "resumed")
     pieces(spark, tmp_path, 0)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import AS_OF, load
 
 
-def monthly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per product and month: listings, sellers, marketplaces, prices, sales, reviews."""
-    line = load(spark, sf_dir, "lineitem").selectExpr("l_partkey AS product_id", "l_suppkey", "cast(date_trunc('month', l_shipdate) AS date) AS month", "l_extendedprice / l_quantity AS price", "l_quantity", "l_orderkey % 120 AS reviews")
+def monthly_snapshots(spark: SparkSession, sf_dir: str, seen: str = "true") -> DataFrame:
+    """One row per product and month of the lines that meet ``seen``: listings, sellers, marketplaces, prices, sales, reviews."""
+    line = load(spark, sf_dir, "lineitem").where(seen).selectExpr("l_partkey AS product_id", "l_suppkey", "cast(date_trunc('month', l_shipdate) AS date) AS month", "l_extendedprice / l_quantity AS price", "l_quantity", "l_orderkey % 120 AS reviews")
     sellers = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
     return line.join(sellers, "l_suppkey").groupBy("product_id", "month").agg(
         F.count("*").alias("listing_count"), F.countDistinct("l_suppkey").alias("seller_count"), F.countDistinct("n_regionkey").alias("marketplace_count"),
