@@ -254,3 +254,19 @@ def test_ids_of_awkward_rows(spark):
     assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert read_ids(write_ids(empty, WORDS)).count() == 0
+
+
+def test_colliding_words_are_no_near_duplicates(spark):
+    """Texts that differ in one of 21 words share too few shingles, also where the words have one polynomial modulo 2^64; equal ones are found."""
+    from tidemark.llm.decontaminate import find_contamination
+    from tidemark.llm.minhash_dedup import near_duplicates
+
+    one, other = thue_morse(4096), thue_morse(4096).translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(20)]
+    text = lambda word: " ".join([*words[:10], word, *words[10:]])
+    rows = [(1, text(one)), (2, text(other)), (3, text(one).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    item = spark.createDataFrame([(7, " ".join([*words[4:10], one, *words[10:16]]))], "item_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in find_contamination(docs, item).collect()}
+    assert got == {1: 13, 2: 0, 3: 13}

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+#: Bytes up to which a polynomial modulo 2^64 tells words apart; words made to collide under every base (Thue-Morse) have 1024 and more.
+LONG_WORD = 255
+
+
 def word_pieces(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None, piece: int = 4 << 20):
     """The words of all texts, some texts at a time: (first text, folded bytes with a line feed after each text, start, length and hash of each word, words per text).
 
@@ -116,6 +121,8 @@ def word_pieces(texts: list[bytes], is_word: np.ndarray = NOT_SPACE, fold: np.nd
             power = np.cumprod(np.full(int(lens.max()), _BASE, dtype=np.uint64))
             raw = np.add.reduceat(_BYTE[data[inside]] * power[pos], offs)
             hashes = mix(raw + lens.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+            for i in np.flatnonzero(lens > LONG_WORD):
+                hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
         yield lo, data, starts, lens, hashes, counts
         lo = hi
 
