@@ -45,10 +45,22 @@ _BRANDS = ", ".join(f"'{b}'" for b in tx.BRANDS)
 _TOKENS = "string_split(title, ' ')"
 
 
-@query("q_brand_model", f"SELECT doc_id, list_filter({_TOKENS}, lambda x: x IN ({_BRANDS}))[1] AS brand, list_filter({_TOKENS}, lambda x: regexp_full_match(x, '[a-z]*[0-9][a-z0-9]*') AND len(x) >= 3)[1] AS model FROM (SELECT doc_id, {_TITLE_SQL.format('text')} AS title FROM documents WHERE text IS NOT NULL)")
+_KNOWN = " ".join(f"WHEN contains(title, '{name}') THEN '{known}'" for name, known in tx.KNOWN_MODELS)
+
+
+@query("q_brand_model", f"""SELECT doc_id, brand, CASE {_KNOWN} ELSE list_filter({_TOKENS}, lambda x: regexp_full_match(x, '[a-z]*[0-9][a-z0-9]*') AND len(x) >= 3 AND x <> coalesce(brand, ''))[1] END AS model
+FROM (SELECT *, list_filter({_TOKENS}, lambda x: x IN ({_BRANDS}))[1] AS brand FROM (SELECT doc_id, {_TITLE_SQL.format('text')} AS title FROM documents WHERE text IS NOT NULL))""")
 def q_brand_model(spark, sf_dir):
     titles = load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.normalize_title(F.col("text")).alias("title"))
-    return titles.select("doc_id", tx.brand(F.col("title")).alias("brand"), tx.model_token(F.col("title")).alias("model"))
+    return titles.select("doc_id", tx.brand(F.col("title")).alias("brand"), tx.model(F.col("title")).alias("model"))
+
+
+@query("q_product_type", f"""SELECT doc_id, CASE WHEN regexp_matches(title, '{"|".join(tx.TYPE_MAINS)}') THEN 'main' WHEN regexp_matches(title, '{"|".join(tx.TYPE_ACCESSORIES)}') THEN 'accessory' ELSE 'main' END AS kind
+FROM (SELECT doc_id, {_TITLE_SQL.format('text')} AS title FROM documents WHERE text IS NOT NULL)""")
+def q_product_type(spark, sf_dir):
+    """Accessory or main product, where any word of a main product decides; q_accessory_flags goes by what comes first."""
+    titles = load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.normalize_title(F.col("text")).alias("title"))
+    return titles.select("doc_id", tx.product_type(F.col("title")).alias("kind"))
 
 
 #: Written price strings with their currency, for tests.
