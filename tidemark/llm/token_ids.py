@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,22 +129,25 @@ class WordIds:
         inside = kind > 0
         # A word ends at white space, and where an ASCII letter or digit and one of .,;:!? meet.
         cut = (kind[1:] ^ kind[:-1]) == _MEET
-        begin = np.empty(len(data), bool)
+        begin, end = np.empty(len(data), bool), np.zeros(len(data), bool)
         begin[0], begin[1:] = inside[0], inside[1:] & (~inside[:-1] | cut)
+        end[:-1] = inside[:-1] & (~inside[1:] | cut)
         starts = np.flatnonzero(begin)
+        sizes = np.flatnonzero(end) + 1 - starts
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
         given = data[inside]
         # Capitals of plain ASCII words are folded here; other words may hold marks that join a capital first.
-        other = np.flatnonzero(_KEEP[given])
-        of_byte = np.cumsum(begin)[inside] - 1
+        plain = _FOLD[given]
         kept = np.zeros(len(starts), bool)
-        kept[of_byte[other]] = True
-        plain = np.where(kept[of_byte], given, _FOLD[given])
-        offsets = np.append(np.cumsum(inside)[starts] - 1, len(plain)) if len(starts) else np.zeros(1, np.int64)
+        kept[np.searchsorted(offsets, np.flatnonzero(_KEEP[given]), "right") - 1] = True
+        if kept.any():
+            of_kept = np.repeat(kept, sizes)
+            plain[of_kept] = given[of_kept]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(plain)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > _KEPT:
             self._clear()
-        of_word = np.array([self.known.get(w, -1) for w in distinct], np.int64)
+        of_word = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(of_word < 0)
         if len(new):
             of_word[new] = np.arange(len(self.known), len(self.known) + len(new))
