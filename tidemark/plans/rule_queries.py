@@ -124,7 +124,7 @@ def kept_after_gap(rows: DataFrame, key: str, at: str, seq: str, window: int) ->
 
     sorted_ = rows.select(F.col(key).cast("string").alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"), F.col(seq).cast("long").alias("_seq"))
     sorted_ = sorted_.repartition("_key").sortWithinPartitions("_key", "_us", "_seq")
-    return sorted_.mapInArrow(fold, "_key string, _us long, _seq long, kept boolean").select(F.col("_key").alias(key), F.col("_seq").alias(seq), "kept")
+    return sorted_.mapInArrow(fold, "_key string, _us long, _seq long, kept boolean").select(F.col("_key").alias(key), F.timestamp_micros("_us").alias(at), F.col("_seq").alias(seq), "kept")
 
 
 @query("q_time_gap_dedup", """WITH RECURSIVE e AS MATERIALIZED (SELECT concat(user_id, '-', event_type) AS k, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY concat(user_id, '-', event_type) ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
@@ -133,7 +133,7 @@ SELECT e.k AS entity, e.event_id, a.event_id IS NOT NULL AS kept FROM e LEFT JOI
 def q_time_gap_dedup(spark, sf_dir):
     """Repeats of a user's event within a day of the last one kept are suppressed."""
     rows = load(spark, sf_dir, "events").where("ts IS NOT NULL").select(F.concat_ws("-", "user_id", "event_type").alias("entity"), "event_id", "ts")
-    return kept_after_gap(rows, "entity", "ts", "event_id", 86400)
+    return kept_after_gap(rows, "entity", "ts", "event_id", 86400).drop("ts")
 
 
 # Capital.

@@ -38,13 +38,23 @@ def q_snapshot_asof_velocity(spark, sf_dir):
     return series.velocities(series.monthly_snapshots(spark, sf_dir)).selectExpr(*split(_VELO))
 
 
+#: Score, label and whether a product trends, from the velocity of its listings.
 _TREND = f"product_id, {fx.TREND_SCORE} AS trend_score, {fx.TREND_LABEL} AS trend_label, {fx.TREND_SCORE} >= 60 AS is_trending"
 
 
-@query("q_trend_score_label", f"WITH {VELO} SELECT {_TREND} FROM (SELECT *, {_V7} AS velocity_7d FROM velo)")
-def q_trend_score_label(spark, sf_dir):
+_DEMAND = f"{_TREND}, is_new, listing_count"
+DEMAND_SQL = f"WITH {VELO} SELECT {_DEMAND} FROM (SELECT *, {_V7} AS velocity_7d FROM velo)"
+
+
+def demand_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand of each product with a snapshot: score, label, whether it trends or is new, and its listings."""
     found = series.velocities(series.monthly_snapshots(spark, sf_dir)).withColumn("velocity_7d", F.expr(_V7))
-    return found.selectExpr(*split(_TREND))
+    return found.selectExpr(*split(_DEMAND))
+
+
+@query("q_trend_score_label", f"SELECT product_id, trend_score, trend_label, is_trending FROM ({DEMAND_SQL})")
+def q_trend_score_label(spark, sf_dir):
+    return demand_trends(spark, sf_dir).select("product_id", "trend_score", "trend_label", "is_trending")
 
 
 @query("q_snapshot_series", f"""WITH s AS (SELECT l_partkey AS product_id, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price FROM lineitem),
@@ -166,23 +176,33 @@ _URGENCY = f"CASE WHEN n < 2 THEN 50.0 WHEN n / 5.0 > 0.5 THEN {_r(f'({_DECAY_PA
 _LIFE = f"o_custkey, n, hours, decay, {_URGENCY} AS urgency, CASE WHEN n <= 2 OR hours < 12 THEN 'fresh' WHEN decay <= -0.15 THEN 'decaying' ELSE 'stable' END AS label"
 
 
-@query("q_lifecycle", f"""WITH l AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice AS profit, CAST(o_orderkey % 7 AS DOUBLE) AS comp FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 100),
+def lifecycle_sql(source: str) -> str:
+    """The lifecycle of each series of a relation (o_custkey, o_orderdate, o_orderkey, profit, comp)."""
+    return f"""WITH l AS (SELECT * FROM ({source}) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 100),
 i AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS i FROM l),
 s AS (SELECT o_custkey, count(*) AS n, (epoch(TIMESTAMP '2002-01-01') - epoch(min(o_orderdate))) / 3600.0 AS hours, {_slope_signal('regr_slope(profit, i)', 'avg(profit)', 'count(*)')} AS profit_signal, {_slope_signal('regr_slope(comp, i)', 'avg(comp)', 'count(*)')} AS comp_signal FROM i GROUP BY o_custkey)
-SELECT {_LIFE} FROM (SELECT {_LIFE1} FROM s)""")
-def q_lifecycle(spark, sf_dir):
-    """Decay, urgency and label of each series from its latest 100 snapshots; absent signals leave the weighting."""
-    w = Window.partitionBy("o_custkey")
-    orders = load(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice AS profit", "cast(o_orderkey % 7 AS double) AS comp")
-    last = orders.withColumn("rn", F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).where("rn <= 100")
-    rows = last.withColumn("i", -F.col("rn").cast("double"))
-    by = rows.groupBy("o_custkey").agg(
+SELECT {_LIFE} FROM (SELECT {_LIFE1} FROM s)"""
+
+
+def lifecycles(rows: DataFrame) -> DataFrame:
+    """The same of rows(o_custkey, o_orderdate, o_orderkey, profit, comp); the latest 100 of a key are kept before the shuffle."""
+    last = rows.withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).where("rn <= 100")
+    by = last.withColumn("i", -F.col("rn").cast("double")).groupBy("o_custkey").agg(
         F.count("*").alias("n"), F.expr("(unix_timestamp(timestamp_ntz '2002-01-01') - unix_timestamp(min(o_orderdate))) / 3600.0").alias("hours"),
         F.expr(_slope_signal("regr_slope(profit, i)", "avg(profit)", "count(*)")).alias("profit_signal"), F.expr(_slope_signal("regr_slope(comp, i)", "avg(comp)", "count(*)")).alias("comp_signal"),
     )
     return by.selectExpr(*split(_LIFE1)).selectExpr(*split(_LIFE))
 
 
+_SERIES = "o_custkey, o_orderdate, o_orderkey, o_totalprice AS profit, CAST(o_orderkey % 7 AS DOUBLE) AS comp"
+
+
+@query("q_lifecycle", lifecycle_sql(f"SELECT {_SERIES} FROM orders"))
+def q_lifecycle(spark, sf_dir):
+    """Decay, urgency and label of each series from its latest 100 snapshots; absent signals leave the weighting."""
+    return lifecycles(load(spark, sf_dir, "orders").selectExpr(*split(_SERIES)))
+
+
 _GAIN = "o_custkey, o_orderdate, o_orderkey, floor(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.05 ELSE -o_totalprice * 0.06 END) AS gain"
 
 
