@@ -152,18 +152,22 @@ def q_capital_rank(spark, sf_dir):
 # A customer's orders as trades: the key gives each one a profit or a loss.
 _TRADE = "o_custkey, o_orderkey, o_orderdate, (o_orderkey % 11 - 5) * o_totalprice / 1000 AS pnl"
 _BOOK = """SELECT o_custkey, max(n) AS n, 5000 + max(CASE WHEN back = 1 THEN total END) AS capital, 5000 + greatest(0e0, max(total)) AS peak, count(CASE WHEN pnl > 0 THEN 1 END) AS wins,
- -sum(CASE WHEN pnl < 0 AND day = last_day THEN pnl ELSE 0e0 END) AS day_loss, max(CASE WHEN pnl < 0 THEN o_orderdate END) AS last_loss, min(CASE WHEN pnl >= 0 THEN back END) AS first_gain, max(CASE WHEN back = 1 THEN o_orderdate END) AS latest FROM w GROUP BY o_custkey"""
+ -sum(CASE WHEN pnl < 0 AND day = last_day THEN pnl ELSE 0e0 END) AS day_loss, max(CASE WHEN pnl < 0 THEN o_orderdate END) AS last_loss, min(CASE WHEN pnl >= 0 THEN back END) AS first_gain FROM w GROUP BY o_custkey"""
 _BOOK_ROWS = """SELECT *, sum(pnl) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back,
  count(*) OVER (PARTITION BY o_custkey) AS n, CAST(o_orderdate AS DATE) AS day, max(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS last_day FROM t"""
 _STREAK = "coalesce(first_gain, n + 1) - 1"
 _DRAWDOWN = "(peak - capital) / peak"
-# The balanced profile's limits on drawdown, loss of capital, loss of a day and losses in a row.
-_HALTS = {"drawdown": f"{_DRAWDOWN} >= 2e-1", "capital_stop_loss": "(peak - capital) / peak >= 15e-2", "daily_loss": "day_loss >= 500e0", "cooldown": "last_loss = latest"}
+#: An hour before the moment asked for, 2001-08-02, where a day of the tables stands for a minute.
+COOLED = "2001-06-03"
+# The balanced profile's limits on drawdown, loss of capital and loss of a day, and its pause after a loss.
+_HALTS = {"drawdown": f"{_DRAWDOWN} >= 2e-1", "capital_stop_loss": "(peak - capital) / peak >= 15e-2", "daily_loss": "day_loss >= 500e0", "cooldown": f"last_loss > CAST('{COOLED}' AS DATE)"}
 _HALT = " OR ".join(f"coalesce({e}, FALSE)" for e in _HALTS.values())
+#: A streak of losses shrinks sizes without a halt; it is told before the pause.
+_TOLD = {**{k: e for k, e in _HALTS.items() if k != "cooldown"}, "loss_streak": f"{_STREAK} >= 3", "cooldown": _HALTS["cooldown"]}
 _STOPS = {"drawdown": f"{_DRAWDOWN} >= 15e-2", "daily_loss": "capital > 0 AND day_loss >= capital * 5e-2", "win_rate": "n >= 10 AND wins * 1e0 / n < 5e-1"}
 _RISK = (
     f"o_custkey, {_r(_DRAWDOWN, 4)} AS drawdown, {_STREAK} AS losses, NOT ({_HALT}) AS can_execute, CASE WHEN {_STREAK} >= 3 THEN 5e-1 ELSE 1e0 END AS factor,"
-    f" CASE WHEN {_HALT} THEN 'critical' WHEN {_STREAK} >= 3 THEN 'high' WHEN {_DRAWDOWN} > 1e-1 THEN 'medium' ELSE 'low' END AS level, {reasons(_HALTS)} AS reasons, {reasons(_STOPS)} AS stops"
+    f" CASE WHEN {_HALT} THEN 'critical' WHEN {_STREAK} >= 3 THEN 'high' WHEN {_DRAWDOWN} > 1e-1 THEN 'medium' ELSE 'low' END AS level, {reasons(_TOLD)} AS reasons, {reasons(_STOPS)} AS stops"
 )
 _GUARD = f"o_custkey, CASE WHEN {_HALT} THEN 'risk' WHEN capital * 2e-1 * CASE WHEN {_STREAK} >= 3 THEN 5e-1 ELSE 1e0 END < 20 THEN 'sizing' WHEN n >= 15 THEN 'diversification' WHEN least(capital * 2e-1, 500e0) > capital - 400 THEN 'capital' END AS failed_gate"
 
