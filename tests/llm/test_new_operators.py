@@ -2,16 +2,19 @@
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.compare import database, difference
 from tidemark.llm import registry
-from tidemark.llm.collocations import collocations, frequent_phrases, pieces_of
+from tidemark.llm.collocations import _send, _summed, _tell, _texts, _told, _Words, collocations, frequent_phrases, pieces_of
+from tidemark.llm.common import delta, pack, unpack
 from tidemark.llm.hard_negatives import hard_negatives, integers
 from tidemark.llm.range_coder import classes, decode, encode
 from tidemark.llm.substring_dedup import brute_force, dedup_substrings
@@ -111,6 +114,50 @@ def test_phrases_over_several_chunks_and_a_small_database(spark):
     assert {(r["lang"], r["phrase"]): r["f"] for r in found.collect()} == {(k, p): n for k, c in phrases_by_hand(rows, 400)[0].items() for p, n in c.items()}
 
 
+def test_a_chunk_is_worked_on_in_little_memory():
+    """Bytes a word while hashes are sent, where every n-gram is frequent: 108 at most, and 158 when hashes of all places were sorted with their indices."""
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in rng.integers(0, 1 << 40, 40_000)]
+    pieces = [" ".join(names[i] for i in (rng.random(9) ** 3 * len(names)).astype(int)) for _ in range(30_000)]
+    table = pa.table({"lang": ["en", "de"] * 15_000, "piece": pieces, "m": pa.repeat(pa.scalar(1, pa.int64()), 30_000), "chunk": pa.repeat(pa.scalar(0, pa.int32()), 30_000)})
+    words = sum(len(x.split()) for x in pieces)
+
+    def peak(f, *args):
+        tracemalloc.start()
+        try:
+            out = f(*args)
+            return out, tracemalloc.get_traced_memory()[1] / words
+        finally:
+            tracemalloc.stop()
+
+    def answered(sent):
+        return sent.set_column(3, "payload", pa.array([pack(delta(np.cumsum(unpack(x)[0]) << np.uint64(16))) for x in sent["payload"].to_pylist()]))
+
+    sent, most = peak(_send(1, 5, 4), table)
+    answers = answered(sent)
+    for round_ in (2, 3):
+        sent, size = peak(_send(round_, 5, 4), table, answers)
+        answers, most = pa.concat_tables([answers, answered(sent)]), max(most, size)
+    told, size = peak(_tell(5, 4), table, answers)
+    assert told.num_rows and most < 125 and size < 250, (most, size)
+
+
+def test_weights_of_equal_hashes_are_summed_at_any_size():
+    h = np.array([5, 3, 5, 3, 9, 5], np.uint64) << np.uint64(16)
+    keys, sums = _summed(h, np.array([1, 65535, 1 << 40, 65536, 7, 65535], np.int64))
+    assert (keys >> np.uint64(16)).tolist() == [3, 5, 9] and sums.tolist() == [131071, (1 << 40) + 65536, 7]
+    assert [len(x) for x in _summed(h[:0], np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_phrases_of_equal_hashes_are_told_apart():
+    pieces = ["a b", "c d", "a b x", "c d y"]
+    words = _Words(pa.table({"lang": ["en"] * 4, "piece": pieces, "m": pa.array([1, 10, 100, 1000])}))
+    at = np.array([0, 2, 4, 7])
+    for h in ([1, 1, 1, 1], [1, 2, 1, 2]):
+        places, _, weight = _told(words, at, np.array(h, np.uint64), 2)
+        assert dict(zip(_texts(words, places, 2).to_pylist(), weight.tolist())) == {"a b": 101, "c d": 1010}
+
+
 def test_collocations_of_nothing(spark):
     assert collocations(docs_of(spark, [])).count() == 0
     assert collocations(docs_of(spark, [(None, None), ("", "en")])).count() == 0

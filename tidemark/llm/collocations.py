@@ -23,11 +23,12 @@ import tempfile
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bucket_cuts, delta, encoded, fits, load, materialize, mix, pack, rolling, unpack
+from tidemark.llm.common import U64, bucket_cuts, delta, load, materialize, mix, pack, unpack
 
 _ANSWER = "chunk int, bucket int, level int, payload binary"
 _BASE = 0x9E3779B97F4A7C15
@@ -43,82 +44,118 @@ def pieces_of(docs: DataFrame) -> DataFrame:
 
 
 class _Words:
-    """The words of a chunk's pieces, each with an exact number, a hash, and the weight of its piece."""
+    """The words of a chunk's pieces. Words of one lang that are equal share a number; a place is a word's position in the chunk."""
 
     def __init__(self, table: pa.Table):
-        pieces = encoded(table["piece"])
-        self.data = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
+        binary = pa.large_binary()
+        lines = pc.binary_join_element_wise(table["piece"].cast(binary), pa.scalar(b"", binary), pa.scalar(b"\n", binary)).combine_chunks()
+        offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        self.data = np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64
         inside = (self.data != 32) & (self.data != 10)
         step = np.diff(inside.view(np.int8), prepend=np.int8(0))
-        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        breaks = np.cumsum([len(x) + 1 for x in pieces])
-        self.counts = np.diff(np.searchsorted(self.starts, breaks), prepend=0)
-        offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[inside])]).dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], U64)
-        number = words.indices.to_numpy().astype(np.int64)
+        self.starts, self.ends = (np.flatnonzero(step == x).astype(small) for x in (1, -1))
+        #: The last place of each piece and one more, and the piece of each place.
+        self.stops = np.searchsorted(self.starts, (offsets[1:] - offsets[0]).astype(small))
+        counts = np.diff(self.stops, prepend=0)
+        self.piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        ends = np.cumsum(self.ends - self.starts, dtype=np.int64)
+        given = self.data[inside]
+        del lines, step, inside
+        words = pa.LargeBinaryArray.from_buffers(binary, len(self.starts), [None, pa.py_buffer(np.concatenate(([0], ends))), pa.py_buffer(given)]).dictionary_encode()
+        del ends, given
         langs = table["lang"].combine_chunks().dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
-        lang = np.repeat(langs.indices.to_numpy().astype(np.int64), self.counts)
-        self.lang, self.hash = lang, hashes[number]
-        self.salt = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in self.langs], U64)[lang]
-        self.number = number * len(self.langs) + lang
-        self.weight = np.repeat(table["m"].to_numpy(), self.counts)
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of the n words from each word on, of which 48 bits count, and whether its piece holds as many."""
-        ok = fits(self.counts, n)
-        raw = rolling(self.hash, n, _BASE) + self.salt[: len(ok)] * U64(2 * n + 1)
-        return mix(raw) >> U64(16) << U64(16), ok
-
-
-def _frequent(answers: pa.Table, level: int) -> np.ndarray:
-    found = [np.cumsum(unpack(p)[0]) for p, x in zip(answers["payload"].to_pylist(), answers["level"].to_pylist()) if x == level]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, U64)
-
-
-def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
+        number = langs.indices.to_numpy()[self.piece].astype(np.int32 if len(words.dictionary) * len(self.langs) < 1 << 31 else np.int64)
+        number += words.indices.to_numpy() * number.dtype.type(len(self.langs))
+        number = pa.array(number).dictionary_encode()
+        self.number, pairs = number.indices.to_numpy(), number.dictionary.to_numpy()
+        self.m = table["m"].to_numpy()
+        # By number: its lang, the hash of its word.
+        self.lang = pairs % len(self.langs)
+        self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], U64)[pairs // len(self.langs)]
+        self.salt = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in self.langs], U64)
+
+    def _salted(self, raw: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
+        raw += self.salt[lang] * U64(2 * n + 1)
+        return mix(raw) >> U64(16) << U64(16)
+
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each number, of which 48 bits count, and its weight."""
+        weight = np.zeros(len(self.lang), np.int64)
+        np.add.at(weight, self.number, self.m[self.piece])
+        return self._salted(self.hash.copy(), self.lang, 1), weight
+
+    def grams(self, n: int, at: np.ndarray) -> np.ndarray:
+        """A hash of the n words from each place on, of which 48 bits count."""
+        raw = np.zeros(len(at), U64)
+        for j in range(n):
+            raw *= U64(_BASE)
+            raw += self.hash[self.number[at + j]]
+        return self._salted(raw, self.lang[self.number[at]], n)
+
+
+def _summed(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, and the sum of its weights. Small weights go through the sort in the 16 bits that hashes leave free."""
+    large = np.flatnonzero(weight >> 16)
+    keys = h | weight.astype(U64)
+    keys[large] = h[large]
+    keys.sort()
+    sums = keys & U64(0xFFFF)
+    keys ^= sums
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    keys, sums = keys[first], np.add.reduceat(sums, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+    np.add.at(sums, np.searchsorted(keys, h[large]), weight[large])
+    return keys, sums
+
+
+def _frequent(answers: pa.Table | None) -> dict[int, np.ndarray]:
+    """By level: the hashes of a chunk that were answered, in order."""
+    found: dict[int, list[np.ndarray]] = {}
+    for payload, level in zip(answers["payload"].to_pylist(), answers["level"].to_pylist()) if answers else ():
+        found.setdefault(level, []).append(np.cumsum(unpack(payload)[0]))
+    return {level: np.sort(np.concatenate(x)) for level, x in found.items()}
+
+
+def _within(values: np.ndarray, among: np.ndarray | None) -> np.ndarray:
+    if among is None or not len(among):
         return np.zeros(len(values), bool)
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def _candidates(words: _Words, answers: pa.Table | None, longest: int, round_: int):
-    """(n, hashes, starts) of the n-grams of a round: all words; pairs of frequent words; more words whose pairs are all frequent."""
-    if round_ == 1:
-        h, ok = words.grams(1)
-        yield 1, h, ok
-        return
-    single = _within(words.grams(1)[0], _frequent(answers, 1))
-    h, ok = words.grams(2)
-    ok = ok & single[:-1] & single[1:] if len(ok) else ok
-    if round_ == 2:
-        yield 2, h, ok
-        return
-    ok[ok] = _within(h[ok], _frequent(answers, 2))
-    pair, good = ok, ok
+def _candidates(words: _Words, known: dict[int, np.ndarray], longest: int):
+    """(n, places, hashes) of n-grams by n: pairs of frequent words; then more words whose pairs are all frequent."""
+    single = _within(words.singles()[0], known.get(1))[words.number]
+    at = np.flatnonzero(single[:-1] & single[1:] & (words.piece[:-1] == words.piece[1:]))
+    h = words.grams(2, at)
+    yield 2, at, h
+    at = at[_within(h, known.get(2))]
+    pair = np.zeros(len(single), bool)
+    pair[at] = True
     for n in range(3, longest + 1):
-        h, ok = words.grams(n)
-        good = ok & good[: len(ok)] & pair[n - 2 : n - 2 + len(ok)]
-        yield n, h, good
+        at = at[at + n <= words.stops[words.piece[at]]]
+        at = at[pair[at + n - 2]]
+        yield n, at, words.grams(n, at)
 
 
 def _send(round_: int, longest: int, buckets: int):
     """Hashes of a round's n-grams in a chunk, each once with its weight, by hash bucket."""
 
+    def sums(words: _Words, answers: pa.Table | None):
+        if round_ == 1:
+            yield 1, *_summed(*words.singles())
+            return
+        for n, at, h in _candidates(words, _frequent(answers), 2 if round_ == 2 else longest):
+            if n >= round_:
+                yield n, *_summed(h, words.m[words.piece[at]])
+
     def send(table: pa.Table, answers: pa.Table | None) -> pa.Table:
         rows = []
         if table.num_rows:
-            words, chunk = _Words(table), table["chunk"][0].as_py()
-            for n, h, ok in _candidates(words, answers, longest, round_):
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                seen, which = np.unique(h[at], return_inverse=True)
-                weight = np.zeros(len(seen), np.int64)
-                np.add.at(weight, which, words.weight[at])
-                cuts = bucket_cuts(seen, buckets)
-                rows += [(chunk, b, n, pack(delta(seen[i:j] >> U64(16)), weight[i:j].astype(U64))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            chunk = table["chunk"][0].as_py()
+            for n, h, weight in sums(_Words(table), answers):
+                cuts = bucket_cuts(h, buckets)
+                rows += [(chunk, b, n, pack(delta(h[i:j] >> U64(16)), weight[i:j].astype(U64))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         return _rows(rows)
 
     return send if round_ > 1 else lambda table: send(table, None)
@@ -168,13 +205,44 @@ def _sum(least: int, memory_mb: int):
 
 def _exact(words: _Words, at: np.ndarray, n: int) -> np.ndarray:
     """A number for the n words from each place on, the same for the same words of the same lang only."""
-    _, key = np.unique(words.number[at], return_inverse=True)
+    key = words.number[at].astype(np.int64)
     for j in range(1, n):
-        _, word = np.unique(words.number[at + j], return_inverse=True)
-        _, key = np.unique(key * (int(word.max(initial=0)) + 1) + word, return_inverse=True)
+        _, key = np.unique(key * len(words.lang) + words.number[at + j], return_inverse=True)
     return key
 
 
+def _told(words: _Words, at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes (in order) and weights of the distinct n-grams among those at some places, told apart by their words."""
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+    first = at[new][np.cumsum(new) - 1]
+    weight = words.m[words.piece[at]]
+    if all(np.array_equal(words.number[at + j], words.number[first + j]) for j in range(n)):
+        return at[new], h[new], np.add.reduceat(weight, np.flatnonzero(new)) if len(at) else weight
+    # Other words of the same hash.
+    _, first, which = np.unique(_exact(words, at, n), return_index=True, return_inverse=True)
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, which, weight)
+    order = np.argsort(first)
+    return at[first[order]], h[first[order]], sums[order]
+
+
+def _texts(words: _Words, at: np.ndarray, n: int) -> pa.Array:
+    """The n words from each place on, as text."""
+    starts, sizes = words.starts[at].astype(np.int64), words.ends[at + n - 1] - words.starts[at]
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    raw = np.empty(int(offsets[-1]), np.uint8)
+    for lo in range(0, len(at), 1 << 14):
+        hi = min(lo + (1 << 14), len(at))
+        raw[offsets[lo] : offsets[hi]] = words.data[np.repeat(starts[lo:hi] - offsets[lo:hi], sizes[lo:hi]) + np.arange(offsets[lo], offsets[hi])]
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    try:
+        return texts.cast(pa.large_string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.large_string())
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -188,26 +256,26 @@ def _tell(longest: int, buckets: int):
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows and answers.num_rows:
-            words, chunk = _Words(table), table["chunk"][0].as_py()
-            raw, langs = words.data.tobytes(), pa.array(words.langs, pa.string())
-            for round_ in (1, 2, 3):
-                for n, h, ok in _candidates(words, answers, longest, round_):
-                    at = np.flatnonzero(ok)
-                    at = at[_within(h[at], _frequent(answers, n))]
-                    if not len(at):
-                        continue
-                    _, first, which = np.unique(_exact(words, at, n), return_index=True, return_inverse=True)
-                    weight = np.zeros(len(first), np.int64)
-                    np.add.at(weight, which, words.weight[at])
-                    first = at[first]
-                    order = np.argsort(h[first], kind="stable")
-                    first, weight = first[order], weight[order]
-                    cuts = bucket_cuts(h[first], buckets)
-                    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-                        if j > i:
-                            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(words.starts[first[i:j]].tolist(), words.ends[first[i:j] + n - 1].tolist())]
-                            cols = [langs.take(pa.array(words.lang[first[i:j]])), pa.repeat(pa.scalar(n, pa.int32()), j - i), pa.array(texts, pa.string()), pa.array(weight[i:j])]
-                            rows.append((chunk, b, n, _packed(pa.table(cols, ["lang", "words", "phrase", "weight"]))))
+            words, known, chunk = _Words(table), _frequent(answers), table["chunk"][0].as_py()
+            langs = pa.array(words.langs, pa.string())
+
+            def told(n: int, at: np.ndarray, h: np.ndarray, weight: np.ndarray) -> None:
+                cuts = bucket_cuts(h, buckets)
+                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if j > i:
+                        cols = [langs.take(pa.array(words.lang[words.number[at[i:j]]])), pa.repeat(pa.scalar(n, pa.int32()), j - i), _texts(words, at[i:j], n), pa.array(weight[i:j])]
+                        rows.append((chunk, b, n, _packed(pa.table(cols, ["lang", "words", "phrase", "weight"]))))
+
+            h, weight = words.singles()
+            number = np.flatnonzero(_within(h, known.get(1)))
+            number = number[np.argsort(h[number])]
+            place = np.empty(len(words.lang), np.int64)
+            place[words.number] = np.arange(len(words.number))
+            told(1, place[number], h[number], weight[number])
+            for n, at, h in _candidates(words, known, longest):
+                kept = _within(h, known.get(n))
+                at, h, weight = _told(words, at[kept], h[kept], n)
+                told(n, at, h, weight)
         return _rows(rows)
 
     return tell
