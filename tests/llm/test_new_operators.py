@@ -279,6 +279,16 @@ def test_words_alone_have_the_ids_of_whole_texts():
     assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_letters_are_spared_the_rules_before_the_model():
+    text, seen = "Leque### Élan,ÿé.Straße$$$ don't W̊ 12ab <|endoftext|> Œuf ×a", []
+    words = WordIds(WORDS)
+    whole = words._ids_of
+    words._ids_of = lambda w: seen.extend(w) or whole(w)
+    ((ids, _),) = words.encode([text.encode()])
+    assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["###", ",", ".", "$$$", "don't", "W̊", "12ab", "<|endoftext|>", "Œuf", "×a"])
+
+
 def told(df):
     return [tuple(r) for r in df.orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
 

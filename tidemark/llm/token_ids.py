@@ -7,9 +7,10 @@ a footer (size and CRC-32 of each block, id and length of each document, and whe
 header, the footer and its own bytes alone. The index of files is a table in the shared folder; a task that is run
 again writes files of other names, and only those that the index names are read.
 
-The tokenizer is one that drops white space, folds case and never joins letters or digits with .,;:!? in a token. So
+The tokenizer is one that drops white space, folds case and never joins letters or digits with .,;:!?#$%&* in a token. So
 texts are cut at ASCII white space and where those meet, across which none of its rules reach; the library encodes
-each distinct word once, and its ids are put in place of every occurrence. The first text of each piece of 4 MB is
+each distinct word once (words of letters by the model behind a split at spaces, if the rules before it are known to do
+no more to them), and its ids are put in place of every occurrence. The first text of each piece of 6 MB is
 encoded whole as well, and a tokenizer that gives other ids for it raises ValueError.
 
 Null texts have no ids but the end id; null doc_ids come first; rows that share a doc_id are ordered by a hash of the
@@ -20,15 +21,16 @@ table has no files and no rows. Other columns of docs are not looked at. A file
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,23 +39,57 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACES, encoded, load, materialize, pack, shared_dir, unpack
 from tidemark.llm.range_coder import classes, decode, encode
 
-_MAGIC = b"TIDEIDS1"
+_MAGIC = b"TIDEIDS2"
 _HEAD, _TAIL = struct.Struct("<8sIIQI"), struct.Struct("<QI8s")
 _INDEX = "part int, seq int, path string, n_ids long, n_docs long"
 #: Words kept with their ids in a worker; beyond it they are encoded anew.
-_KEPT = 1 << 20
-#: White space, ASCII letters and digits, marks that never stand in one token with those, all else.
+_KEPT = 3 << 19
+#: White space, letters and digits (of ASCII here), marks that never stand in one token with those, all else.
 _KIND = np.ones(256, np.uint8)
 _KIND[list(SPACES)] = 0
 _KIND[[i for i in range(128) if chr(i).isalnum()]] = 2
-_KIND[list(b".,;:!?")] = 4
+_KIND[list(b".,;:!?#$%&*")] = 4
+_KIND = _KIND.tobytes()
 _MEET = 2 ^ 4
-_FOLD = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
-#: Bytes whose words are not folded: not ASCII, or what special tokens begin with.
-_KEEP = np.arange(256) >= 128
-_KEEP[ord("<")] = True
-#: Blocks that advance in step.
-_LANES = 6144
+#: What a tokenizer may do to a text before its model so that words of letters are theirs alone.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Blocks that advance in step, at most.
+_LANES = 8192
+
+
+def _batches(first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Blocks first to last - 1 in equal shares that advance in step, as few blocks cost much each."""
+    n = max(1, -(-(last - first) // _LANES))
+    cuts = [first + (last - first) * i // n for i in range(n + 1)]
+    return zip(cuts[:-1], cuts[1:])
+
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Where the lead bytes of letters of U+00C0 to U+00FF are, which are all there but two signs."""
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    low = data[lead + 1]
+    return lead[(low >> 6 == 2) & (low != 0x97) & (low != 0xB7)]
+
+
+def _of_letters(words: pa.Array) -> pa.Array:
+    """Which words (none is empty) have letters of ASCII and of U+00C0 to U+00FF only; their small letters hang on no others around them."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    good = (data | 32) - np.uint8(97) < 26
+    lead = _letters(data)
+    good[lead] = good[lead + 1] = True
+    return pa.array(np.logical_and.reduceat(good, offsets[:-1] - offsets[0]))
 
 
 class WordIds:
@@ -68,11 +104,34 @@ class WordIds:
         #: A special token cuts a text before any other rule, so words that are joined by one are encoded as if alone.
         self.cut, self.cut_id = min(added.items(), key=lambda x: x[1], default=(None, None))
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.plain, self.last = self._behind_spaces()
         self._clear()
 
+    def _behind_spaces(self) -> tuple:
+        """The same model behind a split at spaces only, and which ids end a word; None where other rules might tell words of letters apart."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix or any(spec[k] != v for k, v in _RULES.items()) or any(t["content"][0].isalpha() for t in spec["added_tokens"]):
+            return None, None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return plain, last
+
+    def _ids_of_letters(self, words: list[bytes], group: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters, and how many each has; None if the ends of words cannot be told."""
+        texts = [b" ".join(words[i : i + group]).decode().lower() for i in range(0, len(words), group)]
+        ids = [np.array(e.ids, np.int64) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        ends = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids) - 1) else None
+
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts, self.counts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def _ids_of(self, words: list[str], group: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
@@ -96,20 +155,31 @@ class WordIds:
         ids[of_odd] = [i for k in odd for i in out[k]]
         return ids, sizes
 
-    def _put(self, words: list[bytes]) -> None:
-        ids, sizes = self._ids_of([w.decode("utf-8", "replace") for w in words])
+    def _put(self, words: pa.Array, is_letters: pa.Array) -> np.ndarray:
+        """Add words that are not known; their places."""
+        n, order = len(self.known), np.arange(len(words))
+        found = self._ids_of_letters(words.filter(is_letters).to_pylist()) if self.plain is not None else None
+        if found is not None:
+            order = np.argsort(~is_letters.to_numpy(zero_copy_only=False), kind="stable")
+            self._add(words.filter(is_letters), *found)
+            words = words.filter(pc.invert(is_letters))
+        self._add(words, *self._ids_of([w.decode("utf-8", "replace") for w in words.to_pylist()]))
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(n, n + len(order))
+        return places
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, more = len(self.known), len(ids)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(words) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[self.used : self.used + more] = ids
         self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.counts[n : n + len(words)] = sizes
         self.used += more
-        self.known.update(zip(words, range(n, n + len(words))))
+        self.known = pa.concat_arrays([self.known, words])
 
-    def encode(self, texts: list[bytes], piece: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[bytes], piece: int = 6 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of some texts after the other, and how many each has."""
         lo = 0
         while lo < len(texts):
@@ -124,41 +194,41 @@ class WordIds:
             lo = hi
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        kind = _KIND[data]
+        data = b"\n".join([*texts, b""])
+        kind = np.frombuffer(bytearray(data.translate(_KIND)), np.uint8)
+        given = np.frombuffer(data, np.uint8)
+        lead = _letters(given)
+        kind[lead] = kind[lead + 1] = 2
         inside = kind > 0
-        # A word ends at white space, and where an ASCII letter or digit and one of .,;:!? meet.
+        # A word ends at white space, and where a letter or digit and one of .,;:!?#$%&* meet.
         cut = (kind[1:] ^ kind[:-1]) == _MEET
-        begin, end = np.empty(len(data), bool), np.zeros(len(data), bool)
+        begin, end = np.empty(len(kind), bool), np.zeros(len(kind), bool)
         begin[0], begin[1:] = inside[0], inside[1:] & (~inside[:-1] | cut)
         end[:-1] = inside[:-1] & (~inside[1:] | cut)
         starts = np.flatnonzero(begin)
         sizes = np.flatnonzero(end) + 1 - starts
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        given = data[inside]
-        # Capitals of plain ASCII words are folded here; other words may hold marks that join a capital first.
-        plain = _FOLD[given]
-        kept = np.zeros(len(starts), bool)
-        kept[np.searchsorted(offsets, np.flatnonzero(_KEEP[given]), "right") - 1] = True
-        if kept.any():
-            of_kept = np.repeat(kept, sizes)
-            plain[of_kept] = given[of_kept]
+        given = given[inside]
+        # Capitals are folded here, but not before what may be a mark that joins them, nor in words that may be special tokens.
+        after = np.append(given[1:], np.uint8(0))
+        plain = given + (((given - np.uint8(65) < 26) & ((after < 128) | (after == 0xC3))).view(np.uint8) << 5)
+        for k in set((np.searchsorted(offsets, np.flatnonzero(given == ord("<")), "right") - 1).tolist()):
+            plain[offsets[k] : offsets[k + 1]] = given[offsets[k] : offsets[k + 1]]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(plain)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary
         if len(self.known) + len(distinct) > _KEPT:
             self._clear()
-        of_word = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(of_word < 0)
-        if len(new):
-            of_word[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._put([distinct[k] for k in new.tolist()])
-        at = words.indices.to_numpy()
-        counts = self.counts[of_word][at]
-        ends_of = np.cumsum(counts)
-        before = self.starts[of_word][at] - (ends_of - counts)
-        ids = self.ids[np.repeat(before, counts) + np.arange(ends_of[-1] if len(at) else 0)]
+        of_word = pc.index_in(distinct, value_set=self.known)
+        new = of_word.is_null()
+        of_word = of_word.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        if len(fresh := distinct.filter(new)):
+            of_word[new.to_numpy(zero_copy_only=False)] = self._put(fresh, _of_letters(fresh))
+        ends = np.append(self.starts[: len(self.known)], self.used).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.ids[: self.used])).take(pa.array(of_word[words.indices.to_numpy()]))
+        ends_of = lists.offsets.to_numpy()
+        ids = lists.flatten().to_numpy()
         last_words = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
-        return ids, np.diff(np.concatenate(([0], ends_of))[last_words], prepend=0)
+        return ids, np.diff(ends_of[last_words].astype(np.int64), prepend=0)
 
 
 @functools.cache
@@ -182,8 +252,8 @@ def pack_file(ids: np.ndarray, docs: np.ndarray, known: np.ndarray, lengths: np.
     ranks[: len(ids)] = place[ids]
     ranks = ranks.reshape(n, block)
     sizes = np.zeros(n, np.uint32)
-    for lo in range(0, n, _LANES):
-        codes = encode(ranks[lo : lo + _LANES], len(order), shares)
+    for lo, hi in _batches(0, n):
+        codes = encode(ranks[lo:hi], len(order), shares)
         sizes[lo : lo + len(codes)] = [len(x) for x in codes]
         yield b"".join(codes)
     plain = ids.astype("<u4")
@@ -209,8 +279,7 @@ class IdFile:
 
     def blocks(self, first: int, last: int) -> Iterator[np.ndarray]:
         """The ids of blocks first to last - 1, some blocks at a time; each block is held against its checksum."""
-        for lo in range(first, last, _LANES):
-            hi = min(lo + _LANES, last)
+        for lo, hi in _batches(first, last):
             data = self.source.read_at(int(self.at[hi] - self.at[lo]), int(self.at[lo]))
             cuts = (self.at[lo : hi + 1] - self.at[lo]).tolist()
             ranks = decode([data[i:j] for i, j in zip(cuts, cuts[1:])], self.block, self.n_ranks, self.shares)
@@ -254,7 +323,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int, block: int):
 
         for batch in batches:
             keys, done = batch["doc_id"].to_pylist(), 0
-            for found, counts in words.encode(encoded(batch["text"]), min(4 << 20, 4 * file_ids)):
+            for found, counts in words.encode(encoded(batch["text"]), min(6 << 20, 4 * file_ids)):
                 ids.append(np.insert(found, np.cumsum(counts), end_id))
                 lengths.append(counts + 1)
                 docs += keys[done : done + len(counts)]
