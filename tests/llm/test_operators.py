@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import database, difference
-from tidemark.llm import registry
+from tidemark.llm import registry, substring_dedup
 from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import find_contamination
@@ -86,6 +88,32 @@ def test_substrings_match_brute_force(docs, sample, none):
     assert dedup_substrings(none).count() == 0
 
 
+def test_substring_steps_hold_few_arrays_of_a_chunk():
+    """A worker holds one chunk at a time: no step's peak passes seven times the chunk's text (Arrow's own memory not counted)."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{i}" for i in range(20000)])
+    texts = [" ".join(rng.choice(words, 700)) for _ in range(800)]
+    texts[400:500] = texts[:100]
+    table = pa.table({"doc_id": pa.array(range(800), pa.int64()), "text": texts, "chunk": pa.array([0] * 800, pa.int32())})
+    peaks = {}
+
+    def step(name, f, *tables):
+        tracemalloc.start()
+        out = f(*tables)
+        peaks[name] = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+        tracemalloc.stop()
+        return out
+
+    grams = step("send_grams", substring_dedup._send_grams(10, 1), table)
+    hits = step("match_grams", substring_dedup._match_grams, grams)
+    windows = step("send_windows", substring_dedup._send_windows(20, 10, 1), table, hits)
+    repeats = step("match_windows", substring_dedup._match_windows, windows)
+    kept = step("keep", substring_dedup._keep(20), table, repeats)
+    assert kept["n_removed"].to_pylist() == [0] * 400 + [700] * 100 + [0] * 300
+    assert kept["kept"].to_pylist() == ["" if 400 <= i < 500 else x for i, x in enumerate(texts)]
+    assert max(peaks.values()) < 7, peaks
+
+
 def test_toxicity_on_the_held_out_fold(spark, docs, none):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -28,7 +28,7 @@ from tidemark.llm.common import NOT_SPACE, U64, bucket_cuts, chunk_count, chunk_
 
 _ANSWER = "chunk int, bucket int, kind int, payload binary"
 _FIRST = np.iinfo(np.int64).min
-_OTHER_BASE = 0x8CB92BA72F3D8DD7
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0x8CB92BA72F3D8DD7
 
 
 def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
@@ -41,12 +41,14 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 def _blocks(counts: np.ndarray, size: int) -> np.ndarray:
     """True at word starts where a reference block of its document begins."""
-    begin = np.cumsum(counts) - counts
-    return (np.arange(int(counts.sum())) - np.repeat(begin, counts)) % size == 0
+    out = np.zeros(int(counts.sum()), bool)
+    for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+        out[end - n : end : size] = True
+    return out
 
 
-def _word_hashes(texts: list[bytes], piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent hashes of each word, by its bytes, and the number of words of each text; some texts at a time."""
+def _word_hashes(texts: list[bytes], both: bool = True, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word, by its bytes (the second only if both), and the number of words of each text; some texts at a time."""
     first, second, counts, lo = [np.empty(0, U64)], [np.empty(0, U64)], [np.empty(0, np.int64)], 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -57,21 +59,30 @@ def _word_hashes(texts: list[bytes], piece: int = 4 << 20) -> tuple[np.ndarray,
         inside = NOT_SPACE[data]
         step = np.diff(inside.view(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts[lo:hi]])), prepend=0))
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=offsets[1:])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
         distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
-        first.append(np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], U64)[at])
-        second.append(np.array([xxhash.xxh64_intdigest(w) for w in distinct], U64)[at])
-        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts[lo:hi]])), prepend=0))
+        first.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))[at])
+        if both:
+            second.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), U64, len(distinct))[at])
         lo = hi
-    return np.concatenate(first), np.concatenate(second), np.concatenate(counts)
+    out = []
+    for parts in (first, second, counts):
+        out.append(np.concatenate(parts))
+        parts.clear()
+    return tuple(out)
+
 
+def _slices(n: int, step: int = 1 << 17):
+    """What is computed and dropped again is computed a slice at a time, so a chunk holds few arrays of its length."""
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
-def _grams(texts: list[bytes], size: int):
-    words, other, counts = _word_hashes(texts)
-    raw = rolling(words, size, 0x9E3779B97F4A7C15)
+
+def _gram(raw: np.ndarray) -> np.ndarray:
     # 48 bits of a gram are compared: a false hit only adds candidates.
-    return words, other, counts, raw, mix(raw) >> U64(16) << U64(16), fits(counts, size)
+    return mix(raw) >> U64(16) << U64(16)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -79,82 +90,122 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({"chunk": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "kind": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _send_grams(size: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         _, texts = _ordered(table)
-        _, _, counts, _, grams, ok = _grams(texts, size)
+        words, _, counts = _word_hashes(texts, both=False)
+        ok = fits(counts, size)
         if not ok.any():
             return _rows([])
-        seen, at, times = np.unique(grams[ok], return_inverse=True, return_counts=True)
-        block = np.zeros(len(seen), bool)
-        block[at[_blocks(counts, size)[: len(ok)][ok]]] = True
-        cuts, chunk = bucket_cuts(seen, buckets), table["chunk"][0].as_py()
-        flags = (times > 1).astype(np.uint64) * U64(2) + block.astype(np.uint64)
-        return _rows([(chunk, b, 0, pack(delta(seen[i:j] >> U64(16)) << U64(2) | flags[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i])
+        grams = rolling(words, size, _BASE)
+        del words
+        for s in _slices(len(grams)):
+            grams[s] = _gram(grams[s])
+        # The low bit says that the gram is a block; sorted, a gram's blocks come after its other places.
+        grams |= _blocks(counts, size)[: len(ok)]
+        grams = grams[ok]
+        grams.sort()
+        first = _runs(grams >> U64(16))
+        many = np.diff(first, append=len(grams)) > 1
+        block = (grams[np.append(first[1:], len(grams)) - 1] & U64(1)).astype(bool)
+        seen = grams[first] >> U64(16)
+        del grams, first
+        cuts, chunk, rows = bucket_cuts(seen << U64(16), buckets), table["chunk"][0].as_py(), []
+        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if j > i:
+                rows.append((chunk, b, 0, pack(delta(seen[i:j]) << U64(2) | many[i:j].astype(U64) << U64(1) | block[i:j])))
+        return _rows(rows)
 
     return send
 
 
 def _match_grams(table: pa.Table) -> pa.Table:
     """In one hash range: which grams of each chunk are a reference block somewhere and occur twice or more?"""
-    values, flags = [], []
+    parts = []
     for payload in table["payload"].to_pylist():
         (v,) = unpack(payload)
-        values.append(np.cumsum(v >> U64(2)))
-        flags.append(v & U64(3))
-    every = np.concatenate(values)
-    seen, at, times = np.unique(every, return_inverse=True, return_counts=True)
-    twice, block = times > 1, np.zeros(len(seen), bool)
-    flag = np.concatenate(flags)
-    twice[at[flag & U64(2) > 0]] = True
-    block[at[flag & U64(1) > 0]] = True
-    good, start, rows = (twice & block)[at], 0, []
-    for chunk, v in zip(table["chunk"].to_pylist(), values):
-        mine = good[start : start + len(v)]
-        start += len(v)
+        parts.append(np.cumsum(v >> U64(2)) << U64(2) | v & U64(3))
+    every = np.concatenate(parts)
+    every.sort()
+    first = _runs(every >> U64(2))
+    flags = np.bitwise_or.reduceat(every & U64(3), first)
+    twice = (np.diff(first, append=len(every)) > 1) | (flags & U64(2) > 0)
+    good = (every[first] >> U64(2))[twice & (flags & U64(1) > 0)]
+    del every, first, flags, twice
+    rows = []
+    for chunk, v in zip(table["chunk"].to_pylist(), parts if len(good) else []):
+        v = v >> U64(2)
+        mine = good[np.minimum(np.searchsorted(good, v), len(good) - 1)] == v
         if mine.any():
             rows.append((chunk, table["bucket"][0].as_py(), 0, pack(delta(v[mine]))))
     return _rows(rows)
 
 
+def _found(raw: np.ndarray, ok: np.ndarray, hits: pa.Table) -> np.ndarray:
+    """For each gram: is it among the hits?"""
+    hit = np.concatenate([np.cumsum(unpack(p)[0]) for p in hits["payload"].to_pylist()])
+    hit.sort()
+    hit <<= U64(16)
+    found = np.empty(len(raw), bool)
+    for s in _slices(len(raw)):
+        grams = _gram(raw[s])
+        found[s] = hit[np.minimum(np.searchsorted(hit, grams), len(hit) - 1)] == grams
+    return found & ok
+
+
 def _send_windows(window: int, size: int, buckets: int):
     def send(table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows or not hits.num_rows:
             return _rows([])
         chunk = table["chunk"][0].as_py()
         ids, texts = _ordered(table)
-        words, second, counts, raw, grams, ok = _grams(texts, size)
-        hit = np.sort(np.concatenate([np.cumsum(unpack(p)[0]) for p in hits["payload"].to_pylist()])) << U64(16)
-        at = np.minimum(np.searchsorted(hit, grams), len(hit) - 1)
-        found = ok & (hit[at] == grams)
+        words, second, counts = _word_hashes(texts)
+        del texts
         whole = fits(counts, window)
         if not len(whole):
             return _rows([])
+        raw = rolling(words, size, _BASE)
         # A window is a candidate if a hit lies wholly inside it.
-        total = np.concatenate(([0], np.cumsum(found)))
+        total = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(_found(raw, fits(counts, size), hits), out=total[1:])
         span = window - size + 1
-        start = np.flatnonzero(whole & (total[span : span + len(whole)] > total[: len(whole)]))
+        start = np.flatnonzero(whole & (total[span : span + len(whole)] > total[: len(whole)])).astype(np.uint32)
+        del whole, total
         if not len(start):
             return _rows([])
-        power = U64(pow(0x9E3779B97F4A7C15, window - size, 1 << 64))
-        if window == 2 * size:
-            h = mix(raw[start] * power + raw[start + size])
-        else:
-            h = mix(rolling(words, window, 0x9E3779B97F4A7C15)[start])
-        other = (mix(rolling(second, window, _OTHER_BASE)[start]) >> U64(32)).astype(np.uint32)
-        order = np.lexsort((start, other, h))
+        h, power = np.empty(len(start), U64), U64(pow(_BASE, window - size, 1 << 64))
+        if window != 2 * size:
+            raw = rolling(words, window, _BASE)
+        del words
+        for s in _slices(len(start)):
+            h[s] = mix(raw[start[s]] * power + raw[start[s] + np.uint32(size)] if window == 2 * size else raw[start[s]])
+        raw = rolling(second, window, _OTHER_BASE)
+        del second
+        other = np.empty(len(start), np.uint32)
+        for s in _slices(len(start)):
+            other[s] = mix(raw[start[s]]) >> U64(32)
+        del raw
+        order = np.lexsort((other, h))  # stable: equal windows stay in order of their start
         h, other, start = h[order], other[order], start[order]
+        del order
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
         rows = []
         if again.any():  # repeats inside the chunk need no one else's word
-            rows.append((chunk, chunk % buckets, 1, pack(delta(np.sort(start[again]).astype(np.uint32)))))
-        h, other, start = h[~again], other[~again], start[~again]
-        doc = ids[np.searchsorted(np.cumsum(counts), start, side="right")]
-        cuts = bucket_cuts(h, buckets)
+            rows.append((chunk, chunk % buckets, 1, pack(delta(np.sort(start[again])))))
+            h, other, start = h[~again], other[~again], start[~again]
+        ends, cuts = np.cumsum(counts), bucket_cuts(h, buckets)
         for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
             if j > i:
-                rows.append((chunk, b, 0, pack(delta(h[i:j]), other[i:j], doc[i:j], start[i:j].astype(np.uint32))))
+                doc = ids[np.searchsorted(ends, start[i:j], side="right")]
+                rows.append((chunk, b, 0, pack(delta(h[i:j]), other[i:j], doc, start[i:j])))
         return _rows(rows)
 
     return send
@@ -162,47 +213,51 @@ def _send_windows(window: int, size: int, buckets: int):
 
 def _match_windows(table: pa.Table) -> pa.Table:
     """In one hash range: the windows of each chunk that start earlier in another one."""
-    rows, parts, owners = [], [], []
+    rows, parts = [], []
     for chunk, kind, payload in zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()):
         if kind == 1:
             rows.append((chunk, 0, 1, payload))
         else:
             h, other, doc, start = unpack(payload)
-            parts.append((np.cumsum(h), other, doc, start))
-            owners.append(np.full(len(h), chunk, np.int64))
+            parts.append((np.cumsum(h), other, doc, start, np.full(len(h), chunk, np.int32)))
     if parts:
-        h, other, doc, start = (np.concatenate(x) for x in zip(*parts))
-        owner = np.concatenate(owners)
+        h, other, doc, start, owner = (np.concatenate(x) for x in zip(*parts))
+        del parts
         order = np.lexsort((start, owner, doc, other, h))
-        h, other, start, owner = h[order], other[order], start[order], owner[order]
-        later = np.zeros(len(h), bool)
-        later[1:] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
-        for chunk in np.unique(owner[later]):
-            rows.append((int(chunk), 0, 1, pack(delta(np.sort(start[later & (owner == chunk)])))))
+        del doc
+        h, other = h[order], other[order]
+        later = order[1:][(h[1:] == h[:-1]) & (other[1:] == other[:-1])]
+        del h, other, order
+        start, owner = start[later], owner[later]
+        order = np.lexsort((start, owner))
+        start, owner = start[order], owner[order]
+        first = _runs(owner)
+        for i, j in zip(first, [*first[1:], len(owner)]):
+            rows.append((int(owner[i]), 0, 1, pack(delta(start[i:j]))))
     return _rows(rows)
 
 
 def _keep(window: int):
     def keep(table: pa.Table, repeats: pa.Table) -> pa.Table:
         ids, texts = _ordered(table)
-        lists = [x.split() for x in texts]
-        counts = np.array([len(x) for x in lists], np.int64)
-        total = int(counts.sum())
-        edge = np.zeros(total + 1, np.int64)
-        for payload in repeats["payload"].to_pylist():
-            start = np.cumsum(unpack(payload)[0].astype(np.int64))
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + window, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        out, begin = [], 0
-        for doc, words in zip(ids, lists):
-            mine = gone[begin : begin + len(words)]
+        start = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpack(p)[0].astype(np.int64)) for p in repeats["payload"].to_pylist())])
+        start.sort()
+        n_words, n_removed, begin = [], [], 0
+        for k, text in enumerate(texts):  # windows lie inside one text, so each text is split and joined by itself
+            words = text.split()
+            n_words.append(len(words))
+            mine = start[slice(*np.searchsorted(start, (begin, begin + len(words))))] - begin
             begin += len(words)
-            removed = int(mine.sum())
-            kept = [w for w, g in zip(words, mine.tolist()) if not g] if removed else words
-            out.append((None if doc == _FIRST else int(doc), len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass")))
-        cols = list(zip(*out)) or [[], [], [], []]
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string())})
+            removed = 0
+            if len(mine):
+                edge = np.bincount(mine, minlength=len(words) + 1) - np.bincount(mine + window, minlength=len(words) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                removed = int(gone.sum())
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            n_removed.append(removed)
+            texts[k] = b" ".join(words)
+        kept = pa.array(texts, pa.binary())
+        return pa.table({"doc_id": pa.array([None if x == _FIRST else x for x in ids.tolist()], pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": kept.view(pa.string())})
 
     return keep
 
