@@ -1,6 +1,7 @@
 """Every query against its SQL twin on the smallest tables; streams and other queries without SQL have tests of their own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.compare import database, difference
@@ -45,3 +46,9 @@ def test_blocked_resolver_asks_all_rows(spark):
 def test_alerts_reach_all_customers(spark):
     got = registry.QUERIES["q_alert_match_whole"](spark, SF).select("user_id").distinct().collect()
     assert {r["user_id"] % 2 for r in got} == {0, 1}
+
+
+def test_alerts_are_shared_among_tasks(spark):
+    """Small tables and few buckets of ROI leave no task with most of the pairs."""
+    found = registry.QUERIES["q_alert_match"](spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in found) < 0.3 * sum(r["count"] for r in found)
